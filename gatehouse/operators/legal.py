@@ -52,14 +52,12 @@ def quote_fidelity(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     return j.select("quote_id", "source_id", found.alias("found"), F.when(found, "PASS").otherwise("BLOCK").alias("verdict"))
 
 
-def court_calendar(spark: SparkSession, first_year: int = COURT_YEARS[0], last_year: int = COURT_YEARS[1], margin_years: int = 30) -> DataFrame:
-    """One row per day.  ``idx`` counts court days up to and including the day.
-
-    The margin covers deadlines that leave the holiday years; outside those years only weekends are
-    skipped.  The table has a fixed number of days, so its single ordered window is small.
-    """
-    days = spark.range(1).select(F.explode(F.sequence(
-        F.make_date(F.lit(first_year - margin_years), F.lit(1), F.lit(1)), F.make_date(F.lit(last_year + margin_years), F.lit(12), F.lit(31)))).alias("date"))
+def court_calendar(spark: SparkSession, first_year: int = COURT_YEARS[0], last_year: int = COURT_YEARS[1]) -> DataFrame:
+    """One row per day from a Monday to a Sunday around the holiday years; ``idx`` numbers the court days
+    up to and including the day.  A fixed 6,000 or so rows, so the one ordered window over it is small."""
+    first = F.date_sub(F.next_day(F.make_date(F.lit(first_year), F.lit(1), F.lit(1)), "Mon"), 14)
+    last = F.date_add(F.next_day(F.make_date(F.lit(last_year), F.lit(12), F.lit(31)), "Sun"), 7)
+    days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("date"))
     off = reference.holidays(spark, first_year, last_year).select("date").distinct().withColumn("holiday", F.lit(True))
     marked = days.join(F.broadcast(off), "date", "left").select(
         "date", F.dayofweek("date").isin(1, 7).alias("weekend"), F.coalesce("holiday", F.lit(False)).alias("holiday"))
@@ -75,33 +73,42 @@ def deadlines(df: DataFrame) -> DataFrame:
     """``id, start string, days int, mode, direction``.
 
     Court mode looks the deadline up by its court-day number instead of walking days: forward it is the
-    day numbered ``idx(start) + n``, backward the day numbered ``idx(day before start) - n + 1``.
+    day numbered ``idx(start) + n``, backward the day numbered ``idx(day before start) - n + 1``.  Numbers
+    outside the calendar fall in years without holidays, where five court days make a week.
     """
-    spark = df.sparkSession
-    cal = court_calendar(spark)
+    cal = court_calendar(df.sparkSession)
     parsed = df.withColumn("d", F.when(F.col("start").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.col("start").try_cast("date")))
     court = F.col("mode") == "court"
+    forward = F.col("direction") == "after"
     ok = F.col("d").isNotNull() & (F.col("days") >= 0) & (~court | F.year("d").between(*COURT_YEARS))
-    judged = parsed.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    at = cal.select(F.col("date").alias("d"), F.col("idx").alias("i0"), F.col("court").alias("c0"), F.col("weekends").alias("w0"),
-                    F.col("holidays").alias("h0"), F.col("weekend").alias("we0"), F.col("holiday").alias("ho0"))
-    j = judged.join(F.broadcast(at), "d", "left")
-    before = F.col("i0") - F.col("c0").cast("int")
-    target = F.when(F.col("ok") & court & (F.col("days") > 0),
-                    F.when(F.col("direction") == "after", F.col("i0") + F.col("days")).otherwise(before - F.col("days") + 1))
-    hit = cal.where("court").select(F.col("idx").alias("target"), F.col("date").alias("end_date"), F.col("weekends").alias("w1"), F.col("holidays").alias("h1"))
-    k = j.withColumn("target", target).join(F.broadcast(hit), "target", "left")
-    plain = F.when(F.col("direction") == "after", F.date_add("d", F.col("days"))).otherwise(F.date_sub("d", F.col("days")))
-    end = F.when(~F.col("ok"), F.lit(None).cast("date")).when(court & (F.col("days") > 0), F.col("end_date")).otherwise(
-        F.when(court, F.col("d")).otherwise(plain))
-    # Days strictly between: cumulative counts on both ends; the start itself never counts.
-    wk_start = F.col("w0") - F.when(F.col("direction") == "after", 0).otherwise(F.col("we0").cast("int"))
-    ho_start = F.col("h0") - F.when(F.col("direction") == "after", 0).otherwise((F.col("ho0") & ~F.col("we0")).cast("int"))
-    skipped = lambda a, b: F.coalesce(F.abs(F.col(b) - a), F.lit(0))
+    judged = parsed.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("counted", F.col("ok") & court & (F.col("days") > 0))
+    at = cal.select(F.col("date").alias("d"), "idx", "court", "weekends", "holidays", "weekend", "holiday")
+    j = judged.join(F.broadcast(at), "d", "left").select(
+        *judged.columns,
+        # Cumulative counts at the side of the start that is walked away from; the start never counts.
+        (F.col("weekends") - F.when(forward, 0).otherwise(F.col("weekend").cast("int"))).alias("w0"),
+        (F.col("holidays") - F.when(forward, 0).otherwise((F.col("holiday") & ~F.col("weekend")).cast("int"))).alias("h0"),
+        F.when(F.col("counted"), F.when(forward, F.col("idx") + F.col("days"))
+               .otherwise(F.col("idx") - F.col("court").cast("int") - F.col("days") + 1)).alias("target"))
+    hit = cal.where("court").select(F.col("idx").alias("target"), F.col("date").alias("inside"), F.col("weekends").alias("w1"), F.col("holidays").alias("h1"))
+    k = j.join(F.broadcast(hit), "target", "left")
+    edge = lambda agg: cal.agg(agg).scalar()
+    beyond = F.col("target") - edge(F.max("idx")) - 1
+    ahead = -F.col("target")
+    weeks = lambda n: F.floor(n / 5).cast("int")
+    after_end = F.date_add(edge(F.max("date")), (weeks(beyond) * 7 + beyond % 5 + 1).cast("int"))
+    before_start = F.date_sub(edge(F.min("date")), (weeks(ahead) * 7 + ahead % 5 + 3).cast("int"))
+    end_court = F.when(beyond >= 0, after_end).when(ahead >= 0, before_start).otherwise(F.col("inside"))
+    w1 = F.when(beyond >= 0, edge(F.max("weekends")) + weeks(beyond) * 2).when(ahead >= 0, -2 - weeks(ahead) * 2).otherwise(
+F.col("w1"))
+    h1 = F.when(beyond >= 0, edge(F.max("holidays"))).when(ahead >= 0, F.lit(0)).otherwise(F.col("h1"))
+    plain = F.when(court, F.col("d")).when(forward, F.date_add("d", F.col("days"))).otherwise(F.date_sub("d", F.col("days")))
+    end = F.when(F.col("counted"), end_court).when(F.col("ok"), plain)
+    skipped = lambda a, b: F.coalesce(F.when(F.col("counted"), F.abs(b - F.col(a))), F.lit(0))
     return k.select(
         "id", F.when(F.col("ok"), "PASS").otherwise("BLOCK").alias("verdict"),
         F.coalesce(F.date_format(end, "yyyy-MM-dd"), F.col("start")).alias("deadline"), "mode", "direction",
-        skipped(wk_start, "w1").alias("skipped_weekend_days"), skipped(ho_start, "h1").alias("skipped_holidays"))
+        skipped("w0", w1).alias("skipped_weekend_days"), skipped("h0", h1).alias("skipped_holidays"))
 
 
 def skipped_holidays(df: DataFrame, results: DataFrame) -> DataFrame:
