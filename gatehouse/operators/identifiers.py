@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import let
 from gatehouse.functions.checksums import digit_at, luhn, mod97, weighted_sum
 from gatehouse.functions.patterns import SPACE, SPACE_BODY
 from gatehouse.operators.findings import pick
@@ -118,8 +119,7 @@ def _passed(ok: Column) -> Column:
     return F.when(ok, "pass").otherwise("fail")
 
 
-def _iban(v: Column) -> Column:
-    norm = _squeeze(F.upper(v))
+def _iban(norm: Column) -> Column:
     want = pick(IBAN_LENGTH, F.substring(norm, 1, 2))
     ok = mod97(F.concat(F.substring(norm, 5, 64), F.substring(norm, 1, 4))) == 1
     return (
@@ -130,14 +130,12 @@ def _iban(v: Column) -> Column:
     )
 
 
-def _aba(v: Column) -> Column:
-    norm = F.regexp_replace(v, rf"[{SPACE_BODY}-]", "")
+def _aba(norm: Column) -> Column:
     ok = weighted_sum(norm, [3, 7, 1] * 3) % 10 == 0
     return F.when(~norm.rlike(r"\A[0-9]{9}\z"), _result(False, "fail", norm, "Must be exactly 9 digits")).otherwise(_result(ok, _passed(ok), norm))
 
 
-def _bic(v: Column) -> Column:
-    norm = _trim(F.upper(v))
+def _bic(norm: Column) -> Column:
     return (
         F.when(~F.length(norm).isin(8, 11), _result(False, "not_applicable", norm, "Must be 8 or 11 characters"))
         .when(~norm.rlike(r"\A[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\z"), _result(False, "not_applicable", norm, "Invalid BIC structure"))
@@ -160,16 +158,14 @@ def mask_pan(pan: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(stars, "(.{4})", "$1-"), "-$", "")
 
 
-def _card(v: Column) -> Column:
-    norm = F.regexp_replace(v, rf"[{SPACE_BODY}-]", "")
+def _card(norm: Column) -> Column:
     ok = luhn(norm)
     network = card_network(norm)
     return F.when(~norm.rlike(r"\A[0-9]{13,19}\z"), _result(False, "fail", F.right(F.lpad(F.regexp_replace(norm, "[^0-9]", ""), 4, "0"), F.lit(4)), "Invalid format")).otherwise(
         _result(ok & (network != "Unknown"), _passed(ok), mask_pan(norm), network))
 
 
-def _ein(v: Column) -> Column:
-    t = _trim(v)
+def _ein(t: Column) -> Column:
     prefix = F.substring(t, 1, 2)
     norm = F.concat(prefix, F.lit("-"), F.right(t, F.lit(7)))
     known = prefix.isin(EIN_PREFIXES)
@@ -195,8 +191,7 @@ def _de_step(s: Column) -> Column:
     return (F.when(s == 0, 10).otherwise(s) * 2 % 11).cast("int")
 
 
-def _vat(v: Column) -> Column:
-    norm = _squeeze(_trim(F.upper(v)))
+def _vat(norm: Column) -> Column:
     nat = F.substring(norm, 3, 64)
     rules = _vat_rules()
     name = pick({c: n for c, n, _, _ in rules}, F.substring(norm, 1, 2))
@@ -216,8 +211,7 @@ def _vat(v: Column) -> Column:
     )
 
 
-def _vin(v: Column) -> Column:
-    norm = _trim(F.upper(v))
+def _vin(norm: Column) -> Column:
     value = lambda text, i: F.translate(F.substring(text, i, 1), *VIN_VALUES).try_cast("int")
     rest = weighted_sum(norm, VIN_WEIGHTS, value) % 11
     ok = F.substring(norm, 9, 1) == F.when(rest == 10, "X").otherwise(rest.cast("string"))
@@ -228,14 +222,12 @@ def _vin(v: Column) -> Column:
     )
 
 
-def _npi(v: Column) -> Column:
-    norm = _squeeze(v)
+def _npi(norm: Column) -> Column:
     ok = luhn(F.concat(F.lit("80840"), norm))
     return F.when(~norm.rlike(r"\A[0-9]{10}\z"), _result(False, "fail", norm, "Must be exactly 10 digits")).otherwise(_result(ok, _passed(ok), norm))
 
 
-def _ssn(v: Column) -> Column:
-    t = F.replace(_trim(v), F.lit("-"), F.lit(""))
+def _ssn(t: Column) -> Column:
     area, group, serial = F.substring(t, 1, 3), F.substring(t, 4, 2), F.substring(t, 6, 4)
     why = (
         F.when(area == "000", "Area 000 is not valid").when(area == "666", "Area 666 is not valid")
@@ -246,20 +238,35 @@ def _ssn(v: Column) -> Column:
         _result(why.isNull(), "not_applicable", F.concat(F.lit("***-**-"), serial), why))
 
 
-def _eth(v: Column) -> Column:
-    t = _trim(v)
+def _eth(t: Column) -> Column:
     ok = t.rlike(r"\A0x[0-9a-fA-F]{40}\z")
     return _result(ok, "not_applicable", F.lower(t), F.when(~ok, "Must be 0x followed by 40 hex characters"))
 
 
-def _sol(v: Column) -> Column:
-    t = _trim(v)
+def _sol(t: Column) -> Column:
     ok = t.rlike(r"\A[1-9A-HJ-NP-Za-km-z]{32,44}\z")
     return _result(ok, "not_applicable", t, F.when(~ok, "Must be 32 to 44 base58 characters"))
 
 
-_RULES = {"eth_address": _eth, "iban": _iban, "ein": _ein, "ssn": _ssn, "aba_routing": _aba, "npi": _npi, "credit_card": _card,
-          "swift_bic": _bic, "vin": _vin, "vat_eu": _vat, "sol_address": _sol}
+# Normal form of a value per type, then the rule over it.
+_RULES = {
+    "eth_address": (lambda v: _trim(v), _eth),
+    "iban": (lambda v: _squeeze(F.upper(v)), _iban),
+    "ein": (lambda v: _trim(v), _ein),
+    "ssn": (lambda v: F.replace(_trim(v), F.lit("-"), F.lit("")), _ssn),
+    "aba_routing": (lambda v: F.regexp_replace(v, rf"[{SPACE_BODY}-]", ""), _aba),
+    "npi": (lambda v: _squeeze(v), _npi),
+    "credit_card": (lambda v: F.regexp_replace(v, rf"[{SPACE_BODY}-]", ""), _card),
+    "swift_bic": (lambda v: _trim(F.upper(v)), _bic),
+    "vin": (lambda v: _trim(F.upper(v)), _vin),
+    "vat_eu": (lambda v: _squeeze(_trim(F.upper(v))), _vat),
+    "sol_address": (lambda v: _trim(v), _sol),
+}
+
+
+def _check(name: str, value: Column) -> Column:
+    normal, rule = _RULES[name]
+    return let(normal(value), rule)
 
 
 def identifier_type(value: Column) -> Column:
@@ -296,9 +303,9 @@ def validate_identifiers(df: DataFrame, value_col: str, type_col: str | None = N
     kind = F.coalesce(F.col(type_col), identifier_type(F.col(value_col))) if type_col else identifier_type(F.col(value_col))
     typed = df.withColumn("id_type", kind)
     result = None
-    for name, rule in _RULES.items():
-        cond = F.col("id_type") == name
-        result = F.when(cond, rule(F.col(value_col))) if result is None else result.when(cond, rule(F.col(value_col)))
+    for name in TYPES:
+        checked = _check(name, F.col(value_col))
+        result = F.when(F.col("id_type") == name, checked) if result is None else result.when(F.col("id_type") == name, checked)
     result = result.otherwise(_result(False, "not_applicable", None, "Could not determine identifier type"))
     return typed.withColumn("_r", result).select(*typed.columns, "_r.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import let
 from gatehouse.operators.findings import as_findings, pick
 
 # IPv4 ranges (first match wins), metadata hosts, default ports.
@@ -33,27 +34,27 @@ def ipv4_class(value: Column) -> Column:
     return F.when(value.isNotNull(), out.otherwise("public"))
 
 
+def _label_value(x: Column) -> Column:
+    return let(F.lower(x), lambda low: (
+        F.when(low == "0x", F.lit(0).cast("bigint"))
+        .when(low.rlike(r"\A0x[0-9a-f]{1,12}\z"), F.conv(F.substring(low, 3, 12), 16, 10).try_cast("bigint"))
+        .when(low.rlike(r"\A0[0-7]{1,16}\z"), F.conv(low, 8, 10).try_cast("bigint"))
+        .when(low.rlike(r"\A(?:0|[1-9][0-9]{0,11})\z"), low.try_cast("bigint"))))
+
+
 def ipv4_number(host: Column) -> Column:
-    """Numeric value of a dotted, decimal, octal or hexadecimal IPv4 host; NULL when it is none."""
-    labels = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
+    """Numeric value of a dotted, decimal, octal or hexadecimal IPv4 host; NULL when it is none.  The last
+    label fills all remaining bytes."""
+    def total(parts: Column) -> Column:
+        n = F.size(parts)
+        last = F.get(parts, n - 1)
+        weighted = F.transform(parts, lambda p, i: F.when(i < n - 1, p * F.pow(F.lit(256.0), 3 - i).cast("bigint")).otherwise(p))
+        ok = n.between(1, 4) & F.forall(parts, lambda p: p.isNotNull()) & (last < F.pow(F.lit(256.0), 5 - n)) & (
+            F.size(F.filter(parts, lambda p: p > 255)) - (last > 255).cast("int") == 0)
+        return F.when(F.coalesce(ok, F.lit(False)), F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, p: a + p))
 
-    def value(x: Column) -> Column:
-        low = F.lower(x)
-        return (
-            F.when(low == "0x", F.lit(0).cast("bigint"))
-            .when(low.rlike(r"\A0x[0-9a-f]{1,12}\z"), F.conv(F.substring(low, 3, 12), 16, 10).try_cast("bigint"))
-            .when(low.rlike(r"\A0[0-7]{1,16}\z"), F.conv(low, 8, 10).try_cast("bigint"))
-            .when(low.rlike(r"\A(?:0|[1-9][0-9]{0,11})\z"), low.try_cast("bigint"))
-        )
-
-    parts = F.transform(labels, value)
-    n = F.size(parts)
-    last = F.get(parts, n - 1)
-    head = F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0)))
-    ok = n.between(1, 4) & F.forall(parts, lambda p: p.isNotNull()) & F.forall(head, lambda p: p <= 255) & (
-        last < F.pow(F.lit(256.0), 5 - n))
-    total = F.aggregate(F.transform(head, lambda p, i: p * F.pow(F.lit(256.0), 3 - i).cast("bigint")), F.lit(0).cast("bigint"), lambda a, p: a + p)
-    return F.when(F.coalesce(ok, F.lit(False)), total + last)
+    labels = F.split(F.regexp_replace(host, r"\.\z", ""), r"\.")
+    return let(F.transform(labels, _label_value), total)
 
 
 def dotted(value: Column) -> Column:
@@ -61,21 +62,27 @@ def dotted(value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat_ws(".", part(24), part(16), part(8), part(0)))
 
 
-def ipv6_groups(host: Column) -> Column:
-    """Eight group values, or NULL.  A dotted tail becomes two groups first."""
+def _v6_text(host: Column) -> Column:
+    """A dotted tail becomes two hexadecimal groups."""
     tail = F.regexp_extract(host, r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})\z", 1)
-    v4 = ipv4_number(F.when(tail != "", tail))
-    hexed = F.when(tail != "", F.concat(
-        F.substring(host, F.lit(1), F.length(host) - F.length(tail)), F.lower(F.hex(F.shiftrightunsigned(v4, 16))), F.lit(":"),
-        F.lower(F.hex(v4.bitwiseAND(F.lit(65535)))))).otherwise(host)
-    gap = F.contains(hexed, F.lit("::"))
-    side = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    left = side(F.when(gap, F.substring_index(hexed, "::", 1)).otherwise(hexed))
-    right = F.when(gap, side(F.substring_index(hexed, "::", -1))).otherwise(F.array().cast("array<string>"))
-    fill = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
-    groups = F.when(gap, F.concat(left, fill, right)).otherwise(left)
-    shape = hexed.rlike(r"\A[0-9a-fA-F:]+\z") & F.forall(groups, lambda g: F.length(g) <= 4) & (F.size(groups) == 8)
-    return F.when(F.coalesce(shape, F.lit(False)), F.transform(groups, lambda g: F.conv(g, 16, 10).try_cast("bigint")))
+    head = F.regexp_replace(host, r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z", "")
+    return F.when(tail == "", host).otherwise(let(ipv4_number(tail), lambda v: F.concat(
+        head, F.lower(F.hex(F.shiftrightunsigned(v, 16))), F.lit(":"), F.lower(F.hex(v.bitwiseAND(F.lit(65535)))))))
+
+
+def ipv6_groups(host: Column) -> Column:
+    """Eight group values, or NULL."""
+    def parts(text: Column) -> Column:
+        side = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+        fill = F.array_repeat(F.lit("0"), 8)
+        left, right = side(F.substring_index(text, "::", 1)), side(F.substring_index(text, "::", -1))
+        padded = let(F.struct(left.alias("l"), right.alias("r")), lambda x: F.concat(
+            x["l"], F.slice(fill, F.lit(1), F.greatest(8 - F.size(x["l"]) - F.size(x["r"]), F.lit(0))), x["r"]))
+        groups = F.when(F.contains(text, F.lit("::")), padded).otherwise(side(text))
+        return F.when(text.rlike(r"\A[0-9a-fA-F:]+\z"), let(groups, lambda g: F.when(
+            (F.size(g) == 8) & F.forall(g, lambda x: F.length(x) <= 4), F.transform(g, lambda x: F.conv(x, 16, 10).try_cast("bigint")))))
+
+    return let(_v6_text(host), parts)
 
 
 def ipv6_class(groups: Column) -> Column:
@@ -96,7 +103,7 @@ def classify_ips(df: DataFrame, ip_col: str) -> DataFrame:
     v4 = F.when(ip.rlike(r"\A[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z"), ipv4_number(F.regexp_replace(ip, r"(?<![0-9])0+(?=[0-9])", "")))
     return df.withColumn("_v4", v4).withColumn("_v6", F.when(ip.contains(":"), ipv6_groups(ip))).select(
         *df.columns, F.when(F.col("_v4").isNotNull(), 4).when(F.col("_v6").isNotNull(), 6).alias("ip_version"),
-        F.coalesce(ipv4_class(F.col("_v4")), ipv6_class(F.col("_v6")), F.lit("unknown")).alias("ip_class"))
+        F.coalesce(ipv4_class(F.col("_v4")), let(F.col("_v6"), ipv6_class), F.lit("unknown")).alias("ip_class"))
 
 
 def parse_urls(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
@@ -112,15 +119,14 @@ def parse_urls(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
         "substring(_auth, 1, greatest(length(_auth) - length(_hp) - 1, 0))"))
     base = base.withColumn("_raw", F.regexp_extract("_hp", r"\A(\[[^\]]*\]?|[^:]*)", 1)).withColumn(
         "_port", F.regexp_extract("_hp", r"\A(?:\[[^\]]*\]|[^:\[]*):(.*)\z", 1))
-    host = F.lower(F.regexp_replace("_raw", r"\A\[|\]\z", ""))
-    v6 = F.when(F.col("_raw").startswith("["), ipv6_groups(host))
-    numeric_tail = F.col("_special") & host.rlike(r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z") & ~F.col("_raw").startswith("[")
-    base = base.withColumn("_host", host).withColumn("_v6", v6).withColumn("_num", numeric_tail).withColumn(
-        "_v4", F.when(F.col("_num"), ipv4_number(F.col("_host"))))
+    base = base.withColumn("_host", F.lower(F.regexp_replace("_raw", r"\A\[|\]\z", ""))).withColumn("_boxed", F.col("_raw").startswith("["))
+    numeric_tail = F.col("_special") & ~F.col("_boxed") & F.col("_host").rlike(r"(?:\A|\.)(?:[0-9]+|0x[0-9a-f]*)\.?\z")
+    base = base.withColumn("_num", numeric_tail).withColumn("_v4", F.when(F.col("_num"), ipv4_number(F.col("_host")))).withColumn(
+        "_v6", F.when(F.col("_boxed"), ipv6_groups(F.col("_host"))))
     bad_port = ~F.col("_port").rlike(r"\A[0-9]*\z") | (F.col("_port").try_cast("bigint") > 65535)
     malformed = (
         (F.col("_s") == "") | (F.col("_special") & (F.col("_s") != "file") & (F.col("_host") == "")) | F.coalesce(bad_port, F.lit(False))
-        | (F.col("_num") & F.col("_v4").isNull()) | (F.col("_raw").startswith("[") & F.col("_v6").isNull())
+        | (F.col("_num") & F.col("_v4").isNull()) | (F.col("_boxed") & F.col("_v6").isNull())
         | F.col("_raw").rlike(r"[\x00-\x20<>^|%\\]")
     )
     port = F.when(F.col("_port") != "", F.col("_port").try_cast("int"))
@@ -128,7 +134,7 @@ def parse_urls(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
         "subject_id", "url", F.col("_s").alias("scheme"), malformed.alias("malformed"), F.col("_raw").alias("raw_host"),
         F.coalesce(dotted(F.col("_v4")), F.col("_host")).alias("host"),
         F.when(F.col("_v4").isNotNull(), "ipv4").when(F.col("_v6").isNotNull(), "ipv6").otherwise("hostname").alias("host_type"),
-        F.coalesce(ipv4_class(F.col("_v4")), ipv6_class(F.col("_v6")), F.lit("unknown")).alias("ip_class"),
+        F.coalesce(ipv4_class(F.col("_v4")), let(F.col("_v6"), ipv6_class), F.lit("unknown")).alias("ip_class"),
         F.when(F.col("_v6").isNotNull(), F.array_join(F.transform("_v6", lambda g: F.lower(F.hex(g))), ":")).alias("ipv6_text"),
         F.when(port != pick(DEFAULT_PORTS, F.col("_s"), -1), port).alias("port"),
         (F.regexp_replace("_user", "^:$", "") != "").alias("has_userinfo"))

@@ -181,9 +181,10 @@ def _(spark, d):
 
 
 # Streaming: the same rows as a stream must give the batch result.
-def _feed(spark, d):
-    path = os.path.join(d, "events.parquet")
-    return feeds.stream_request_feed(spark, path, spark.read.parquet(path).schema)
+def _feed(spark, d, name="events"):
+    # A glob works for a single file and for a folder of part files; the file source takes no plain file.
+    path = os.path.join(d, f"{name[:-1]}[{name[-1]}].parquet")
+    return feeds.stream_request_feed(spark, path, table(spark, d, name).schema)
 
 
 def _stream_input(spark, d, name):
@@ -209,8 +210,7 @@ def _(spark, d):
 
 @query("stream_redact", "select doc_id as subject_id, regexp_replace(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '[REDACTED_EMAIL]', 'g') as redacted_text from documents")
 def _(spark, d):
-    path = os.path.join(d, "documents.parquet")
-    feed = feeds.stream_request_feed(spark, path, spark.read.parquet(path).schema)
+    feed = _feed(spark, d, "documents")
     others = ["credit_card", "us_ssn", "iban", "uk_nhs", "ca_sin", "phone", "ip_address"]
     return feeds.run_to_table(feeds.stream_redact(feed, "doc_id", "text", allow_types=others).drop("total_findings"), "redact")
 
