@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.functions.patterns import SPACE_BODY
 from gatehouse.operators.findings import claim_verdict
 from gatehouse.operators.imports import extract_imports, package_existence
@@ -27,8 +28,8 @@ def _claims(df: DataFrame, check_type: str | Column, verdict: str | Column, conf
 
 
 def _explode_all(df: DataFrame, id_col: str, text_col: str, needs: Column, regex: str, group: int) -> DataFrame:
-    return df.where(needs).select(
-        F.col(id_col).alias("subject_id"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(regex), F.lit(group))).alias("text"))
+    hits = F.regexp_extract_all(F.col(text_col), F.lit(regex), F.lit(group))
+    return explode_rows(df.where(needs), [F.col(id_col).alias("subject_id")], hits, "text")
 
 
 def citation_format_findings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

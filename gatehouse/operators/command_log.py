@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.operators.findings import as_findings
 
 SEP = "\x1e"
@@ -62,8 +63,8 @@ def _first_word(seg: Column) -> Column:
 def with_segments(df: DataFrame, id_col: str, command_col: str) -> DataFrame:
     """``subject_id, position, seg, fw`` and the neighbour's ``nseg, nfw``; one row per segment."""
     base = df.select(F.col(id_col).alias("subject_id"), segments(F.col(command_col)).alias("segs"))
-    paired = base.select("subject_id", F.size("segs").alias("n_segments"), F.explode(F.transform(
-        "segs", lambda s, i: F.struct(i.alias("position"), s.alias("seg"), F.get("segs", i + 1).alias("nseg")))).alias("x"))
+    pairs = F.transform("segs", lambda s, i: F.struct(i.alias("position"), s.alias("seg"), F.get("segs", i + 1).alias("nseg")))
+    paired = explode_rows(base, ["subject_id", F.size("segs").alias("n_segments")], pairs, "x")
     return paired.select("subject_id", "n_segments", "x.*").withColumn("fw", _first_word(F.col("seg"))).withColumn("nfw", _first_word(F.col("nseg")))
 
 
@@ -77,8 +78,9 @@ def _finding(when: Column, rule: str, severity: str, message: str) -> Column:
 
 
 def _findings(segs: DataFrame, rules: list[Column], allow: list[str]) -> DataFrame:
-    hits = segs.select("subject_id", "position", F.trim(F.substring(F.regexp_replace("seg", f"{SEP}[A-Z]?", " "), 1, 120)).alias("matched"),
-                       F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("f")).select("subject_id", "position", "matched", "f.*")
+    shown = F.trim(F.substring(F.regexp_replace("seg", f"{SEP}[A-Z]?", " "), 1, 120)).alias("matched")
+    found = F.filter(F.array(*rules), lambda r: r.isNotNull())
+    hits = explode_rows(segs, ["subject_id", "position", shown], found, "f").select("subject_id", "position", "matched", "f.*")
     if allow:
         hits = hits.where(~F.col("rule_id").isin(allow))
     return as_findings(hits.withColumn("category", F.lit("CMD")), "command")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.functions.variants import at, doc, items, kind, string, text
 from gatehouse.operators.findings import as_findings, dedupe_findings
 
@@ -24,8 +25,7 @@ def _finding(when: Column, rule: str, severity: str, message: str) -> Column:
 
 
 def _emit(parts: DataFrame, tool: str, rules: list[Column]) -> DataFrame:
-    hits = parts.select("subject_id", "position", F.col("resource").alias("matched"),
-                        F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("f"))
+    hits = explode_rows(parts, ["subject_id", "position", F.col("resource").alias("matched")], F.filter(F.array(*rules), lambda r: r.isNotNull()), "f")
     found = as_findings(hits.select("subject_id", "position", "matched", "f.*").withColumn("category", F.lit("CONFIG")), tool)
     return dedupe_findings(found, ["subject_id", "rule_id", "matched"])
 
@@ -44,7 +44,7 @@ def _strings(v: Column) -> Column:
 
 
 def terraform_findings(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    changes = _documents(df, id_col, json_col).select("subject_id", F.posexplode(items(at(F.col("d"), "$.resource_changes"))).alias("position", "rc"))
+    changes = explode_rows(_documents(df, id_col, json_col), ["subject_id"], items(at(F.col("d"), "$.resource_changes")), "rc", "position")
     rc = F.col("rc")
     parts = changes.select(
         "subject_id", "position", F.coalesce(string(at(rc, "$.address")), F.lit("unknown")).alias("resource"),
@@ -66,7 +66,7 @@ def terraform_findings(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 
 def iam_findings(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    stmts = _documents(df, id_col, json_col).select("subject_id", F.posexplode(items(at(F.col("d"), "$.Statement"))).alias("position", "s")).where(
+    stmts = explode_rows(_documents(df, id_col, json_col), ["subject_id"], items(at(F.col("d"), "$.Statement")), "s", "position").where(
         kind(F.col("s")) == "object")
     s = F.col("s")
     parts = stmts.select(
@@ -98,7 +98,7 @@ def k8s_findings(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     is_list = F.coalesce(string(at(d, "$.kind")), F.lit("")).isin("List", "")
     # Lists are opened twice: a list may hold lists.
     for _ in range(2):
-        parsed = parsed.select("subject_id", F.explode(F.when(is_list, items(at(d, "$.items"))).otherwise(F.array("d"))).alias("d"))
+        parsed = explode_rows(parsed, ["subject_id"], F.when(is_list, items(at(d, "$.items"))).otherwise(F.array("d")), "d")
     named = parsed.withColumn("kind", string(at(d, "$.kind"))).withColumn("name", F.coalesce(string(at(d, "$.metadata.name")), F.lit("unknown")))
     spec = (
         F.when(F.col("kind") == "Pod", at(d, "$.spec")).when(F.col("kind").isin(TEMPLATE_KINDS), at(d, "$.spec.template.spec"))
@@ -114,11 +114,11 @@ def k8s_findings(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
         _finding(true_at(sp, "$.hostIPC"), "K8S-HOST-IPC", "high", "host IPC"),
     ])
     vol = F.col("v")
-    volumes = pods.select("subject_id", "pod", F.posexplode(items(at(sp, "$.volumes"))).alias("position", "v")).withColumn(
+    volumes = explode_rows(pods, ["subject_id", "pod"], items(at(sp, "$.volumes")), "v", "position").withColumn(
         "resource", F.concat("pod", F.lit("/volume:"), F.coalesce(string(at(vol, "$.name")), F.lit("unknown"))))
     volume_level = _emit(volumes, "k8s", [_finding(at(vol, "$.hostPath").isNotNull(), "K8S-HOST-PATH", "medium", "host path mounted")])
     c = F.col("c")
-    boxes = pods.select("subject_id", "pod", F.posexplode(F.concat(items(at(sp, "$.containers")), items(at(sp, "$.initContainers")))).alias("position", "c")).where(
+    boxes = explode_rows(pods, ["subject_id", "pod"], F.concat(items(at(sp, "$.containers")), items(at(sp, "$.initContainers"))), "c", "position").where(
         kind(c) == "object").withColumn("resource", F.concat("pod", F.lit("/container:"), F.coalesce(string(at(c, "$.name")), F.lit("unknown"))))
     caps = items(at(c, "$.securityContext.capabilities.add"))
     container_level = _emit(boxes, "k8s", [

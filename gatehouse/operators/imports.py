@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.functions.patterns import SPACE, SPACE_BODY, line_start
 from gatehouse.operators.findings import pick
 
@@ -63,7 +64,7 @@ def extract_imports(df: DataFrame, id_col: str, code_col: str, language: str) ->
     entries = df.select(F.col(id_col).alias("subject_id"), F.col(language).alias("language"), by_language.alias("e"))
     firsts = entries.select("subject_id", "language", F.filter(
         "e", lambda x, i: (x["name"] != "") & ~F.exists(F.slice(F.col("e"), F.lit(1), i), lambda y: y["name"] == x["name"])).alias("e"))
-    return firsts.select("subject_id", "language", F.explode("e").alias("i")).select(
+    return explode_rows(firsts, ["subject_id", "language"], F.col("e"), "i").select(
         "subject_id", "language", "i.name", "i.raw").where(~F.col("name").isin(STDLIB) & ~F.col("name").startswith("node:"))
 
 

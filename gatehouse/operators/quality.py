@@ -11,7 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions.variants import at, doc, field, keys, kind, number, string, text
+from gatehouse.functions.bind import explode_rows, let
+from gatehouse.functions.variants import at, doc, facts, field, items, keys, text
 
 _V = "struct<path:string,rule:string,severity:string>"
 
@@ -26,11 +27,11 @@ def columns_as_json(df: DataFrame, columns: list[str], out: str = "args") -> Dat
     return df.withColumn(out, F.to_json(F.struct(*columns)))
 
 
-def _type_ok(v: Column, kind_: str) -> Column:
+def _type_ok(x: Column, kind_: str) -> Column:
+    """``x`` is a :func:`facts` struct."""
     if kind_ == "integer":
-        n = number(v)
-        return F.coalesce(n == F.floor(n), F.lit(False))
-    return kind(v) == kind_
+        return F.coalesce(x["num"] == F.floor(x["num"]), F.lit(False))
+    return F.coalesce(x["kind"] == kind_, F.lit(False))
 
 
 def _unit_hits(path: str, n: Column, unit: str) -> list[Column]:
@@ -41,13 +42,12 @@ def _unit_hits(path: str, n: Column, unit: str) -> list[Column]:
     return [_hit(limit, path, "unit-coercion", "medium")]
 
 
-def _field_hits(args: Column, name: str, spec: dict, units_only: bool = False) -> list[Column]:
-    v = field(args, name)
-    present = v.isNotNull()
-    null = present & F.coalesce(kind(v) == "null", F.lit(False))
-    typed = present & ~null & F.coalesce(_type_ok(v, spec["type"]), F.lit(False))
+def _field_hits(x: Column, name: str, spec: dict, units_only: bool = False) -> list[Column]:
+    present = x["v"].isNotNull()
+    null = F.coalesce(x["kind"] == "null", F.lit(False))
+    typed = present & ~null & _type_ok(x, spec["type"])
     out: list[Column] = []
-    n, s = number(v), string(v)
+    n, s = x["num"], x["str"]
     if not units_only:
         if spec.get("required"):
             out.append(_hit(~present, name, "required", "critical"))
@@ -77,31 +77,32 @@ def _field_hits(args: Column, name: str, spec: dict, units_only: bool = False) -
     return out
 
 
-def _run(df: DataFrame, id_col: str, args_col: str, build) -> DataFrame:
+def _explode_hits(df: DataFrame, hits: Column) -> DataFrame:
+    return explode_rows(df, ["subject_id"], F.filter(hits, lambda h: h.isNotNull()), "h").select("subject_id", "h.*")
+
+
+def _with_fields(df: DataFrame, id_col: str, args_col: str, names: list[str]) -> DataFrame:
+    """``subject_id, a`` and one facts column per field: every value is read from the document once."""
     base = df.select(F.col(id_col).alias("subject_id"), doc(F.col(args_col)).alias("a"))
-    hits = build(F.col("a"))
-    return base.select("subject_id", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("subject_id", "h.*")
+    return base.select("*", *[facts(field(F.col("a"), n)).alias(f"f{i}") for i, n in enumerate(names)])
 
 
 def check_fields(df: DataFrame, id_col: str, args_col: str, spec: dict) -> DataFrame:
     """``spec``: ``{"fields": {name: {type, required, nullable, enum, min, max, minLength, maxLength, pattern,
     unit}}, "allowUnknown": bool}``.  After a null or type violation a field has no further ones."""
-    def build(a: Column) -> Column:
-        hits = F.array(*[h for name, f in spec["fields"].items() for h in _field_hits(a, name, f)])
-        if spec.get("allowUnknown"):
-            return hits
-        declared = F.array(*[F.lit(n) for n in spec["fields"]])
-        unknown = F.transform(F.array_except(keys(a), declared), lambda k: _hit(F.lit(True), k, "unknown", "low"))
-        return F.concat(hits, unknown)
-
-    return _run(df, id_col, args_col, build)
+    names = list(spec["fields"])
+    base = _with_fields(df, id_col, args_col, names)
+    hits = F.array(*[h for i, n in enumerate(names) for h in _field_hits(F.col(f"f{i}"), n, spec["fields"][n])])
+    if not spec.get("allowUnknown"):
+        declared = F.array(*[F.lit(n) for n in names])
+        hits = F.concat(hits, F.transform(F.array_except(keys(F.col("a")), declared), lambda k: _hit(F.lit(True), k, "unknown", "low")))
+    return _explode_hits(base, hits)
 
 
 def unit_heuristics(df: DataFrame, id_col: str, args_col: str, spec: dict) -> DataFrame:
-    def build(a: Column) -> Column:
-        return F.array(*[h for name, f in spec["fields"].items() if f.get("unit") for h in _field_hits(a, name, f, units_only=True)])
-
-    return _run(df, id_col, args_col, build)
+    names = [n for n, f in spec["fields"].items() if f.get("unit")]
+    base = _with_fields(df, id_col, args_col, names)
+    return _explode_hits(base, F.array(*[h for i, n in enumerate(names) for h in _field_hits(F.col(f"f{i}"), n, spec["fields"][n], units_only=True)]))
 
 
 _OPS = {"lte": "__le__", "gte": "__ge__", "lt": "__lt__", "gt": "__gt__", "eq": "__eq__", "neq": "__ne__"}
@@ -110,24 +111,24 @@ _OPS = {"lte": "__le__", "gte": "__ge__", "lt": "__lt__", "gt": "__gt__", "eq":
 def cross_field_rules(df: DataFrame, id_col: str, args_col: str, rules: list[dict]) -> DataFrame:
     """``rules``: ``{"left": path, "op": lte|gte|lt|gt|eq|neq, "right": path or {"const": value}}``.
     A missing side or two different types skip the rule."""
-    def side(a: Column, x) -> tuple[Column, Column]:
+    paths = list(dict.fromkeys(x for r in rules for x in (r["left"], r["right"]) if isinstance(x, str)))
+    base = df.select(F.col(id_col).alias("subject_id"), doc(F.col(args_col)).alias("a")).select(
+        "subject_id", *[facts(at(F.col("a"), "$" + "".join(f"['{p}']" for p in x.split(".")))).alias(f"f{i}") for i, x in enumerate(paths)])
+
+    def side(x) -> tuple[Column, Column]:
         if isinstance(x, dict):
             c = x["const"]
             is_num = isinstance(c, (int, float)) and not isinstance(c, bool)
             return (F.lit(float(c)) if is_num else F.lit(None).cast("double")), (F.lit(c) if isinstance(c, str) else F.lit(None).cast("string"))
-        v = at(a, "$" + "".join(f"['{p}']" for p in x.split(".")))
-        return number(v), string(v)
+        return F.col(f"f{paths.index(x)}.num"), F.col(f"f{paths.index(x)}.str")
 
-    def build(a: Column) -> Column:
-        hits = []
-        for r in rules:
-            (ln, ls), (rn, rs) = side(a, r["left"]), side(a, r["right"])
-            # A comparison with NULL is NULL: missing values and mixed types skip by themselves.
-            broken = F.coalesce(~getattr(ln, _OPS[r["op"]])(rn), ~getattr(ls, _OPS[r["op"]])(rs), F.lit(False))
-            hits.append(_hit(broken, f"__cross__.{r['left']}", f"cross-field.{r['op']}", "high"))
-        return F.array(*hits)
-
-    return _run(df, id_col, args_col, build)
+    hits = []
+    for r in rules:
+        (ln, ls), (rn, rs) = side(r["left"]), side(r["right"])
+        # A comparison with NULL is NULL: missing values and mixed types skip by themselves.
+        broken = F.coalesce(~getattr(ln, _OPS[r["op"]])(rn), ~getattr(ls, _OPS[r["op"]])(rs), F.lit(False))
+        hits.append(_hit(broken, f"__cross__.{r['left']}", f"cross-field.{r['op']}", "high"))
+    return _explode_hits(base, F.array(*hits))
 
 
 def tool_argument_findings(df: DataFrame, id_col: str, args_col: str, spec: dict) -> DataFrame:
@@ -160,20 +161,26 @@ def _pointer(name: str) -> str:
     return "/" + name.replace("~", "~0").replace("/", "~1")
 
 
-def _same(v: Column, value) -> Column:
+def _same(x: Column, value) -> Column:
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return F.coalesce(number(v) == float(value), F.lit(False))
-    return F.coalesce(text(v) == text(F.parse_json(F.lit(json.dumps(value)))), F.lit(False))
+        return F.coalesce(x["num"] == float(value), F.lit(False))
+    if isinstance(value, str):
+        return F.coalesce(x["str"] == value, F.lit(False))
+    return F.coalesce(text(x["v"]) == text(F.parse_json(F.lit(json.dumps(value)))), F.lit(False))
 
 
 def _schema_errors(v: Column, schema, path: Column) -> Column:
     """Array of errors of one value; built recursively over the schema, evaluated once per row."""
+    return let(facts(v), lambda x: _node_errors(x, schema, path))
+
+
+def _node_errors(x: Column, schema, path: Column) -> Column:
     none = F.array().cast(f"array<{_E}>")
     if schema is True:
         return none
     if schema is False:
         return F.array(_err(F.lit(True), path, "false schema"))
-    k = kind(v)
+    v, k = x["v"], x["kind"]
     flat: list[Column] = []
     nested: list[Column] = []
     nullable = schema.get("nullable") is True
@@ -181,16 +188,16 @@ def _schema_errors(v: Column, schema, path: Column) -> Column:
         types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         ok = F.lit(False)
         for t in types:
-            ok = ok | F.coalesce(_type_ok(v, t), F.lit(False))
+            ok = ok | _type_ok(x, t)
         flat.append(_err(~ok, path, "type"))
     if "enum" in schema:
         ok = F.lit(False)
         for value in schema["enum"]:
-            ok = ok | _same(v, value)
+            ok = ok | _same(x, value)
         flat.append(_err(~ok, path, "enum"))
     if "const" in schema:
-        flat.append(_err(~_same(v, schema["const"]), path, "const"))
-    s, n = string(v), number(v)
+        flat.append(_err(~_same(x, schema["const"]), path, "const"))
+    s, n = x["str"], x["num"]
     tests = {
         "minLength": lambda x: F.length(s) < x, "maxLength": lambda x: F.length(s) > x, "pattern": lambda x: ~s.rlike(x),
         "format": lambda x: ~s.rlike(FORMATS[x]) if x in FORMATS else F.lit(False),
@@ -201,7 +208,7 @@ def _schema_errors(v: Column, schema, path: Column) -> Column:
         if word in schema:
             flat.append(_err(test(schema[word]), path, word))
     if any(w in schema for w in ("minItems", "maxItems", "uniqueItems", "items")):
-        arr = items_of(v)
+        arr = items(v)
         is_arr = k == "array"
         if "minItems" in schema:
             flat.append(_err(is_arr & (F.size(arr) < schema["minItems"]), path, "minItems"))
@@ -215,7 +222,7 @@ def _schema_errors(v: Column, schema, path: Column) -> Column:
             for i, sub in enumerate(part):
                 nested.append(F.when(is_arr & (F.size(arr) > i), _schema_errors(F.get(arr, i), sub, F.concat(path, F.lit(f"/{i}")))))
         elif part is not None:
-            nested.append(F.flatten(F.transform(arr, lambda x, i: _schema_errors(x, part, F.concat(path, F.lit("/"), i.cast("string"))))))
+            nested.append(F.flatten(F.transform(arr, lambda e, i: _schema_errors(e, part, F.concat(path, F.lit("/"), i.cast("string"))))))
     if any(w in schema for w in ("minProperties", "maxProperties", "required", "properties", "additionalProperties")):
         is_obj = F.coalesce(k == "object", F.lit(False))
         names = keys(v)
@@ -243,15 +250,11 @@ def _schema_errors(v: Column, schema, path: Column) -> Column:
     return F.when(F.coalesce(k == "null", F.lit(False)), none).otherwise(out) if nullable else out
 
 
-def items_of(v: Column) -> Column:
-    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
-
-
 def schema_conformance(df: DataFrame, id_col: str, json_col: str, schema: dict) -> DataFrame:
     """One row per violation with its JSON pointer.  Text that is not JSON fails with keyword ``json``."""
     base = df.select(F.col(id_col).alias("subject_id"), doc(F.col(json_col)).alias("d"))
     errors = F.when(F.col("d").isNull(), F.array(_err(F.lit(True), F.lit(""), "json"))).otherwise(_schema_errors(F.col("d"), schema, F.lit("")))
-    return base.select("subject_id", F.explode(errors).alias("e")).select("subject_id", "e.*")
+    return explode_rows(base, ["subject_id"], errors, "e").select("subject_id", "e.*")
 
 
 def schema_verdicts(df: DataFrame, id_col: str, json_col: str, schema: dict, mode: str = "block") -> DataFrame:

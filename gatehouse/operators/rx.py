@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.operators.findings import base_verdict, pick
 
 # Severity order and unit synonyms.
@@ -50,8 +51,12 @@ def canonical_unit(unit: Column) -> Column:
 
 
 def _with_reference(rx: DataFrame, meds: DataFrame) -> DataFrame:
-    ref = meds.select("generic", "unit_type", "canonical_unit", "max_daily", "max_mg_per_kg")
-    return resolve_drugs(rx, meds).join(ref, "generic", "left")
+    """One lookup per prescription: names and reference values are joined on the small side first."""
+    ref = drug_aliases(meds).withColumnRenamed("generic", "found").join(meds.select(
+        F.col("generic").alias("found"), "unit_type", "canonical_unit", "max_daily", "max_mg_per_kg"), "found")
+    return rx.withColumn("alias", _key("name")).join(ref, "alias", "left").select(
+        *rx.columns, F.coalesce("found", "alias").alias("generic"), F.col("found").isNotNull().alias("known"),
+        "unit_type", "canonical_unit", "max_daily", "max_mg_per_kg")
 
 
 def _unit_issue() -> Column:
@@ -67,34 +72,53 @@ def _unit_issue() -> Column:
     )
 
 
-def _shape(df: DataFrame, kind: str, severity: Column, message: Column, drug: str = "generic") -> DataFrame:
-    return df.select("patient_id", "pos", F.lit(kind).alias("kind"), severity.alias("severity"), F.col(drug).alias("drug"),
-                     F.lit(None).cast("string").alias("other_drug"), message.alias("message"))
+_ISSUE = "struct<kind:string,severity:string,message:string>"
+
+
+def _issue(when: Column, kind: str, severity: Column | str, message: Column | str) -> Column:
+    c = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.when(when, F.struct(F.lit(kind).alias("kind"), c(severity).alias("severity"), c(message).alias("message"))).cast(_ISSUE)
+
+
+def _unknown() -> Column:
+    return _issue(~F.col("known"), "dose", "low", "not in the reference table")
+
+
+def _unit() -> Column:
+    issue = F.col("unit_issue")
+    return _issue(issue.isNotNull(), "unit", F.when(issue == "unrecognised unit", "moderate").otherwise("major"), issue)
+
+
+def _doses() -> list[Column]:
+    """Only where the unit raised no finding; a missing unit is taken as canonical."""
+    daily = F.when(F.col("unit_issue").isNull() & F.col("known"), F.col("dose") * F.col("freq"))
+    top = F.col("max_daily")
+    return [
+        _issue(daily >= 2 * top, "dose", "contraindicated", "at least twice the maximum daily dose"),
+        _issue((daily > top) & (daily < 2 * top), "dose", "major", "above the maximum daily dose"),
+        _issue(daily > F.col("max_mg_per_kg") * F.col("weight_kg"), "dose", "major", "above the maximum dose by weight"),
+    ]
+
+
+def _per_prescription(rx: DataFrame, meds: DataFrame, patients: DataFrame | None, issues: list[Column]) -> DataFrame:
+    ready = _with_reference(rx, meds).withColumn("unit_issue", _unit_issue())
+    if patients is not None:
+        ready = ready.join(patients.select("patient_id", "weight_kg"), "patient_id", "left")
+    found = F.filter(F.array(*issues), lambda x: x.isNotNull())
+    return explode_rows(ready, ["patient_id", "pos", F.col("generic").alias("drug")], found, "i").select(
+        "patient_id", "pos", "i.kind", "i.severity", "drug", F.lit(None).cast("string").alias("other_drug"), "i.message")
 
 
 def unknown_drug_findings(rx: DataFrame, meds: DataFrame) -> DataFrame:
-    return _shape(resolve_drugs(rx, meds).where(~F.col("known")), "dose", F.lit("low"), F.lit("not in the reference table"))
+    return _per_prescription(rx, meds, None, [_unknown()])
 
 
 def unit_findings(rx: DataFrame, meds: DataFrame) -> DataFrame:
-    bad = _with_reference(rx, meds).withColumn("issue", _unit_issue()).where("issue is not null")
-    return _shape(bad, "unit", F.when(F.col("issue") == "unrecognised unit", "moderate").otherwise("major"), F.col("issue"))
+    return _per_prescription(rx, meds, None, [_unit()])
 
 
 def dose_findings(rx: DataFrame, meds: DataFrame, patients: DataFrame) -> DataFrame:
-    """Only where the unit raised no finding; a missing unit is taken as canonical."""
-    daily = F.col("dose") * F.col("freq")
-    ready = (
-        _with_reference(rx, meds).where(_unit_issue().isNull() & F.col("known") & F.col("dose").isNotNull() & F.col("freq").isNotNull())
-        .withColumn("daily", daily).join(patients.select("patient_id", "weight_kg"), "patient_id", "left")
-    )
-    issue = "struct<severity:string,message:string>"
-    over = F.when(F.col("daily") >= 2 * F.col("max_daily"), F.struct(F.lit("contraindicated").alias("severity"), F.lit("at least twice the maximum daily dose").alias("message"))).when(
-        F.col("daily") > F.col("max_daily"), F.struct(F.lit("major").alias("severity"), F.lit("above the maximum daily dose").alias("message")))
-    by_weight = F.when(F.col("daily") > F.col("max_mg_per_kg") * F.col("weight_kg"),
-                       F.struct(F.lit("major").alias("severity"), F.lit("above the maximum dose by weight").alias("message")))
-    issues = F.filter(F.array(over.cast(issue), by_weight.cast(issue)), lambda x: x.isNotNull())
-    return _shape(ready.withColumn("i", F.explode(issues)), "dose", F.col("i.severity"), F.col("i.message"))
+    return _per_prescription(rx, meds, patients, _doses())
 
 
 def pair_table(pairs: DataFrame) -> DataFrame:
@@ -120,10 +144,8 @@ def interaction_pairs(rx: DataFrame, meds: DataFrame, pairs: DataFrame) -> DataF
 
 
 def rx_findings(rx: DataFrame, meds: DataFrame, pairs: DataFrame, patients: DataFrame) -> DataFrame:
-    return (
-        unknown_drug_findings(rx, meds).unionByName(unit_findings(rx, meds))
-        .unionByName(dose_findings(rx, meds, patients)).unionByName(interaction_pairs(rx, meds, pairs))
-    )
+    """All findings: one pass over the prescriptions for names, units and doses, and the interaction join."""
+    return _per_prescription(rx, meds, patients, [_unknown(), _unit(), *_doses()]).unionByName(interaction_pairs(rx, meds, pairs))
 
 
 def rx_verdicts(findings: DataFrame, patients: DataFrame, threshold: str = "major") -> DataFrame:

@@ -11,6 +11,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.functions.spans import find_spans, line_of
 from gatehouse.operators.findings import SEVERITY_RANK
 
@@ -87,13 +88,11 @@ def resolve_overlaps(df: DataFrame, spans_col: str = "raw_spans", out: str = "sp
 
 
 def explode_spans(scanned: DataFrame, id_col: str, text_col: str, mask_with, spans_col: str = "spans") -> DataFrame:
-    lined = scanned.select(
-        F.col(id_col).alias("subject_id"),
-        F.explode(F.transform(F.col(spans_col), lambda s: F.struct(
+    rows = F.transform(
+        F.col(spans_col), lambda s: F.struct(
             s["start"].alias("start"), s["end"].alias("end"), s["rule_id"].alias("rule_id"),
             s["category"].alias("category"), s["severity"].alias("severity"), s["validated"].alias("validated"),
             s["confidence"].alias("confidence"), s["jurisdiction"].alias("jurisdiction"),
             mask_with(s["raw"]).alias("matched"), line_of(F.col(text_col), s["start"]).alias("line"),
-        ))).alias("s"),
-    )
-    return lined.select("subject_id", "s.*")
+        ))
+    return explode_rows(scanned, [F.col(id_col).alias("subject_id")], rows, "s").select("subject_id", "s.*")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.operators.findings import as_findings
 
 SEP = "\x1e"
@@ -82,7 +83,7 @@ def _finding(when: Column, rule: str, severity: str, message: str) -> Column:
 def sql_log_findings(df: DataFrame, id_col: str, sql_col: str, max_statements: int = 1, allow_unbounded_writes: bool = False,
                      allow_ddl: bool = False) -> DataFrame:
     base = df.select(F.col(id_col).alias("subject_id"), statements(F.col(sql_col)).alias("stmts"))
-    per = base.select("subject_id", F.size("stmts").alias("n_statements"), F.posexplode("stmts").alias("position", "st"))
+    per = explode_rows(base, ["subject_id", F.size("stmts").alias("n_statements")], F.col("stmts"), "st", "position")
     # Bound once per statement: the text without comments and its leading keyword.
     per = per.withColumn("clean", F.regexp_replace("st", f"{SEP}C(?={SEP})", "")).withColumn(
         "kw", F.regexp_extract("clean", f"{SEP}W({'|'.join(KEYWORDS)}){SEP}", 1))
@@ -104,6 +105,6 @@ def sql_log_findings(df: DataFrame, id_col: str, sql_col: str, max_statements: i
         _finding((kw == "SELECT") & ~clean.rlike(_word("WHERE", "LIMIT", "TOP", "FETCH")) & select_star(clean),
                  "SQL-SELECT-STAR-NO-LIMIT", "low", "SELECT * without WHERE or LIMIT"),
     )
-    hits = per.select("subject_id", "position", F.trim(F.substring(F.regexp_replace("st", f"{SEP}[A-Z]?", " "), 1, 120)).alias("matched"),
-                      F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("f"))
+    shown = F.trim(F.substring(F.regexp_replace("st", f"{SEP}[A-Z]?", " "), 1, 120)).alias("matched")
+    hits = explode_rows(per, ["subject_id", "position", shown], F.filter(rules, lambda r: r.isNotNull()), "f")
     return as_findings(hits.select("subject_id", "position", "matched", "f.*").withColumn("category", F.lit("SQL")), "sql")

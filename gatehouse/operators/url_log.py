@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions.bind import let
+from gatehouse.functions.bind import explode_rows, let
 from gatehouse.operators.findings import as_findings, pick
 
 # IPv4 ranges (first match wins), metadata hosts, default ports.
@@ -175,7 +175,7 @@ def url_log_findings(df: DataFrame, id_col: str, url_col: str, allow_schemes: li
         _finding(has_host & (F.col("host_type") == "hostname") & F.col("host").rlike(r"xn--|[^\x00-\x7F]"), "NET-PUNYCODE-HOMOGRAPH", "medium", "internationalised host"),
         _finding(port, "NET-NONSTANDARD-PORT", "low", "port not allowed or not the default"),
     )
-    hits = p.select("subject_id", F.col("host").alias("matched"), F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("f"))
+    hits = explode_rows(p, ["subject_id", F.col("host").alias("matched")], F.filter(rules, lambda r: r.isNotNull()), "f")
     return as_findings(hits.select("subject_id", "matched", "f.*").withColumn("category", F.lit("NET")), "url")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.operators import claims, distill, findings, imports, injection, legal, pii, secrets, tokens
-from gatehouse.plans.inputs import ctes, load, plain, table
+from gatehouse.plans.inputs import ctes, plain, table
+from gatehouse.plans.inputs import spread_load as load
 from gatehouse.sources import reference
 from gatehouse.sources.tables import spread
 
@@ -260,7 +261,7 @@ _CITE_CTE = _CITE_CTE.replace("{{", "{").replace("}}", "}")
 
 @query("citation_format_findings", f"with {ctes('cited')}, {_CITE_CTE} select subject_id, check_type, text, 'FLAG' as verdict, confidence from cites")
 def _(spark, d):
-    return claims.citation_format_findings(spread(load(spark, d, "cited")), "doc_id", "text").select("subject_id", "check_type", "text", "verdict", "confidence")
+    return claims.citation_format_findings(load(spark, d, "cited"), "doc_id", "text").select("subject_id", "check_type", "text", "verdict", "confidence")
 
 
 _NUM_CTE = """s1 as (select doc_id, unnest(regexp_extract_all(text, '([^.!?\\n]+\\d+(?:\\.\\d+)?%[^.!?\\n]*\\d+(?:\\.\\d+)?%[^.!?\\n]*[.!?\\n])', 1)) as t from cited),
@@ -271,7 +272,7 @@ _NUM_CTE = """s1 as (select doc_id, unnest(regexp_extract_all(text, '([^.!?\\n]+
 
 @query("numeric_contradictions", f"with {ctes('cited')}, {_NUM_CTE} select subject_id, text, 'FLAG' as verdict from nums")
 def _(spark, d):
-    return claims.numeric_contradictions(spread(load(spark, d, "cited")), "doc_id", "text").select("subject_id", "text", "verdict")
+    return claims.numeric_contradictions(load(spark, d, "cited"), "doc_id", "text").select("subject_id", "text", "verdict")
 
 
 _LINK_CTE = f"""u as (select page_id, unnest(regexp_extract_all(text, 'https?://{_URLB}+')) as t from linked),
@@ -341,7 +342,7 @@ def _outputs(spark, d):
     text = load(spark, d, "cited").select(F.concat(F.lit("d"), "doc_id").alias("subject_id"), F.lit(None).cast("string").alias("language"), "text")
     page = load(spark, d, "linked").select(F.concat(F.lit("p"), "page_id").alias("subject_id"), F.lit(None).cast("string").alias("language"), "text")
     code = load(spark, d, "snippets").select(F.concat(F.lit("c"), "part_id").alias("subject_id"), "language", F.col("code").alias("text"))
-    return spread(text.unionByName(page).unionByName(code))
+    return text.unionByName(page).unionByName(code)
 
 
 _ALL_CLAIMS = f"""with {ctes('cited', 'linked', 'crawl', 'snippets', 'registry')}, {_CITE_CTE}, {_NUM_CTE}, {_LINK_CTE}, {_IMPORTS},

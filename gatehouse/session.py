@@ -7,6 +7,10 @@ import os
 from pyspark.sql import SparkSession
 
 
+# Capturing the call site of every Column operation costs seconds on large expressions.
+CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def build_session(app: str = "gatehouse", master: str | None = None, shuffle_partitions: int | None = None,
                   **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution (skew splitting, partition coalescing)."""
@@ -16,6 +20,7 @@ def build_session(app: str = "gatehouse", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config(CALL_SITES, "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
