@@ -87,17 +87,19 @@ def _vat_pattern(p: str) -> str:
 
 
 def reference_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    from gatehouse.sources.reference import local_table
+
     cards = []
     for i, line in enumerate(CARD_RANGES.strip().split("\n")):
         span, lengths, network = line.split()
         lo, hi = span.split("-")
         cards.append((i, lo, hi, [int(n) for n in lengths.split(",")], network))
     return {
-        "iban_lengths": spark.createDataFrame(sorted(IBAN_LENGTH.items()), "country string, length int"),
-        "bins": spark.createDataFrame(cards, "pos int, prefix_from string, prefix_to string, lengths array<int>, network string"),
-        "vat_rules": spark.createDataFrame([(c, n, _vat_pattern(p), k or None) for c, n, p, k in _vat_rules()],
+        "iban_lengths": local_table(spark, sorted(IBAN_LENGTH.items()), "country string, length int"),
+        "bins": local_table(spark, cards, "pos int, prefix_from string, prefix_to string, lengths array<int>, network string"),
+        "vat_rules": local_table(spark, [(c, n, _vat_pattern(p), k or None) for c, n, p, k in _vat_rules()],
                                            "country string, name string, pattern string, checksum string"),
-        "ein_prefixes": spark.createDataFrame([(p,) for p in EIN_PREFIXES], "prefix string"),
+        "ein_prefixes": local_table(spark, [(p,) for p in EIN_PREFIXES], "prefix string"),
     }
 
 

@@ -1,12 +1,16 @@
 """Reference tables as DataFrames: small literals, or rules where a rule gives the rows.
 
-All of them are constants of known size (the largest has 175 rows), so Spark broadcasts them by itself.
+All of them are constants (the largest has 175 rows) held as local relations: Spark knows their size and
+broadcasts them, and what is derived from them, by its own threshold.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Generic name | brand names | dimension | canonical unit | maximum daily dose | maximum mg per kg and day.
 MEDICATIONS = """
@@ -240,6 +244,13 @@ specialty: U.S.P.Q. | U.S.P.Q.2d | Env't Rep. | T.C. | T.C.M.
 """
 
 
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small literal table whose size the optimizer knows (an Arrow table becomes a local relation)."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    columns = [pa.array([r[i] for r in rows], type=field.type) for i, field in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=schema))
+
+
 def _lines(block: str) -> list[list[str]]:
     return [line.split("|") for line in block.strip().split("\n")]
 
@@ -250,13 +261,13 @@ def medications(spark: SparkSession) -> DataFrame:
         (g, [b for b in brands.split(",") if b], dim, unit, float(top) if top else None, float(per_kg) if per_kg else None, i)
         for i, (g, brands, dim, unit, top, per_kg) in enumerate(_lines(MEDICATIONS))
     ]
-    return spark.createDataFrame(rows, "generic string, brands array<string>, unit_type string, canonical_unit string, "
-                                       "max_daily double, max_mg_per_kg double, med_pos int")
+    return local_table(spark, rows, "generic string, brands array<string>, unit_type string, canonical_unit string, "
+                                    "max_daily double, max_mg_per_kg double, med_pos int")
 
 
 def interactions(spark: SparkSession) -> DataFrame:
     rows = [(a, b, s, i) for i, (a, b, s) in enumerate(_lines(INTERACTIONS))]
-    return spark.createDataFrame(rows, "drug_a string, drug_b string, severity string, pair_pos int")
+    return local_table(spark, rows, "drug_a string, drug_b string, severity string, pair_pos int")
 
 
 def sanctions(spark: SparkSession) -> DataFrame:
@@ -265,8 +276,8 @@ def sanctions(spark: SparkSession) -> DataFrame:
         (rid, name, [a for a in aliases.split(";") if a], program or None, kind, lst, where or None, i)
         for i, (rid, name, aliases, program, kind, lst, where) in enumerate(_lines(SANCTIONS))
     ]
-    return spark.createDataFrame(rows, "record_id string, name string, aliases array<string>, program string, "
-                                       "entity_type string, list string, jurisdiction string, list_pos int")
+    return local_table(spark, rows, "record_id string, name string, aliases array<string>, program string, "
+                                    "entity_type string, list string, jurisdiction string, list_pos int")
 
 
 def reporters(spark: SparkSession) -> DataFrame:
@@ -274,7 +285,7 @@ def reporters(spark: SparkSession) -> DataFrame:
     for line in REPORTERS.strip().split("\n"):
         category, names = line.split(": ", 1)
         rows += [(name, category) for name in names.split(" | ")]
-    return spark.createDataFrame(rows, "abbr string, category string").dropDuplicates(["abbr"])
+    return local_table(spark, rows, "abbr string, category string").dropDuplicates(["abbr"])
 
 
 def holidays(spark: SparkSession, first_year: int = 2020, last_year: int = 2035) -> DataFrame:
