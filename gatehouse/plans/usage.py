@@ -62,7 +62,7 @@ def _(spark, d):
                                                    F.when(F.col("s_suppkey") % 3 == 0, "-0-").otherwise(F.concat(F.lit("P"), "s_nationkey")).alias("d")))
     twice = F.filter(F.array(row(F.col("s_name"), F.lit(True)), row(F.concat("s_name", F.lit(" v2")), F.col("s_suppkey") % 10 == 0)), lambda x: x.isNotNull())
     rows = s.select(F.explode(twice).alias("r")).select("r.*")
-    blank = s.limit(1).select(F.lit("-0-").alias("a"), F.lit("nobody").alias("b"), F.lit("").alias("c"), F.lit("").alias("d"))
+    blank = spark.range(1).select(F.lit("-0-").alias("a"), F.lit("nobody").alias("b"), F.lit("").alias("c"), F.lit("").alias("d"))
     rows.unionByName(blank).coalesce(1).write.option("quote", '"').option("escape", '"').csv(folder + "/prim")
     alias = lambda n, when: F.when(when, F.struct(F.col("s_suppkey").cast("string").alias("a"), F.lit("1").alias("b"), F.lit("aka").alias("c"), n.alias("d")))
     first = F.concat(F.lit('AKA, "'), "s_suppkey", F.lit('"'))
