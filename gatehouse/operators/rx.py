@@ -121,11 +121,16 @@ def dose_findings(rx: DataFrame, meds: DataFrame, patients: DataFrame) -> DataFr
     return _per_prescription(rx, meds, patients, _doses())
 
 
-def pair_table(pairs: DataFrame) -> DataFrame:
-    """Each unordered pair once with its worst severity, then both directions."""
+def worst_pairs(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair once (``a <= b``) with its worst severity."""
     key = pairs.select(F.least("drug_a", "drug_b").alias("a"), F.greatest("drug_a", "drug_b").alias("b"), "severity", "pair_pos")
-    worst = key.groupBy("a", "b").agg(
+    return key.groupBy("a", "b").agg(
         F.min_by("severity", F.struct(-pick(RX_RANK, F.col("severity")), F.col("pair_pos"))).alias("severity"))
+
+
+def pair_table(pairs: DataFrame) -> DataFrame:
+    """Both directions of every pair."""
+    worst = worst_pairs(pairs)
     return worst.unionByName(worst.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "severity"))
 
 
@@ -143,15 +148,38 @@ def interaction_pairs(rx: DataFrame, meds: DataFrame, pairs: DataFrame) -> DataF
         F.col("generic").alias("other_drug"), F.concat_ws(" + ", "drug", "generic").alias("message"))
 
 
+def interaction_counts(rx: DataFrame, meds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``patient_id, severity, n``: how many interacting pairs, without forming them.
+
+    Prescriptions are counted per patient and drug first, so a patient holding a third of all rows brings
+    one row per distinct drug to the join.
+    """
+    per = resolve_drugs(rx, meds).groupBy("patient_id", "generic").agg(F.count(F.lit(1)).alias("k"))
+    left = per.join(worst_pairs(pairs), F.col("generic") == F.col("a")).select("patient_id", "a", F.col("k").alias("ka"), F.col("b").alias("generic"), "severity")
+    n = F.when(F.col("a") == F.col("generic"), F.floor(F.col("ka") * (F.col("ka") - 1) / 2)).otherwise(F.col("ka") * F.col("k"))
+    return left.join(per, ["patient_id", "generic"]).select("patient_id", "severity", n.alias("n")).where("n > 0")
+
+
 def rx_findings(rx: DataFrame, meds: DataFrame, pairs: DataFrame, patients: DataFrame) -> DataFrame:
     """All findings: one pass over the prescriptions for names, units and doses, and the interaction join."""
     return _per_prescription(rx, meds, patients, [_unknown(), _unit(), *_doses()]).unionByName(interaction_pairs(rx, meds, pairs))
 
 
-def rx_verdicts(findings: DataFrame, patients: DataFrame, threshold: str = "major") -> DataFrame:
-    agg = findings.groupBy("patient_id").agg(
-        F.max(pick(RX_RANK, F.col("severity"))).alias("worst"), F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in RX_RANK])
+def _verdicts(counted: DataFrame, patients: DataFrame, threshold: str) -> DataFrame:
+    agg = counted.groupBy("patient_id").agg(
+        F.max(pick(RX_RANK, F.col("severity"))).alias("worst"), F.sum("n").alias("n"),
+        *[F.sum(F.when(F.col("severity") == s, F.col("n"))).alias(f"n_{s}") for s in RX_RANK])
     return patients.select("patient_id").join(agg, "patient_id", "left").select(
         "patient_id", base_verdict(F.col("n"), F.col("worst"), threshold, "block", RX_RANK).alias("verdict"),
         F.coalesce("n", F.lit(0)).alias("total_findings"), *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in RX_RANK])
+
+
+def rx_verdicts(findings: DataFrame, patients: DataFrame, threshold: str = "major") -> DataFrame:
+    """Verdicts of a findings table."""
+    return _verdicts(findings.select("patient_id", "severity", F.lit(1).cast("long").alias("n")), patients, threshold)
+
+
+def rx_check(rx: DataFrame, meds: DataFrame, pairs: DataFrame, patients: DataFrame, threshold: str = "major") -> DataFrame:
+    """Verdicts straight from prescriptions: interactions are counted, not listed."""
+    own = _per_prescription(rx, meds, patients, [_unknown(), _unit(), *_doses()]).select("patient_id", "severity", F.lit(1).cast("long").alias("n"))
+    return _verdicts(own.unionByName(interaction_counts(rx, meds, pairs)), patients, threshold)

@@ -150,9 +150,7 @@ def _(spark, d):
     select p.patient_id, case when n is null then 'PASS' when w >= 2 then 'BLOCK' else 'FLAG' end as verdict, coalesce(n, 0) as total_findings, coalesce(n_low, 0) as n_low, coalesce(n_moderate, 0) as n_moderate,
     coalesce(n_major, 0) as n_major, coalesce(n_contraindicated, 0) as n_contraindicated from patients p left join g using (patient_id)""")
 def _(spark, d):
-    people = load(spark, d, "patients")
-    found = rx.rx_findings(_rx(spark, d), reference.medications(spark), reference.interactions(spark), people)
-    return rx.rx_verdicts(found, people)
+    return rx.rx_check(_rx(spark, d), reference.medications(spark), reference.interactions(spark), load(spark, d, "patients"))
 
 
 # Market ----------------------------------------------------------------------------------------------

@@ -84,6 +84,20 @@ def test_prescriptions(spark):
     assert [r["verdict"] for r in rx.rx_verdicts(found, people).orderBy("patient_id").collect()] == ["BLOCK"] * 3 + ["FLAG", "BLOCK", "BLOCK", "FLAG", "BLOCK", "PASS"]
 
 
+def test_interactions_of_one_patient_with_most_rows(spark):
+    """Counts per severity equal the listed pairs, self-pairs of a duplicated drug included."""
+    pairs = spark.createDataFrame([("aspirin", "warfarin", "major", 0), ("warfarin", "aspirin", "moderate", 1), ("aspirin", "aspirin", "moderate", 2)], "drug_a string, drug_b string, severity string, pair_pos int")
+    drugs = ["aspirin", "warfarin", "ibuprofen"]
+    df = spark.range(120).select(F.when(F.col("id") < 100, 1).otherwise(F.col("id")).alias("patient_id"), F.col("id").alias("pos"), F.element_at(F.array(*[F.lit(x) for x in drugs]), (F.col("id") % 3 + 1).cast("int")).alias("name"),
+                                 F.lit(None).cast("double").alias("dose"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("freq"))
+    meds = reference.medications(spark)
+    people = df.select("patient_id").distinct().withColumn("weight_kg", F.lit(None).cast("double"))
+    counts = {(r["patient_id"], r["severity"]): r["n"] for r in rx.interaction_counts(df, meds, pairs).groupBy("patient_id", "severity").agg(F.sum("n").alias("n")).collect()}
+    assert counts == {(1, "major"): 34 * 33, (1, "moderate"): 34 * 33 // 2}
+    listed = rx.rx_verdicts(rx.rx_findings(df, meds, pairs, people), people)
+    assert sorted(listed.collect()) == sorted(rx.rx_check(df, meds, pairs, people).collect())
+
+
 def test_price(spark):
     q = spark.createDataFrame([("A", "x", 100.0), ("A", "y", 101.0), ("B", "x", 100.0), ("B", "y", 110.0), ("C", "x", 5.0)], "symbol string, source string, price double").withColumn("updated_at", F.lit(None).cast("timestamp"))
     p = spark.createDataFrame([(1, "A", None), (2, "B", None), (3, "C", None), (4, "D", None), (5, "A", 80.0), (6, "A", 96.5)], "proposal_id int, symbol string, proposed_price double").withColumn("asset_type", F.lit("crypto"))
