@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 # Capturing the call site of every Column operation costs seconds on large expressions.
 CALL_SITES = "spark.python.sql.dataFrameDebugging.enabled"
@@ -36,7 +40,7 @@ def build_session(app: str = "gatehouse", master: str | None = None, shuffle_par
 def ensure_utc(spark: SparkSession) -> SparkSession:
     """Hour buckets and epoch conversions are defined in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return ship_package(spark)
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
@@ -51,3 +55,23 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         os.makedirs(fallback, exist_ok=True)
         spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once per application, so that they need no installation of it.
+
+    Spark's own file server delivers the archive; executors that join later get it as well.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="gatehouse-"), "gatehouse.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(home):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(home)))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark

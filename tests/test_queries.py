@@ -6,8 +6,12 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from __spark_entry__ import oracle_sql as every_oracle
+from __spark_entry__ import queries as every_query
 from gatehouse.plans.inputs import TABLES
+from gatehouse.plans.registry import all_oracles as oracle_sql
+from gatehouse.plans.registry import all_queries as queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -30,6 +34,7 @@ def duck():
 
 def test_oracles_belong_to_queries():
     assert set(oracle_sql()) <= set(queries())
+    assert set(queries()) <= set(every_query()) and set(oracle_sql()) <= set(every_oracle()) <= set(every_query())
     assert set(queries()) - set(oracle_sql()) == {"usage_overview_approx"}
 
 
@@ -39,7 +44,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = every_query()[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
     if name not in oracle_sql():
