@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import simhash, url_filter
+import public_tokenizers
+
+from gatehouse.llm import html_text, sentence_pieces, simhash, token_counts, token_ids, url_filter
 from gatehouse.sources.tables import load
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
+# Vocabulary files, on every machine at the same place.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 # Path rules of the URL query: action, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -20,6 +26,21 @@ def query(fn):
     return fn
 
 
+@query
+def op2_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_pieces.round_trips(load(spark, d, "documents"), PIECES, keep=["doc_id"])
+
+
+@query
+def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.token_counts(load(spark, d, "documents"), PIECES, keep=["doc_id", "n_chars"])
+
+
+@query
+def op6_token_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids.read_documents(token_ids.write_ids(load(spark, d, "documents"), WORD_BPE))
+
+
 @query
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     weights = url_filter.train(url_filter.labelled_urls(spark))
@@ -30,3 +51,8 @@ def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op9_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, d, "documents"))
+
+
+@query
+def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract(load(spark, d, "pages"), keep=["page_id", "url"])
