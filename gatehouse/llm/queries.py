@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gatehouse.llm import html_text, sentence_pieces, simhash, token_counts, token_ids, url_filter
+from gatehouse.llm import html_text, language, quality, sentence_pieces, simhash, token_counts, token_ids, url_filter
+from gatehouse.llm.arrow import crc_mod
 from gatehouse.sources.tables import load
 
 QUERIES: dict = {}
@@ -31,6 +32,13 @@ def op2_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sentence_pieces.round_trips(load(spark, d, "documents"), PIECES, keep=["doc_id"])
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    out = quality.score(docs, quality.train(docs, load(spark, d, "labels")), keep=["doc_id"])
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts.token_counts(load(spark, d, "documents"), PIECES, keep=["doc_id", "n_chars"])
@@ -41,6 +49,13 @@ def op6_token_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids.read_documents(token_ids.write_ids(load(spark, d, "documents"), WORD_BPE))
 
 
+@query
+def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    out = language.identify(docs, language.train(docs), keep=["doc_id"])
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), language.FOLDS) == language.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_url_filter(spark: SparkSession, d: str) -> DataFrame:
     weights = url_filter.train(url_filter.labelled_urls(spark))
