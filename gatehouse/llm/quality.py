@@ -24,7 +24,7 @@ EMBEDDING, FILTERS, HIDDEN = 8, 24, 16
 FOLDS, HELD_OUT = 3, 1
 # Training rows per label, and chunks taken of each: the bound of the sample.
 PER_LABEL, CHUNKS_PER_TEXT = 1500, 6
-STEPS, BATCH, RATE = 700, 48, 4e-3
+STEPS, BATCH, RATE = 600, 40, 4e-3
 SHORTENED = 0.25  # share of training texts cut down to a few words
 _BLOCK = 256  # chunks in one matrix product
 

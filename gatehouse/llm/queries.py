@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gatehouse.llm import html_text, language, quality, sentence_pieces, simhash, token_counts, token_ids, url_filter
+from gatehouse.llm import decontamination, html_text, language, quality, sentence_pieces, simhash, token_counts, token_ids, url_filter
 from gatehouse.llm.arrow import crc_mod
 from gatehouse.sources.tables import load
 
@@ -27,6 +27,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontamination.contamination(load(spark, d, "documents"), load(spark, d, "benchmark"))
+
+
 @query
 def op2_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sentence_pieces.round_trips(load(spark, d, "documents"), PIECES, keep=["doc_id"])

@@ -21,11 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return checkpoint_dir(spark, tempfile.mkdtemp(prefix="gatehouse-"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet into a new folder of the shared folder, and read again.
 
     Cuts lineage: what follows re-reads files that survive lost executors instead of running ``df`` again.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
