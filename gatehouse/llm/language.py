@@ -167,8 +167,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return Model.fit(x, [v for v, _ in found])
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score`` (0 to 1); one row out for each row in.
+def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``lang_pred`` and ``score`` (0 to 1), or as ``names`` has it; one row out for each row in.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or if there is no model.  Whole texts are read.
     Columns of those names in the input are replaced, all others stay.
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: lis
         found = [model.predict(t) if model else (UNDETERMINED, 0.0) for t in texts]
         return [pa.array([v for v, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
 
-    return with_columns(docs, text, {"lang_pred": T.StringType(), "score": T.DoubleType()}, make, keep)
+    return with_columns(docs, text, {names[0]: T.StringType(), names[1]: T.DoubleType()}, make, keep)

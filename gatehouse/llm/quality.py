@@ -155,8 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit([c for _, c in found], [v for v, _ in found])
 
 
-def score(docs: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); one row out for each row in.
+def score(docs: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on), or as ``names`` has it; one row
+    out for each row in.
 
     Null and empty texts are scored as a text of zeros.  Without a model every score is 0.5.  Columns of those names
     in the input are replaced, all others stay.
@@ -165,4 +166,4 @@ def score(docs: DataFrame, net: Network | None, text: str = "text", keep: list[s
         found = np.array([net.score(t) if net else 0.5 for t in texts], float)
         return [pa.array(found), pa.array((found >= 0.5).astype(np.int32))]
 
-    return with_columns(docs, text, {"score": T.DoubleType(), "predicted": T.IntegerType()}, make, keep)
+    return with_columns(docs, text, {names[0]: T.DoubleType(), names[1]: T.IntegerType()}, make, keep)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gatehouse.llm import decontamination, html_text, language, quality, sentence_pieces, simhash, token_counts, token_ids, url_filter
+from gatehouse.llm import decontamination, fingerprints, html_text, language, quality, sentence_pieces, simhash, token_counts, token_ids, url_filter
 from gatehouse.llm.arrow import crc_mod
 from gatehouse.sources.tables import load
 
@@ -37,6 +37,11 @@ def op2_sentence_pieces(spark: SparkSession, d: str) -> DataFrame:
     return sentence_pieces.round_trips(load(spark, d, "documents"), PIECES, keep=["doc_id"])
 
 
+@query
+def op3_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(load(spark, d, "documents"))
+
+
 @query
 def op4_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents")
