@@ -27,6 +27,23 @@ def query(fn):
     return fn
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op1_decontamination"] = f"""
+    with d as (select doc_id, {_WORDS} as w from documents),
+    b as (select item_id, {_WORDS} as w from benchmark),
+    bw as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as g
+           from b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as t(i) where len(w) > 0),
+    dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g from d, (select distinct n from bw), unnest(range(1, len(w) - n + 2)) as t(i)),
+    hits as (select doc_id, i, n, item_id from dw join bw using (n, g)),
+    spots as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+    named as (select doc_id, count(*) as n_items, string_agg(v, ',' order by v) as names
+              from (select distinct doc_id, cast(item_id as varchar) as v from hits) group by doc_id)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join spots using (doc_id) left join named using (doc_id)"""
+
+
 @query
 def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.contamination(load(spark, d, "documents"), load(spark, d, "benchmark"))
