@@ -32,9 +32,10 @@ def with_columns(df: DataFrame, text: str, new: dict[str, T.DataType], make: Cal
 
 
 def map_in_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow``, with this package at hand on the workers."""
+    """``df.mapInArrow``, with this package at hand on the workers.  ``run`` finds columns by place: they are renamed on the way
+    in, since names with dots cannot be passed."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema)
 
 
 def quoted(name: str) -> str:
