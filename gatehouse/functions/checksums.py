@@ -55,7 +55,7 @@ def mod97(text: Column) -> Column:
 def iban_checksum_ok(compact: Column) -> Column:
     """``compact`` is the IBAN in upper case without blanks."""
     shape = compact.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")
-    turned = F.concat(F.substring(compact, 5, 40), F.substring(compact, 1, 4))
+    turned = F.concat(compact.substr(F.lit(5), F.length(compact)), F.substring(compact, 1, 4))
     return F.coalesce(F.when(shape, mod97(turned) == 1), F.lit(False))
 
 

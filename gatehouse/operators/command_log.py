@@ -21,7 +21,7 @@ _WORD = r"(?:\\.|[^ \t\r\n'\"\\$`&|;<>]|&(?!&)|\$(?![({A-Za-z_]))++"
 _TOKEN = "|".join([
     r"'[^']*+'?",
     r'"(?:[^"\\]++|\\.)*+"?',
-    r"\$\((?:[^()'\"]++|'[^']*+'?|\"(?:[^\"\\]++|\\.)*+\"?|\((?:[^()]++|\([^()]*+\))*+\))*+\)?",
+    r"\$\((?:[^()'\"]++|'[^']*+'?|\"(?:[^\"\\]++|\\.)*+\"?)*+\)?",
     r"\$\{[^}]*+\}?",
     r"\$[A-Za-z_][A-Za-z0-9_]*+",
     r"`(?:[^`\\]++|\\.)*+`?",
@@ -30,6 +30,9 @@ _TOKEN = "|".join([
     _WORD,
 ])
 TOKEN = f"(?s)(?:{_TOKEN})"
+# Stand for brackets inside a substitution while tokens are cut.
+_OPEN, _SHUT = "\x1c", "\x1d"
+_LEXEME = r"(?s)\$\(|\\.|'[^']*+'?|\"(?:[^\"\\]++|\\.)*+\"?|`(?:[^`\\]++|\\.)*+`?|[()]|[^'\"`()$\\]++|."
 
 # Command groups the rules name.
 SHELLS = "sh|bash|zsh|dash|ksh|fish|ash"
@@ -48,9 +51,25 @@ def _classify(t: Column) -> Column:
     )
 
 
+def _mask_inner(flat: Column) -> Column:
+    """Brackets inside ``$( … )`` become stand-ins, at any depth, so that the outer pair is the only one left."""
+    def step(state: Column, t: Column) -> Column:
+        depth = state["depth"]
+        opens, shuts = F.endswith(t, F.lit("(")) & (F.length(t) <= 2), t.isin(")", "\\)")
+        starts = (depth == 0) & (t == "$(")
+        after = F.when(starts | ((depth > 0) & opens), depth + 1).when((depth > 0) & shuts, depth - 1).otherwise(depth)
+        text = F.when((depth > 0) & opens, F.translate(t, "(", _OPEN)).when((after > 0) & shuts, F.translate(t, ")", _SHUT)).otherwise(t)
+        return F.struct(F.concat(state["text"], text).alias("text"), after.alias("depth"))
+
+    lexemes = F.regexp_extract_all(flat, F.lit(_LEXEME), F.lit(0))
+    folded = F.aggregate(lexemes, F.struct(F.lit("").alias("text"), F.lit(0).alias("depth")), step)["text"]
+    return F.when(F.contains(flat, F.lit("$(")), folded).otherwise(flat)
+
+
 def segments(command: Column) -> Column:
-    flat = F.translate(F.regexp_replace(command, "\\\\\n", ""), SEP, " ")
-    tokens = F.transform(F.regexp_extract_all(flat, F.lit(TOKEN), F.lit(0)), _classify)
+    flat = F.translate(F.regexp_replace(command, "\\\\\n", ""), SEP + _OPEN + _SHUT, "   ")
+    cut = F.regexp_extract_all(_mask_inner(flat), F.lit(TOKEN), F.lit(0))
+    tokens = F.transform(cut, lambda t: _classify(F.translate(t, _OPEN + _SHUT, "()")))
     line = F.concat(F.lit(SEP), F.array_join(tokens, SEP), F.lit(SEP))
     parts = F.transform(F.split(line, f"{SEP}X(?={SEP})"), lambda s: F.regexp_replace(F.concat(s, F.lit(SEP)), f"{SEP}{{2,}}", SEP))
     return F.filter(parts, lambda s: F.length(s) > 1)
@@ -78,7 +97,7 @@ def _finding(when: Column, rule: str, severity: str, message: str) -> Column:
 
 
 def _findings(segs: DataFrame, rules: list[Column], allow: list[str]) -> DataFrame:
-    shown = F.trim(F.substring(F.regexp_replace("seg", f"{SEP}[A-Z]?", " "), 1, 120)).alias("matched")
+    shown = F.trim(F.regexp_replace("seg", f"{SEP}[A-Z]?", " ")).alias("matched")
     found = F.filter(F.array(*rules), lambda r: r.isNotNull())
     hits = explode_rows(segs, ["subject_id", "position", shown], found, "f").select("subject_id", "position", "matched", "f.*")
     if allow:

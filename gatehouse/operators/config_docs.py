@@ -95,10 +95,12 @@ def _unpinned(image: Column) -> Column:
 def k8s_findings(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     d = F.col("d")
     parsed = _documents(df, id_col, json_col)
-    is_list = F.coalesce(string(at(d, "$.kind")), F.lit("")).isin("List", "")
-    # Lists are opened twice: a list may hold lists.
-    for _ in range(2):
-        parsed = explode_rows(parsed, ["subject_id"], F.when(is_list, items(at(d, "$.items"))).otherwise(F.array("d")), "d")
+    # A list may hold lists: opened as often as the text names items at all, which is no less than their depth.
+    listed = lambda v: F.coalesce(string(at(v, "$.kind")), F.lit("")).isin("List", "")
+    times = F.regexp_count(F.to_json("d"), F.lit('"items"'))
+    rounds = F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))
+    opened = F.aggregate(rounds, F.array("d"), lambda vs, _: F.flatten(F.transform(vs, lambda v: F.when(listed(v), items(at(v, "$.items"))).otherwise(F.array(v)))))
+    parsed = explode_rows(parsed, ["subject_id"], F.filter(opened, lambda v: ~listed(v)), "d")
     named = parsed.withColumn("kind", string(at(d, "$.kind"))).withColumn("name", F.coalesce(string(at(d, "$.metadata.name")), F.lit("unknown")))
     spec = (
         F.when(F.col("kind") == "Pod", at(d, "$.spec")).when(F.col("kind").isin(TEMPLATE_KINDS), at(d, "$.spec.template.spec"))

@@ -161,21 +161,27 @@ def verify_certificates(df: DataFrame, subject: str, verdict: str = "verdict", c
     return df.where(~F.col("certificate").eqNullSafe(expected)).withColumn("expected_certificate", expected)
 
 
-def staged_pipeline(outputs: DataFrame, stages: list[tuple[str, DataFrame, int]]) -> DataFrame:
-    """Stop at the first stage whose verdict table says BLOCK for the subject.
+def staged_pipeline(outputs: DataFrame, stages: list[tuple]) -> DataFrame:
+    """Stop at the first stage whose verdict table says BLOCK for the subject; FLAG goes on.
 
-    ``stages`` holds ``(name, DataFrame[subject_id, verdict], credits)`` in running order.  A stage that
-    has no row for a subject did not block it.  Credits are those of all stages reached.
+    ``stages`` holds ``(name, DataFrame[subject_id, verdict], credits)`` in running order, and a fourth part where a stage
+    only runs for some: their ``DataFrame[subject_id]``.  A stage that has no row for a subject did not block it.
+    Credits are those of all stages reached and run.
     """
-    parts = [
-        df.where("verdict = 'BLOCK'").select("subject_id", F.lit(i).alias("ordinal"), F.lit(name).alias("stage"))
-        for i, (name, df, _) in enumerate(stages)
-    ]
-    first = reduce(DataFrame.unionByName, parts).groupBy("subject_id").agg(F.min(F.struct("ordinal", "stage")).alias("stop"))
-    running = [sum(c for _, _, c in stages[: i + 1]) for i in range(len(stages))]
-    return outputs.select("subject_id").join(first, "subject_id", "left").select(
+    parts = []
+    for i, (name, df, _, *only) in enumerate(stages):
+        row = lambda *more, i=i, name=name: ["subject_id", F.lit(i).alias("ordinal"), F.lit(name).alias("stage"), *more]
+        parts.append(df.where("verdict = 'BLOCK'").select(*row(F.lit(True).alias("stops"))))
+        if only:
+            parts.append(only[0].distinct().select(*row(F.lit(False).alias("stops"))))
+    some = [i for i, stage in enumerate(stages) if len(stage) > 3]
+    marks = reduce(DataFrame.unionByName, parts).groupBy("subject_id").agg(
+        F.min(F.when(F.col("stops"), F.struct("ordinal", "stage"))).alias("stop"), *[F.max((F.col("ordinal") == i) & ~F.col("stops")).alias(f"runs_{i}") for i in some])
+    last = F.coalesce("stop.ordinal", F.lit(len(stages) - 1))
+    price = lambda i: F.when(last >= i, F.lit(stages[i][2]) if i not in some else F.when(F.col(f"runs_{i}"), stages[i][2]).otherwise(0)).otherwise(0)
+    return outputs.select("subject_id").join(marks, "subject_id", "left").select(
         "subject_id", F.col("stop").isNull().alias("passed"), F.col("stop.stage").alias("blocked_at"),
-        pick(dict(enumerate(running)), F.col("stop.ordinal"), running[-1]).alias("credits_used"),
+        reduce(lambda a, b: a + b, [price(i) for i in range(len(stages))]).alias("credits_used"),
     )
 
 

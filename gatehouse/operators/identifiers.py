@@ -123,7 +123,7 @@ def _passed(ok: Column) -> Column:
 
 def _iban(norm: Column) -> Column:
     want = pick(IBAN_LENGTH, F.substring(norm, 1, 2))
-    ok = mod97(F.concat(F.substring(norm, 5, 64), F.substring(norm, 1, 4))) == 1
+    ok = mod97(F.concat(norm.substr(F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
     return (
         F.when(~norm.rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9]+\z"), _result(False, "fail", norm, "Invalid format"))
         .when(want.isNull(), _result(False, "not_applicable", norm, "Unknown country code"))
@@ -194,7 +194,7 @@ def _de_step(s: Column) -> Column:
 
 
 def _vat(norm: Column) -> Column:
-    nat = F.substring(norm, 3, 64)
+    nat = norm.substr(F.lit(3), F.length(norm))
     rules = _vat_rules()
     name = pick({c: n for c, n, _, _ in rules}, F.substring(norm, 1, 2))
     fits = pick({c: _vat_pattern(p) for c, _, p, _ in rules}, F.substring(norm, 1, 2))
@@ -276,7 +276,7 @@ def identifier_type(value: Column) -> Column:
     t = _trim(value)
     up = F.upper(t)
     packed = _squeeze(up)
-    vat = F.coalesce(F.regexp_like(F.substring(up, 3, 64), pick({c: _vat_pattern(p) for c, _, p, _ in _vat_rules()}, F.substring(up, 1, 2))), F.lit(False))
+    vat = F.coalesce(F.regexp_like(up.substr(F.lit(3), F.length(up)), pick({c: _vat_pattern(p) for c, _, p, _ in _vat_rules()}, F.substring(up, 1, 2))), F.lit(False))
     tests = {
         "eth_address": t.rlike(r"\A0x[0-9a-fA-F]{40}\z"),
         "iban": packed.rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\z") & F.substring(packed, 1, 2).isin(list(IBAN_LENGTH)),

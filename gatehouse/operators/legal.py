@@ -45,11 +45,13 @@ def _flat(c: Column) -> Column:
 
 def quote_fidelity(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """``quotes``: ``quote_id, source_id, quote``; ``sources``: ``source_id, source_text``.  Quotes are joined to
-    the raw text and normalised after the join: a source's text is read once per quote, not rewritten before."""
-    j = quotes.join(sources, "source_id")
+    the raw text and normalised after the join: a source's text is read once per quote, not rewritten before.
+
+    Every quote has a row; without a source text nothing is said of it: ``found`` and ``verdict`` are NULL."""
+    j = quotes.join(sources, "source_id", "left")
     quote = _flat(F.col("quote"))
-    found = (quote != "") & F.contains(_flat(F.col("source_text")), quote)
-    return j.select("quote_id", "source_id", found.alias("found"), F.when(found, "PASS").otherwise("BLOCK").alias("verdict"))
+    found = F.when(F.col("source_text").isNotNull(), (quote != "") & F.contains(_flat(F.col("source_text")), quote))
+    return j.select("quote_id", "source_id", found.alias("found"), F.when(found, "PASS").when(~found, "BLOCK").alias("verdict"))
 
 
 def court_calendar(spark: SparkSession, first_year: int = COURT_YEARS[0], last_year: int = COURT_YEARS[1]) -> DataFrame:

@@ -67,12 +67,15 @@ def _word(*words: str) -> str:
     return f"{SEP}W(?:{'|'.join(words)}){SEP}"
 
 
-def select_star(clean: Column, levels: int = 6) -> Column:
-    """A bare ``*`` in a select list: bracketed parts without a SELECT are folded away first, inside out."""
-    folded = clean
+def select_star(clean: Column) -> Column:
+    """A bare ``*`` in a select list: bracketed parts without a SELECT are folded away first, inside out.
+
+    Each round folds the innermost brackets of the statement; there are as many rounds as it has opening ones.
+    """
     inner = rf"{SEP}O\((?:{SEP}(?!WSELECT{SEP}|O[()]{SEP})[^{SEP}]*+)*+{SEP}O\)(?={SEP})"
-    for _ in range(levels):
-        folded = F.regexp_replace(folded, inner, f"{SEP}X")
+    opened = F.regexp_count(clean, F.lit(rf"{SEP}O\((?={SEP})"))
+    rounds = F.when(opened > 0, F.sequence(F.lit(1), opened)).otherwise(F.array().cast("array<int>"))
+    folded = F.aggregate(rounds, clean, lambda s, _: F.regexp_replace(s, inner, f"{SEP}X"))
     return folded.rlike(rf"{SEP}WSELECT(?:{SEP}(?!WSELECT{SEP}|WFROM{SEP}|O[()*]{SEP})[^{SEP}]*+)*+{SEP}O\*{SEP}")
 
 
@@ -81,7 +84,8 @@ def _finding(when: Column, rule: str, severity: str, message: str) -> Column:
 
 
 def sql_log_findings(df: DataFrame, id_col: str, sql_col: str, max_statements: int = 1, allow_unbounded_writes: bool = False,
-                     allow_ddl: bool = False) -> DataFrame:
+                     allow_ddl: bool = False, evidence: int | None = None) -> DataFrame:
+    """``evidence`` cuts the shown statement to so many characters; by default it is whole."""
     base = df.select(F.col(id_col).alias("subject_id"), statements(F.col(sql_col)).alias("stmts"))
     per = explode_rows(base, ["subject_id", F.size("stmts").alias("n_statements")], F.col("stmts"), "st", "position")
     # Bound once per statement: the text without comments and its leading keyword.
@@ -105,6 +109,7 @@ def sql_log_findings(df: DataFrame, id_col: str, sql_col: str, max_statements: i
         _finding((kw == "SELECT") & ~clean.rlike(_word("WHERE", "LIMIT", "TOP", "FETCH")) & select_star(clean),
                  "SQL-SELECT-STAR-NO-LIMIT", "low", "SELECT * without WHERE or LIMIT"),
     )
-    shown = F.trim(F.substring(F.regexp_replace("st", f"{SEP}[A-Z]?", " "), 1, 120)).alias("matched")
+    whole = F.trim(F.regexp_replace("st", f"{SEP}[A-Z]?", " "))
+    shown = (whole if evidence is None else F.substring(whole, 1, evidence)).alias("matched")
     hits = explode_rows(per, ["subject_id", "position", shown], F.filter(rules, lambda r: r.isNotNull()), "f")
     return as_findings(hits.select("subject_id", "position", "matched", "f.*").withColumn("category", F.lit("SQL")), "sql")

@@ -35,10 +35,12 @@ def ipv4_class(value: Column) -> Column:
 
 
 def _label_value(x: Column) -> Column:
+    """Value of one label.  Leading zeros are free; more digits than these after them are over 32 bits in any place."""
+    digits = lambda low, pattern: F.regexp_extract(low, pattern, 1)
     return let(F.lower(x), lambda low: (
         F.when(low == "0x", F.lit(0).cast("bigint"))
-        .when(low.rlike(r"\A0x[0-9a-f]{1,12}\z"), F.conv(F.substring(low, 3, 12), 16, 10).try_cast("bigint"))
-        .when(low.rlike(r"\A0[0-7]{1,16}\z"), F.conv(low, 8, 10).try_cast("bigint"))
+        .when(low.rlike(r"\A0x0*[0-9a-f]{1,12}\z"), F.conv(digits(low, r"\A0x0*([0-9a-f]{1,12})\z"), 16, 10).try_cast("bigint"))
+        .when(low.rlike(r"\A0+[0-7]{1,16}\z"), F.conv(digits(low, r"\A0+([0-7]{1,16})\z"), 8, 10).try_cast("bigint"))
         .when(low.rlike(r"\A(?:0|[1-9][0-9]{0,11})\z"), low.try_cast("bigint"))))
 
 

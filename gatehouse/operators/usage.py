@@ -30,7 +30,9 @@ MAX_AGE_SECONDS = 86_400
 
 
 def in_window(log: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    return log.where(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS"))
+    """The ``hours`` up to ``as_of``, both ends included."""
+    end = F.lit(as_of).cast("timestamp")
+    return log.where((F.col("ts") >= end - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") <= end))
 
 
 def usage_overview(log: DataFrame, as_of: str, hours: int = 24, approximate: bool = False) -> DataFrame:
@@ -69,13 +71,15 @@ def check_type_breakdown(log: DataFrame) -> DataFrame:
 
 
 def request_page(log: DataFrame, limit: int = 100, offset: int = 0, path: str | None = None, verdict: str | None = None) -> DataFrame:
-    """Newest first.  The page is cut before the filters, which can leave it short."""
-    page = log.orderBy(F.desc("ts"), F.desc("id")).offset(max(offset, 0)).limit(min(max(limit, 1), 1000))
+    """Newest first: the rows that pass the filters, then the page of them."""
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be at least 1, offset at least 0")
+    rows = log
     if path is not None:
-        page = page.where(F.col("path") == path)
+        rows = rows.where(F.col("path") == path)
     if verdict is not None:
-        page = page.where(F.col("verdict") == verdict)
-    return page
+        rows = rows.where(F.col("verdict") == verdict)
+    return rows.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(limit)
 
 
 def credit_cost(path: Column) -> Column:
@@ -100,19 +104,24 @@ def free_tier_quota(log: DataFrame, n: int = FREE_CALLS) -> DataFrame:
     return calls.join(last, "ip").select("id", "ts", "ip", (F.struct("ts", "id") <= F.col("last_free")).alias("allowed"))
 
 
-def credit_payments(attempts: DataFrame) -> DataFrame:
-    """``attempts``: ``signature, attempt_id, attempted_at, block_time, has_meta, wallet_in_tx, lamports``.
-
-    The first attempt of a signature that passes all other tests is credited; later ones are replays.
-    """
+def payment_error() -> Column:
+    """Why an attempt fails on its own, or NULL.  Fixed values: the reasons."""
     age = F.unix_timestamp("attempted_at") - F.unix_timestamp("block_time")
     credits = F.floor(F.col("lamports") / LAMPORTS_PER_CREDIT)
-    own = (
+    return (
         F.when(F.col("block_time").isNull(), "missing_block_time").when(age > MAX_AGE_SECONDS, "transaction_too_old")
         .when(~F.col("has_meta"), "missing_tx_meta").when(~F.col("wallet_in_tx"), "service_wallet_not_in_tx")
         .when(F.col("lamports") <= 0, "no_sol_sent_to_service_wallet").when(credits < 1, "amount_too_small")
     )
-    judged = attempts.withColumn("own", own).withColumn("place", F.struct("attempted_at", "attempt_id"))
+
+
+def credit_payments(attempts: DataFrame) -> DataFrame:
+    """``attempts``: ``signature, attempt_id, attempted_at, block_time, has_meta, wallet_in_tx, lamports``.
+
+    The first attempt of a signature that passes all other tests is credited; later ones are replays.
+    """
+    credits = F.floor(F.col("lamports") / LAMPORTS_PER_CREDIT)
+    judged = attempts.withColumn("own", payment_error()).withColumn("place", F.struct("attempted_at", "attempt_id"))
     first = judged.where("own is null").groupBy("signature").agg(F.min("place").alias("first_place"))
     error = F.when(F.col("place") > F.col("first_place"), "already_used").otherwise(F.col("own"))
     return judged.join(first, "signature", "left").withColumn("error", error).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.operators import command_log, config_docs, findings, identifiers, legal, quality, sql_log, url_log
 from gatehouse.plans.inputs import ctes, table
-from gatehouse.plans.inputs import spread_load as load
+from gatehouse.plans.inputs import load
 from gatehouse.plans.usage import _HOLIDAYS
 
 QUERIES: dict = {}

@@ -12,7 +12,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from gatehouse.session import ensure_utc
-from gatehouse.sources.tables import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations"]
@@ -237,11 +236,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name) if name in TABLES else run(spark, sf_dir, INPUTS[name])
 
 
-def spread_load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input for CPU-bound row work, on all cores."""
-    return spread(load(spark, sf_dir, name))
-
-
 def ctes(*names: str) -> str:
     """The inputs as common table expressions for the SQL engine."""
     done: list[str] = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.operators import findings, market, rx, screening
 from gatehouse.plans.inputs import ctes, table
-from gatehouse.plans.inputs import spread_load as load
+from gatehouse.plans.inputs import load
 from gatehouse.sources import reference
 from gatehouse.streaming import feeds
 

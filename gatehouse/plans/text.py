@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from gatehouse.operators import claims, distill, findings, imports, injection, legal, pii, secrets, tokens
 from gatehouse.plans.inputs import ctes, plain, table
-from gatehouse.plans.inputs import spread_load as load
+from gatehouse.plans.inputs import load
 from gatehouse.sources import reference
-from gatehouse.sources.tables import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"))
+    return table(spark, d, "documents")
 
 
 # Oracle for spans: the engine's own regex dialect has an ASCII word boundary and no lookaround.
@@ -369,19 +368,20 @@ def _(spark, d):
 
 
 @query("staged_pipeline", f"""with {ctes('snippets', 'registry', 'osv_flat')}, {_IMPORTS}, {_VULN},
-    s1 as (select distinct subject_id from checked where status = 'hallucinated'), s2 as (select distinct subject_id from vul)
-    select p_partkey as subject_id, s1.subject_id is null and s2.subject_id is null as passed, case when s1.subject_id is not null then 'imports' when s2.subject_id is not null then 'vulnerabilities' end as blocked_at,
-    case when s1.subject_id is not null then 2 when s2.subject_id is not null then 4 else 6 end as credits_used from part left join s1 on s1.subject_id = p_partkey left join s2 on s2.subject_id = p_partkey""")
+    s1 as (select distinct subject_id from checked where status = 'hallucinated'), s2 as (select distinct subject_id from checked where status = 'valid')
+    select p_partkey as subject_id, s1.subject_id is null as passed, case when s1.subject_id is not null then 'imports' end as blocked_at,
+    case when s1.subject_id is not null then 2 when s2.subject_id is not null then 6 else 4 end as credits_used from part left join s1 on s1.subject_id = p_partkey left join s2 on s2.subject_id = p_partkey""")
 def _(spark, d):
     code = load(spark, d, "snippets")
     subjects = code.select(F.col("part_id").alias("subject_id"))
     found = _imports(spark, d)
     registry, crawl = load(spark, d, "registry"), load(spark, d, "crawl")
-    leak = findings.verdicts(secrets.secret_findings(code, "part_id", "code"), subjects)
+    leak = findings.verdicts(secrets.secret_findings(code, "part_id", "code"), subjects, threshold="critical")
     fake = imports.package_existence(found, registry).where("status = 'hallucinated'").select("subject_id", F.lit("BLOCK").alias("verdict")).distinct()
-    weak = imports.vulnerability_summary(found, _osv(spark, d)).select("subject_id", F.when(F.col("safe"), "PASS").otherwise("BLOCK").alias("verdict"))
-    verified = claims.verify_outputs(code, "part_id", "code", registry, crawl)
-    return findings.staged_pipeline(subjects, [("secrets", leak, 1), ("imports", fake, 1), ("vulnerabilities", weak, 2), ("verify", verified, 2)])
+    weak = imports.vulnerability_summary(found, _osv(spark, d)).select("subject_id", F.when(F.col("safe"), "PASS").otherwise("FLAG").alias("verdict"))
+    valid = imports.package_existence(found, registry).where("status = 'valid'").select("subject_id")
+    verified = claims.verify_outputs(code, "part_id", "code", registry, crawl, "language")
+    return findings.staged_pipeline(subjects, [("secrets", leak, 1), ("imports", fake, 1), ("vulnerabilities", weak, 2, valid), ("verify", verified, 2)])
 
 
 _CERT = "select doc_id, text, lang, case when n_chars > 500 then 'BLOCK' else 'PASS' end as verdict, doc_id % 5 as total_findings, 1700000000000 + doc_id as issued_ms from {documents}"
@@ -418,7 +418,7 @@ def _(spark, d):
 
 
 @query("quote_fidelity", f"""with {ctes('quotes', 'sources')}, n as (select quote_id, source_id, trim(regexp_replace(lower(quote), '[\\s\\x{{a0}}]+', ' ', 'g')) as q, trim(regexp_replace(lower(source_text), '[\\s\\x{{a0}}]+', ' ', 'g')) as s
-    from quotes join sources using (source_id)) select quote_id, source_id, q <> '' and contains(s, q) as found, case when q <> '' and contains(s, q) then 'PASS' else 'BLOCK' end as verdict from n""")
+    from quotes left join sources using (source_id)), f as (select quote_id, source_id, case when s is not null then q <> '' and contains(s, q) end as found from n) select *, case when found then 'PASS' when not found then 'BLOCK' end as verdict from f""")
 def _(spark, d):
     return legal.quote_fidelity(load(spark, d, "quotes"), load(spark, d, "sources"))
 

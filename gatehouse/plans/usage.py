@@ -74,14 +74,17 @@ def _(spark, d):
 
 
 @query("usage_overview", f"""{_LOG} select count(*) as total_calls, count(distinct api_key) as active_keys, round(avg(case when status >= 400 then 1.0 else 0 end), 9) as error_rate
-    from request_log where ts >= timestamp '{AS_OF}' - interval 24 hours""")
+    from request_log where ts between timestamp '{AS_OF}' - interval 24 hours and timestamp '{AS_OF}'""")
 def _(spark, d):
     return usage.usage_overview(_log(spark, d), AS_OF).withColumn("error_rate", F.round("error_rate", 9))
 
 
-@query("usage_overview_approx")
+@query("usage_overview_approx", f"{_LOG} select count(*) as total_calls, true as within_5_percent from request_log where ts between timestamp '{AS_OF}' - interval 8760 hours and timestamp '{AS_OF}'")
 def _(spark, d):
-    return usage.usage_overview(_log(spark, d), AS_OF, hours=24 * 365, approximate=True)
+    """The estimate of active keys against the exact count."""
+    rough, exact = (usage.usage_overview(_log(spark, d), AS_OF, hours=24 * 365, approximate=a) for a in (True, False))
+    near = F.abs(F.col("rough") - F.col("active_keys")) <= 0.05 * F.col("active_keys")
+    return exact.join(rough.select(F.col("total_calls"), F.col("active_keys").alias("rough")), "total_calls").select("total_calls", near.alias("within_5_percent"))
 
 
 @query("calls_per_hour", f"{_LOG} select strftime(ts, '%Y-%m-%d %H:00') as hour, count(*) as calls from request_log group by 1")
@@ -113,10 +116,10 @@ def _(spark, d):
     return usage.check_type_breakdown(_log(spark, d))
 
 
-@query("request_page", f"{_LOG}, p as (select * from request_log order by ts desc, id desc limit 500 offset 300) select id, path, verdict from p where verdict = 'BLOCK' and path = '/v1/verify'")
+@query("request_page", f"{_LOG}, p as (select * from request_log where verdict = 'BLOCK' and path = '/v1/verify' order by ts desc, id desc limit 1500 offset 30) select id, path, verdict from p")
 def _(spark, d):
-    """The page is the feature: its rows are cut before the filters."""
-    return usage.request_page(_log(spark, d), 500, 300, "/v1/verify", "BLOCK").select("id", "path", "verdict")
+    """The page is the feature: so many of the rows that pass the filters."""
+    return usage.request_page(_log(spark, d), 1500, 30, "/v1/verify", "BLOCK").select("id", "path", "verdict")
 
 
 _PRICE = "case path when '/v1/verify' then 2 when '/v1/finance/order/risk' then 5 else 1 end"
@@ -222,9 +225,9 @@ def _(spark, d):
     return _stamp(feeds.latest_per_key(updates, "key"))
 
 
-@query("stream_dedupe_payments", f"with {ctes('payment_attempts')} select signature, count(*) as n from (select distinct signature from payment_attempts where block_time is not null) group by 1")
+@query("stream_dedupe_payments", f"with {ctes('payment_attempts')} select signature, count(*) as n from (select distinct signature from payment_attempts where block_time is not null and epoch(attempted_at) - epoch(block_time) <= 86400 and has_meta and wallet_in_tx and lamports >= 100000) group by 1")
 def _(spark, d):
-    txs = _stream_input(spark, d, "payment_attempts").where("block_time is not null")
+    txs = _stream_input(spark, d, "payment_attempts")
     return feeds.run_to_table(feeds.stream_dedupe_payments(txs).select("signature"), "dedupe").groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
 
 

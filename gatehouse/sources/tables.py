@@ -22,13 +22,3 @@ def load(spark: SparkSession, folder: str, name: str, fmt: str = "parquet", sche
     if fmt == "json":
         return spark.read.schema(schema or SCHEMAS[name]).json(path)
     return spark.read.parquet(path)
-
-
-def spread(df: DataFrame, key: str | None = None, minimum: int | None = None) -> DataFrame:
-    """Use all cores for CPU-bound row work when the input comes in a few large files only.
-
-    A row group is not split: one group gives one busy task whatever the split count says.  Inputs with
-    enough files pass through untouched.  Hashing on a key avoids the local sort of a round-robin split.
-    """
-    want = minimum or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want, key or df.columns[0]) if len(df.inputFiles()) < want else df

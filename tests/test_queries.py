@@ -35,7 +35,7 @@ def duck():
 def test_oracles_belong_to_queries():
     assert set(oracle_sql()) <= set(queries())
     assert set(queries()) <= set(every_query()) and set(oracle_sql()) <= set(every_oracle()) <= set(every_query())
-    assert set(queries()) - set(oracle_sql()) == {"usage_overview_approx"}
+    assert set(queries()) == set(oracle_sql())
 
 
 def test_entry(spark):
@@ -54,3 +54,8 @@ def test_query(spark, duck, name):
     names = list(rel.columns)
     assert sorted(names) == cols
     assert got == sorted(tuple(norm(r[names.index(c)]) for c in cols) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["pii_redact", "secret_spans", "token_counts", "sql_log_findings", "url_log_findings"])
+def test_scans_are_narrow(spark, name):
+    assert "Exchange" not in queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
