@@ -33,6 +33,13 @@ PATTERNS = [
 ]
 
 
+def input_guard(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """Whether a user's input may go on to a model: ``status`` pass, flag or block by its risk; only safe input may."""
+    scored = injection_scores(df, keys, text_col)
+    status = F.when(F.col("risk") == "safe", "pass").when(F.col("risk") == "suspicious", "flag").otherwise("block")
+    return scored.select(*keys, (F.col("risk") == "safe").alias("safe"), status.alias("status"), "score", "patterns")
+
+
 def injection_scores(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     text = F.col(text_col)
     hits = F.filter(

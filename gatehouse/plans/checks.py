@@ -149,6 +149,22 @@ def _(spark, d):
     return quality.cross_field_rules(load(spark, d, "tool_calls"), "id", "args", SPEC["rules"])
 
 
+@query("tool_argument_findings", f"""with f as ({ORACLE['check_fields']}), x as ({ORACLE['cross_field_rules']}), n as (select * from f union all select * from x)
+    select subject_id, rule as rule_id, severity, path as matched from n""")
+def _(spark, d):
+    return quality.tool_argument_findings(load(spark, d, "tool_calls"), "id", "args", SPEC).select("subject_id", "rule_id", "severity", "matched")
+
+
+@query("tool_argument_verdicts", f"""with f as ({ORACLE['check_fields']}), x as ({ORACLE['cross_field_rules']}), n as (select subject_id, severity from f union all select subject_id, severity from x),
+    w as (select subject_id, max(case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 else 1 end) as worst, count(*) as n from n group by subject_id)
+    select event_id as subject_id, case when n is null then 'PASS' when worst >= 3 then 'BLOCK' else 'FLAG' end as verdict, coalesce(n, 0) as total_findings from events left join w on w.subject_id = event_id""")
+def _(spark, d):
+    from gatehouse.operators.findings import verdicts
+    calls = load(spark, d, "tool_calls")
+    found = quality.tool_argument_findings(calls, "id", "args", SPEC)
+    return verdicts(found, calls.select(F.col("id").alias("subject_id"))).select("subject_id", "verdict", "total_findings")
+
+
 @query("check_column_fields", """select c_custkey as subject_id, 'c_acctbal' as path, 'min' as rule, 'medium' as severity from customer where c_acctbal < 0
     union all select c_custkey, 'c_mktsegment', 'enum', 'high' from customer where c_mktsegment not in ('BUILDING', 'MACHINERY') union all select c_custkey, 'c_nationkey', 'unknown', 'low' from customer""")
 def _(spark, d):

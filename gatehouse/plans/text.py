@@ -194,6 +194,11 @@ def _(spark, d):
     return injection.injection_scores(load(spark, d, "injected"), ["conv_id", "turn"], "text")
 
 
+@query("input_guard", f"""with s as ({_inj_sql()}) select conv_id, turn, risk = 'safe' as safe, case risk when 'safe' then 'pass' when 'suspicious' then 'flag' else 'block' end as status, score, patterns from s""")
+def _(spark, d):
+    return injection.input_guard(load(spark, d, "injected"), ["conv_id", "turn"], "text")
+
+
 _TOKENS = """regexp_replace(text, '<\\|[^|]*?\\|>', '', 'g') as body, len(regexp_extract_all(text, '<\\|[^|]*?\\|>')) as special"""
 _COUNT = """special + cast(case when len(regexp_extract_all(body, '[{}()\\[\\];=<>+\\-*/%&|!~^]')) * 100 > length(body) * 3 then ceil(length(body) / 3.5) else ceil(length(body) / 4.0) end as bigint)"""
 

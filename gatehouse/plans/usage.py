@@ -183,6 +183,15 @@ def _(spark, d):
     return usage.service_health(load(spark, d, "probes")).drop("last_checked")
 
 
+@query("union_snapshots", """select 'S-' || s_suppkey as record_id, s_name as name, 'S' as list, 0 as part from supplier
+    union all select 'C-' || c_custkey, c_name, 'C', 1 from customer where c_acctbal < 0""")
+def _(spark, d):
+    """Two lists as one; ``part`` keeps their order."""
+    row = lambda t, p, key, name: table(spark, d, t).select("*", F.concat(F.lit(f"{p}-"), key).alias("record_id"), F.col(name).alias("name"), F.lit(p).alias("list"))
+    parts = [row("supplier", "S", "s_suppkey", "s_name"), row("customer", "C", "c_custkey", "c_name").where("c_acctbal < 0")]
+    return snapshots.union_snapshots([p.select("record_id", "name", "list") for p in parts])
+
+
 # Streaming: the same rows as a stream must give the batch result.
 def _feed(spark, d, name="events"):
     # A glob works for a single file and for a folder of part files; the file source takes no plain file.

@@ -52,10 +52,15 @@ def test_screening_golden(spark):
     assert verdicts == ["BLOCK"] * 5 + ["PASS"]
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_fuzzy_bounds_lose_nothing(spark, monkeypatch, limit):
-    """Bounded candidates equal a full comparison, with the list sent along and with salted keys."""
-    monkeypatch.setattr(screening, "BROADCAST_NAMES", limit)
+@pytest.fixture(params=["10m", "-1"])
+def broadcast_limit(spark, request):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_fuzzy_bounds_lose_nothing(spark, broadcast_limit):
+    """Bounded candidates equal a full comparison, with the list sent along and with both sides shuffled."""
     random.seed(3)
     pick = lambda: " ".join(random.choice(["ANNA", "ANA", "BOB", "BOBBY", "CARLA", "KARL", "LEE", "LI"]) for _ in range(random.randint(1, 3)))
     listed = [(str(i), pick(), [pick()], None, "entity", "L") for i in range(40)]
