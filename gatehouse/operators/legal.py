@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gatehouse.functions.bind import explode_rows
 from gatehouse.functions.patterns import SPACE, SPACE_BODY
 from gatehouse.sources import reference
 
@@ -54,6 +55,45 @@ def quote_fidelity(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     return j.select("quote_id", "source_id", found.alias("found"), F.when(found, "PASS").when(~found, "BLOCK").alias("verdict"))
 
 
+def citation_verdicts(citations: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One verdict per subject from its citations (``subject_id, verdict``) and its quotes (``subject_id, found``).
+
+    A malformed or implausible citation blocks, then a quote that is not found; an unknown reporter flags.  A quote without
+    a source text says nothing.
+    """
+    rows = citations.select("subject_id", F.col("verdict")).unionByName(
+        quotes.where("found is not null").select("subject_id", F.when(F.col("found"), "PASS").otherwise("BLOCK").alias("verdict")))
+    rank = F.when(F.col("verdict") == "BLOCK", 2).when(F.col("verdict") == "FLAG", 1).otherwise(0)
+    return rows.groupBy("subject_id").agg(F.max(rank).alias("r")).select(
+        "subject_id", F.when(F.col("r") == 2, "BLOCK").when(F.col("r") == 1, "FLAG").otherwise("PASS").alias("verdict"))
+
+
+SHINGLE = 5
+
+
+def quote_search(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """``quote_id, source_id`` for every source whose text holds the quote, wherever it is.
+
+    The first and last word of a quote may be parts of words, those between are whole: a quote is looked up by five of them in a
+    row, or by the longest if there are fewer, and only sources that share those are read for it.  A quote of one or two words has none
+    between and must stand as whole words.  Empty quotes are nowhere.
+    """
+    words = lambda c: F.filter(F.split(_flat(F.col(c)), " "), lambda w: w != "")
+    asked = quotes.select("quote_id", words("quote").alias("w")).where("size(w) > 0")
+    short = F.size("w") <= 2
+    inner = asked.withColumn("sure", F.when(short, F.col("w")).otherwise(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))))
+    longest = F.array_max(F.transform("sure", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    gram = F.when(F.size("sure") >= SHINGLE, F.array_join(F.slice("sure", 1, SHINGLE), " ")).otherwise(longest)
+    line = F.array_join("w", " ")
+    asked = inner.select("quote_id", gram.alias("gram"), F.when(short, F.concat(F.lit(" "), line, F.lit(" "))).otherwise(line).alias("quote"))
+    held = sources.select("source_id", words("source_text").alias("w"))
+    runs = F.transform("w", lambda w, i: F.when(i <= F.size("w") - SHINGLE, F.array_join(F.slice(F.col("w"), i + 1, SHINGLE), " ")))
+    grams = explode_rows(held, ["source_id"], F.array_distinct(F.concat("w", runs)), "gram")
+    candidates = grams.join(asked.select("quote_id", "gram"), "gram").select("quote_id", "source_id").distinct()
+    texts = sources.select("source_id", F.concat(F.lit(" "), F.array_join(words("source_text"), " "), F.lit(" ")).alias("line"))
+    return candidates.join(asked.select("quote_id", "quote"), "quote_id").join(texts, "source_id").where(F.contains("line", "quote")).select("quote_id", "source_id")
+
+
 def court_calendar(spark: SparkSession, first_year: int = COURT_YEARS[0], last_year: int = COURT_YEARS[1]) -> DataFrame:
     """One row per day from a Monday to a Sunday around the holiday years; ``idx`` numbers the court days
     up to and including the day.  A fixed 6,000 or so rows, so the one ordered window over it is small."""

@@ -428,5 +428,21 @@ def _(spark, d):
     return legal.quote_fidelity(load(spark, d, "quotes"), load(spark, d, "sources"))
 
 
-for _name in ("token_counts", "quote_fidelity"):
+@query("quote_search", f"""with {ctes('quotes', 'sources')}, q as (select quote_id, trim(regexp_replace(lower(quote), '[\\s\\x{{a0}}]+', ' ', 'g')) as q from quotes),
+    s as (select source_id, ' ' || trim(regexp_replace(lower(source_text), '[\\s\\x{{a0}}]+', ' ', 'g')) || ' ' as s from sources)
+    select quote_id, source_id from q, s where q <> '' and contains(s, case when len(string_split(q, ' ')) <= 2 then ' ' || q || ' ' else q end)""")
+def _(spark, d):
+    return legal.quote_search(load(spark, d, "quotes"), load(spark, d, "sources"))
+
+
+for _name in ("token_counts", "quote_fidelity", "quote_search"):
     ORACLE[_name] = ORACLE[_name].replace("{{", "{").replace("}}", "}")
+
+
+@query("citation_verdicts", f"""with c as ({ORACLE['legal_citations']}), q as ({ORACLE['quote_fidelity']}),
+    r as (select subject_id, case verdict when 'BLOCK' then 2 when 'FLAG' then 1 else 0 end as r from c union all select quote_id, case when found then 0 else 2 end from q where found is not null)
+    select subject_id, case max(r) when 2 then 'BLOCK' when 1 then 'FLAG' else 'PASS' end as verdict from r group by subject_id""")
+def _(spark, d):
+    cited = legal.legal_citations(load(spark, d, "citations"), "id", "citation", reference.reporters(spark), 2026)
+    quoted = legal.quote_fidelity(load(spark, d, "quotes"), load(spark, d, "sources")).select(F.col("quote_id").alias("subject_id"), "found")
+    return legal.citation_verdicts(cited, quoted)

@@ -86,3 +86,9 @@ def test_pipeline_flags_go_on(spark):
     stages = [("a", table([(0, "BLOCK"), (1, "FLAG")]), 1), ("b", table([(1, "FLAG"), (2, "FLAG")]), 2, subjects.where("subject_id in (0, 1)")), ("c", table([(2, "BLOCK")]), 4)]
     got = {r["subject_id"]: (r["passed"], r["blocked_at"], r["credits_used"]) for r in findings.staged_pipeline(subjects, stages).collect()}
     assert got == {0: (False, "a", 1), 1: (True, None, 7), 2: (False, "c", 5), 3: (True, None, 5)}
+
+
+def test_quotes_are_found_anywhere(spark):
+    quotes = spark.createDataFrame([(1, "Ne two  three fo"), (2, "wo three four five six sev"), (3, "three"), (4, "hree"), (5, ""), (6, "four two"), (7, None), (8, "absent words here")], "quote_id int, quote string")
+    sources = spark.createDataFrame([(1, "one two three four five six seven"), (2, "ONE\ntwo three"), (3, None), (4, "")], "source_id int, source_text string")
+    assert sorted(map(tuple, legal.quote_search(quotes, sources).collect())) == [(1, 1), (2, 1), (3, 1), (3, 2)]
