@@ -76,9 +76,10 @@ def package_existence(imports: DataFrame, registry: DataFrame) -> DataFrame:
     """``registry`` holds ``ecosystem, name`` of every published package.  An ecosystem without any row
     has no snapshot, and its packages stay unknown."""
     known = registry.select("ecosystem", "name").distinct().withColumn("listed", F.lit(True))
-    covered = registry.select("ecosystem").distinct().withColumn("covered", F.lit(True))
+    # One row per known ecosystem at most, so it is sent along: imports are not shuffled by a handful of values.
+    covered = registry.where(F.col("ecosystem").isin(sorted(set(ECOSYSTEMS.values())))).select("ecosystem").distinct().withColumn("covered", F.lit(True))
     return (
-        with_ecosystem(imports).join(covered, "ecosystem", "left").join(known, ["ecosystem", "name"], "left")
+        with_ecosystem(imports).join(F.broadcast(covered), "ecosystem", "left").join(known, ["ecosystem", "name"], "left")
         .select("subject_id", "language", "ecosystem", "name", "raw",
                 F.when(F.col("listed"), "valid").when(F.col("covered"), "hallucinated").otherwise("unknown").alias("status"))
     )

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from gatehouse.operators import ledger, usage
 from gatehouse.plans.inputs import ctes, load, table
+from gatehouse.plans.text import ORACLE as TEXT_ORACLE
 from gatehouse.sources import reference, request_log, snapshots
 from gatehouse.streaming import feeds
 
+PII_REDACT = TEXT_ORACLE["pii_redact"]
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -206,6 +208,22 @@ def _stream_input(spark, d, name):
     return spark.sql(INPUTS[name].replace("ARR(", "array("), events=_feed(spark, d))
 
 
+CHUNKS = 3
+
+
+def _chunked_input(spark, d, name):
+    """As :func:`_stream_input`, with the events arriving over several triggers, in the order of their days."""
+    from gatehouse.plans.inputs import INPUTS
+    from gatehouse.session import ensure_utc
+    ensure_utc(spark)
+    events, path = table(spark, d, "events"), os.path.join(feeds.work_folder(spark, "chunks"), "events")
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) * CHUNKS / 31), F.lit(CHUNKS - 1)) + CHUNKS * (F.month("ts") - 1)
+    for k in sorted(r[0] for r in events.select(part.alias("p")).distinct().collect()):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(path)
+    feed = feeds.stream_request_feed(spark, path, events.schema, files_per_trigger=1)
+    return spark.sql(INPUTS[name].replace("ARR(", "array("), events=feed)
+
+
 @query("stream_request_feed", f"{_LOG} select id, path, status, verdict from request_log")
 def _(spark, d):
     return feeds.run_to_table(_stream_input(spark, d, "request_log").select("id", "path", "status", "verdict"), "feed")
@@ -216,28 +234,33 @@ def _(spark, d):
     where hour + interval 1 hour <= (select max(ts) from request_log) - interval 2 hours""")
 def _(spark, d):
     """Hours that the final watermark has passed."""
-    out = feeds.run_to_table(feeds.stream_calls_per_hour(_stream_input(spark, d, "request_log"), "2 hours"), "hours")
+    out = feeds.run_to_table(feeds.stream_calls_per_hour(_chunked_input(spark, d, "request_log"), "2 hours"), "hours")
     return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:00"))
 
 
-@query("stream_redact", "select doc_id as subject_id, regexp_replace(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b', '[REDACTED_EMAIL]', 'g') as redacted_text from documents")
+@query("stream_redact", PII_REDACT)
 def _(spark, d):
-    feed = _feed(spark, d, "documents")
-    others = ["credit_card", "us_ssn", "iban", "uk_nhs", "ca_sin", "phone", "ip_address"]
-    return feeds.run_to_table(feeds.stream_redact(feed, "doc_id", "text", allow_types=others).drop("total_findings"), "redact")
+    """All detectors, as in the batch form."""
+    out = feeds.run_to_table(feeds.stream_redact(_feed(spark, d, "documents"), "doc_id", "text"), "redact")
+    return out.select("subject_id", F.md5("redacted_text").alias("redacted_md5"), "total_findings")
 
 
 @query("stream_ledger", f"{_FOLD} select key, credits, calls as total_calls, epoch_us(created) as created_at, epoch_us(seen) as last_seen from last")
 def _(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.ROCKSDB)
-    updates = feeds.run_to_table(feeds.stream_ledger(_stream_input(spark, d, "ledger_events")), "ledger", "update")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, feeds.ROCKSDB)
+    try:
+        updates = feeds.run_to_table(feeds.stream_ledger(_chunked_input(spark, d, "ledger_events")), "ledger", "update")
+    finally:
+        spark.conf.set(setting, before)
     return _stamp(feeds.latest_per_key(updates, "key"))
 
 
 @query("stream_dedupe_payments", f"with {ctes('payment_attempts')} select signature, count(*) as n from (select distinct signature from payment_attempts where block_time is not null and epoch(attempted_at) - epoch(block_time) <= 86400 and has_meta and wallet_in_tx and lamports >= 100000) group by 1")
 def _(spark, d):
-    txs = _stream_input(spark, d, "payment_attempts")
-    return feeds.run_to_table(feeds.stream_dedupe_payments(txs).select("signature"), "dedupe").groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    txs = _chunked_input(spark, d, "payment_attempts")
+    return feeds.run_to_table(feeds.stream_dedupe_payments(txs, "60 days").select("signature"), "dedupe").groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
 
 
 _HOLIDAYS = """nth as (select y, make_date(y, m, 1) + cast((dow - isodow(make_date(y, m, 1)) + 7) % 7 + 7 * (n - 1) as int) as d, name from range(2020, 2036) t(y),
