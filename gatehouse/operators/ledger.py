@@ -4,10 +4,11 @@ A call is deducted only when the balance covers it, and a negative adjustment st
 sum is wrong.  Events are range-partitioned by (key, time, id): a hot key spreads over many tasks.
 
 * A key whose first event lies inside a task is folded from zero right there.
-* The key that may continue from the task before has an unknown balance.  Its events are cut into chunks,
-  and each chunk becomes a table ``start balance -> result``.  Above the chunk's total debits every call
-  succeeds, so the table needs one entry per balance below that total only.
-* A last pass walks the chunk tables of a key in order, one lookup per chunk, holding one state.
+* The key that may continue from the task before has an unknown balance.  All its events of the task become one
+  effect ``start balance -> result``, kept as the points where the result changes: between two of them the
+  balance either moves with the start balance or does not depend on it.  Balances that meet never part again,
+  so the points stay few.
+* A last pass walks the effects of a key in order: one row per task and key, one lookup each, holding one state.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_EVENTS = 256
-CHUNK_DEBIT = 1024
+# Points at which an effect is handed on and a new one begun; the chain of both is exact.
+MOST_POINTS = 512
+MERGE_EVERY = 64
 NONE = -1
 
-_SUMMARY = ("key string, first_us long, first_id long, kind string, amount long, "
-            "balances array<long>, calls array<long>, created array<long>, seen array<long>")
+_SUMMARY = ("key string, first_us long, first_id long, starts array<long>, balances array<long>, slopes array<long>, "
+            "calls array<long>, created array<long>, seen array<long>")
 _LEDGER = "key string, credits long, total_calls long, created_us long, seen_us long"
 
 
@@ -53,103 +55,123 @@ def apply_event(state: tuple, kind: str, amount: int, us: int) -> tuple:
     return credits, calls, us if created == NONE else created, us
 
 
-class _Table:
-    """Effect of a chunk for every start balance up to its total debits."""
+class Effect:
+    """What a run of events does to every start balance.
+
+    Point i holds for start balances from ``starts[i]`` up to the next point: the balance at the point, whether it grows with the
+    start balance (slope 1) or not (slope 0), and calls, first and last change.  The last point is open-ended.
+    """
 
     def __init__(self, first_us: int, first_id: int):
-        self.first, self.events, self.debit = (first_us, first_id), [], 0
+        self.first, self.events = (first_us, first_id), 0
+        self.starts, self.balances, self.slopes, self.calls = (np.array([x], np.int64) for x in (0, 0, 1, 0))
+        self.created, self.seen = np.array([NONE], np.int64), np.array([NONE], np.int64)
+
+    def _fields(self) -> list[str]:
+        return ["starts", "balances", "slopes", "calls", "created", "seen"]
+
+    def _split(self, amount: int) -> None:
+        """A point more where a growing balance reaches ``amount``."""
+        top = np.append(self.starts[1:] - self.starts[:-1] + self.balances[:-1], np.iinfo(np.int64).max)
+        at = np.flatnonzero((self.slopes == 1) & (self.balances < amount) & (top > amount))
+        if len(at):
+            new = self.starts[at] + amount - self.balances[at]
+            for name in self._fields():
+                values = getattr(self, name)
+                put = {"starts": new, "balances": np.full(len(at), amount, np.int64)}.get(name, values[at])
+                setattr(self, name, np.insert(values, at + 1, put))
 
     def add(self, kind: str, amount: int, us: int) -> None:
-        self.events.append((kind, amount, us))
-        self.debit += abs(amount) if kind == "call" or amount < 0 else 0
-
-    def full(self) -> bool:
-        return len(self.events) >= CHUNK_EVENTS or self.debit >= CHUNK_DEBIT
+        wrote = np.ones(len(self.starts), bool)
+        if kind == "call":
+            self._split(amount)
+            wrote = self.balances >= amount
+            self.balances = np.where(wrote, self.balances - amount, self.balances)
+            self.calls = self.calls + wrote
+        elif amount >= 0:
+            self.balances = self.balances + amount
+        else:
+            self._split(-amount)
+            wrote = np.ones(len(self.starts), bool)
+            under = self.balances < -amount
+            self.balances, self.slopes = np.where(under, 0, self.balances + amount), np.where(under, 0, self.slopes)
+        self.created = np.where(wrote & (self.created == NONE), us, self.created)
+        self.seen = np.where(wrote, us, self.seen)
+        self.events += 1
+        if self.events % MERGE_EVERY == 0:
+            self.merge()
+
+    def merge(self) -> None:
+        """Takes out points where nothing changes."""
+        length = np.diff(self.starts)
+        same = (self.calls[1:] == self.calls[:-1]) & (self.created[1:] == self.created[:-1]) & (self.seen[1:] == self.seen[:-1]) & (self.slopes[1:] == self.slopes[:-1])
+        same &= self.balances[1:] == self.balances[:-1] + self.slopes[:-1] * length
+        keep = np.concatenate([[True], ~same])
+        for name in self._fields():
+            setattr(self, name, getattr(self, name)[keep])
 
     def row(self, key: str) -> tuple:
-        if len(self.events) == 1:
-            kind, amount, us = self.events[0]
-            return (key, *self.first, kind, amount, [], [], [us], [])
-        bal = np.arange(self.debit + 1, dtype=np.int64)
-        calls = np.zeros_like(bal)
-        created = np.full_like(bal, NONE)
-        seen = np.full_like(bal, NONE)
-        for kind, amount, us in self.events:
-            if kind == "call":
-                wrote = bal >= amount
-                bal = np.where(wrote, bal - amount, bal)
-                calls += wrote
-            else:
-                wrote = np.ones_like(bal, dtype=bool)
-                bal = bal + amount if amount >= 0 else np.maximum(bal + amount, 0)
-            created = np.where(wrote & (created == NONE), us, created)
-            seen = np.where(wrote, us, seen)
-        return (key, *self.first, "table", 0, bal.tolist(), calls.tolist(), created.tolist(), seen.tolist())
+        self.merge()
+        return (key, *self.first, *[getattr(self, name).tolist() for name in self._fields()])
+
+
+def _settled(key: str, start: tuple, state: tuple) -> tuple:
+    """An account folded from zero: the same row for any start balance."""
+    credits, calls, created, seen = state
+    return (key, *start, [0], [credits], [0], [calls], [created], [seen])
 
 
 def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One sorted range of events -> chunk tables of its first key, final states of all others."""
+    """One sorted range of events -> effects of its first key, final states of all others."""
     columns = [c.split()[0] for c in _SUMMARY.split(", ")]
     first_key = key = None
-    table: _Table | None = None
+    effect: Effect | None = None
     state, start = None, None
+
+    def close() -> list[tuple]:
+        if effect is not None and effect.events:
+            return [effect.row(key)]
+        return [_settled(key, start, state)] if state is not None else []
+
     for pdf in batches:
         out = []
         for k, us, i, kind, amount in zip(pdf["key"], pdf["us"], pdf["id"], pdf["kind"], pdf["amount"]):
             if k != key:
-                if table is not None and table.events:
-                    out.append(table.row(key))
-                if state is not None:
-                    out.append((key, *start, "state", 0, *[[v] for v in state]))
-                table = state = None
+                out += close()
+                effect = state = None
                 if first_key is None:
-                    first_key, table = k, _Table(us, i)
+                    first_key, effect = k, Effect(us, i)
                 else:
                     state, start = (0, 0, NONE, NONE), (us, i)
                 key = k
-            if table is not None:
-                big = (kind == "call" or amount < 0) and abs(amount) > CHUNK_DEBIT
-                if table.events and (big or table.full()):
-                    out.append(table.row(key))
-                    table = _Table(us, i)
-                table.add(kind, amount, us)
+            if effect is not None:
+                if len(effect.starts) >= MOST_POINTS:
+                    out += close()
+                    effect = Effect(us, i)
+                effect.add(kind, int(amount), int(us))
             else:
                 state = apply_event(state, kind, amount, us)
         if out:
             yield pd.DataFrame(out, columns=columns)
-    last = []
-    if table is not None and table.events:
-        last.append(table.row(key))
-    if state is not None:
-        last.append((key, *start, "state", 0, *[[v] for v in state]))
+    last = close()
     if last:
         yield pd.DataFrame(last, columns=columns)
 
 
-def _step(state: tuple, kind: str, amount: int, bal, calls, created, seen) -> tuple:
-    credits, n, c0, s0 = state
-    if kind == "state":
-        return int(bal[0]), int(calls[0]), int(created[0]), int(seen[0])
-    if kind != "table":
-        return apply_event(state, kind, int(amount), int(created[0]))
-    at = min(credits, len(bal) - 1)
-    surplus = credits - at
-    made = int(created[at])
-    return (int(bal[at]) + surplus, n + int(calls[at]), made if c0 == NONE else c0, s0 if int(seen[at]) == NONE else int(seen[at]))
-
-
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = [c.split()[0] for c in _LEDGER.split(", ")]
     key, state = None, (0, 0, NONE, NONE)
     for pdf in batches:
         out = []
-        for k, kind, amount, bal, calls, created, seen in zip(
-                pdf["key"], pdf["kind"], pdf["amount"], pdf["balances"], pdf["calls"], pdf["created"], pdf["seen"]):
+        for k, starts, balances, slopes, calls, created, seen in zip(*(pdf[c] for c in ("key", "starts", "balances", "slopes", "calls", "created", "seen"))):
             if k != key:
                 if key is not None and state[3] != NONE:
                     out.append((key, *state))
                 key, state = k, (0, 0, NONE, NONE)
-            state = _step(state, kind, amount, bal, calls, created, seen)
+            credits, n, made, last = state
+            at = int(np.searchsorted(starts, credits, side="right")) - 1
+            now = int(balances[at]) + int(slopes[at]) * (credits - int(starts[at]))
+            state = (now, n + int(calls[at]), int(created[at]) if made == NONE else made, last if int(seen[at]) == NONE else int(seen[at]))
         if out:
             yield pd.DataFrame(out, columns=columns)
     if key is not None and state[3] != NONE:

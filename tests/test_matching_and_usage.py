@@ -158,6 +158,30 @@ def test_ledger_hot_key(spark, parts):
     assert got == {k: (v[0], v[1], v[2] / 1e6, v[3] / 1e6) for k, v in state.items() if v[3] != -1}
 
 
+def test_ledger_effects():
+    """An effect gives the fold of its events for any start balance, and is smaller than they are."""
+    import numpy as np
+
+    random.seed(4)
+    for _ in range(40):
+        effect, done = ledger.Effect(0, 0), []
+        for i in range(random.randint(1, 120)):
+            kind = random.choice(["add", "call", "call", "adjust"])
+            done.append((kind, random.randint(-12, 6) if kind == "adjust" else random.randint(0, 9), i))
+            effect.add(*done[-1])
+        for b in [*range(50), 10 ** 6]:
+            state = (b, 0, ledger.NONE, ledger.NONE)
+            for e in done:
+                state = ledger.apply_event(state, *e)
+            at = int(np.searchsorted(effect.starts, b, side="right")) - 1
+            assert (effect.balances[at] + effect.slopes[at] * (b - effect.starts[at]), effect.calls[at], effect.created[at], effect.seen[at]) == state
+    effect = ledger.Effect(0, 0)
+    for i in range(4000):
+        effect.add("call" if i % 4 else "add", 2 if i % 4 else 9, i)
+    effect.merge()
+    assert len(effect.starts) < 1500
+
+
 def test_free_tier_hot_address(spark):
     log = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("ip"), F.col("id") % 50)).alias("ip"), F.lit(None).cast("string").alias("api_key"))
     out = usage.free_tier_quota(log)
