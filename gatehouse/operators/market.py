@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.operators.findings import compose_gates, verdict_name
+from gatehouse.functions.bind import let
+from gatehouse.operators.findings import verdict_name
 
 _RISK = "struct<type:string,severity:string,verdict:int,score:double>"
 
@@ -16,6 +17,13 @@ def _risk(when: Column, kind: str, severity: str, verdict: int, score: float | C
                                  score.cast("double").alias("score"))).cast(_RISK)
 
 
+def _outcome(risks: list[Column]) -> Column:
+    """``struct(rank, score)`` of the risks that apply, inside a row."""
+    return let(F.filter(F.array(*risks), lambda r: r.isNotNull()), lambda hit: F.struct(
+        F.coalesce(F.array_max(F.transform(hit, lambda r: r["verdict"])), F.lit(0)).alias("rank"),
+        F.coalesce(F.array_max(F.transform(hit, lambda r: r["score"])), F.lit(0.0)).alias("score")))
+
+
 def _judge(df: DataFrame, keep: list, risks: list[Column]) -> DataFrame:
     """Highest verdict and score of the risks that apply; their names in rule order."""
     hit = F.filter(F.array(*risks), lambda r: r.isNotNull())
@@ -54,28 +62,39 @@ def price_consensus(proposals: DataFrame, quotes: DataFrame, as_of: str, diverge
                     max_age: dict[str, int] | None = None) -> DataFrame:
     """``proposals``: ``proposal_id, symbol, asset_type, proposed_price``; ``quotes``: ``symbol, source, price, updated_at``
     (a NULL time means the price has no age)."""
-    limits = max_age or {"crypto": 60, "stock": 3600}
+    joined = proposals.join(_agreed_prices(quotes, as_of), "symbol", "left").withColumn("n", F.coalesce("sources", F.lit(0)))
+    off = F.when(F.col("consensus_price") == 0, F.lit(float("inf"))).otherwise(
+        F.abs(F.col("proposed_price") - F.col("consensus_price")) / F.col("consensus_price") * 100)
+    ready = joined.withColumn("deviation_pct", F.when(F.col("proposed_price").isNotNull(), off))
+    return _judge(ready, ["proposal_id", "symbol", F.col("n").alias("sources"), "consensus_price", "deviation_pct"],
+                  _price_risks(F.col, F.col("asset_type"), F.col("deviation_pct"), divergence_pct, max_age))
+
+
+def _agreed_prices(quotes: DataFrame, as_of: str) -> DataFrame:
+    """One row per symbol."""
     timeless = quotes.where("updated_at is null").groupBy("symbol", "source").agg(F.max("price").alias("price")).select(
         "symbol", "source", F.lit(None).cast("timestamp").alias("updated_at"), "price")
     current = latest_quotes(quotes, as_of).unionByName(timeless).where("price is not null")
     age = F.greatest(F.lit(0), F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("updated_at"))
-    agreed = current.groupBy("symbol").agg(
+    return current.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("sources"), F.avg("price").alias("consensus_price"), F.min("price").alias("low"),
         F.max("price").alias("high"), F.max(age).alias("oldest_s"))
-    joined = proposals.join(agreed, "symbol", "left").withColumn("n", F.coalesce("sources", F.lit(0)))
-    apart = F.when(F.col("low") == 0, F.lit(float("inf"))).otherwise(F.abs(F.col("high") - F.col("low")) / F.col("low") * 100)
-    off = F.when(F.col("consensus_price") == 0, F.lit(float("inf"))).otherwise(
-        F.abs(F.col("proposed_price") - F.col("consensus_price")) / F.col("consensus_price") * 100)
-    limit = F.when(F.col("asset_type") == "stock", limits["stock"]).otherwise(limits["crypto"])
-    ready = joined.withColumn("apart", apart).withColumn("deviation_pct", F.when(F.col("proposed_price").isNotNull(), off))
-    return _judge(ready, ["proposal_id", "symbol", F.col("n").alias("sources"), "consensus_price", "deviation_pct"], [
-        _risk(F.col("n") == 0, "no_price_source", "critical", 2, 100),
-        _risk(F.col("n") == 1, "single_price_source", "warn", 1, 40),
-        _risk(F.col("oldest_s") > limit, "stale_price", "critical", 2, 90),
-        _risk((F.col("n") >= 2) & (F.col("apart") > divergence_pct), "price_divergence", "critical", 2, 85),
-        _risk(F.col("deviation_pct") > 5, "proposed_price_deviation", "critical", 2, 95),
-        _risk((F.col("deviation_pct") > 2) & (F.col("deviation_pct") <= 5), "proposed_price_deviation", "warn", 1, 50),
-    ])
+
+
+def _price_risks(c, asset_type: Column, deviation: Column, divergence_pct: float = 2.0, max_age: dict[str, int] | None = None) -> list[Column]:
+    """``c`` gives a column of the agreed price by its name."""
+    limits = max_age or {"crypto": 60, "stock": 3600}
+    n = F.coalesce(c("sources"), F.lit(0))
+    apart = F.when(c("low") == 0, F.lit(float("inf"))).otherwise(F.abs(c("high") - c("low")) / c("low") * 100)
+    limit = F.when(asset_type == "stock", limits["stock"]).otherwise(limits["crypto"])
+    return [
+        _risk(n == 0, "no_price_source", "critical", 2, 100),
+        _risk(n == 1, "single_price_source", "warn", 1, 40),
+        _risk(c("oldest_s") > limit, "stale_price", "critical", 2, 90),
+        _risk((n >= 2) & (apart > divergence_pct), "price_divergence", "critical", 2, 85),
+        _risk(deviation > 5, "proposed_price_deviation", "critical", 2, 95),
+        _risk((deviation > 2) & (deviation <= 5), "proposed_price_deviation", "warn", 1, 50),
+    ]
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
@@ -88,40 +107,60 @@ def best_pairs(pairs: DataFrame) -> DataFrame:
 def liquidity_check(trades: DataFrame, pairs: DataFrame, max_impact_pct: float = 2.0, min_liquidity: float = 10_000.0) -> DataFrame:
     """``trades``: ``trade_id, token, trade_usd``."""
     joined = trades.join(best_pairs(pairs), "token", "left")
-    liq = F.col("liquidity")
+    impact = _impact(F.col("trade_usd"), F.col("liquidity"))
+    return _judge(joined.withColumn("impact_pct", impact), ["trade_id", "token", F.col("liquidity").alias("pool_liquidity"), "impact_pct"],
+                  _liquidity_risks(F.col, F.col("impact_pct"), max_impact_pct, min_liquidity))
+
+
+def _impact(trade_usd: Column, liquidity: Column) -> Column:
+    return F.when(liquidity > 0, trade_usd / liquidity * 200)
+
+
+def _liquidity_risks(c, impact: Column, max_impact_pct: float = 2.0, min_liquidity: float = 10_000.0) -> list[Column]:
+    """``c`` gives a column of the deepest pool by its name."""
+    liq = c("liquidity")
     some = F.coalesce(liq > 0, F.lit(False))
-    impact = F.when(some, F.col("trade_usd") / liq * 200)
-    return _judge(joined.withColumn("impact_pct", impact), ["trade_id", "token", F.col("liquidity").alias("pool_liquidity"), "impact_pct"], [
+    return [
         _risk(~some, "no_liquidity_data", "critical", 2, 100),
         _risk(some & (liq < min_liquidity), "insufficient_liquidity", "critical", 2, 90),
         _risk(some & (liq >= min_liquidity) & (liq < 2 * min_liquidity), "low_liquidity", "warn", 1, 45),
-        _risk(F.col("impact_pct") > max_impact_pct, "high_price_impact", "critical", 2, 85),
-        _risk((F.col("impact_pct") > 1) & (F.col("impact_pct") <= max_impact_pct), "elevated_price_impact", "warn", 1, 40),
-        _risk(some & (F.col("volume24h") / liq > 10), "wash_trading_suspected", "warn", 1, 50),
-    ])
+        _risk(impact > max_impact_pct, "high_price_impact", "critical", 2, 85),
+        _risk((impact > 1) & (impact <= max_impact_pct), "elevated_price_impact", "warn", 1, 40),
+        _risk(some & (c("volume24h") / liq > 10), "wash_trading_suspected", "warn", 1, 50),
+    ]
 
 
 def token_risk(tokens: DataFrame, snapshot: DataFrame, max_score: float = 60, require_lp_locked: bool = True,
                block_mint: bool = True, block_freeze: bool = True) -> DataFrame:
     """``tokens``: ``token, chain``; ``snapshot``: ``token, score, mint_active, freeze_active, lp_locked_pct, risks
     array<struct<name,level>>``.  Listed risks are reported but do not raise the verdict."""
-    j = tokens.join(snapshot.withColumnRenamed("score", "rug_score").withColumnRenamed("risks", "listed").withColumn("found", F.lit(True)), "token", "left")
-    sol = F.col("chain") == "solana"
-    seen = sol & F.coalesce("found", F.lit(False))
+    j = tokens.join(_token_facts(snapshot), "token", "left")
+    seen = (F.col("chain") == "solana") & F.coalesce("found", F.lit(False))
+    return _judge(j, ["token", "chain", F.when(seen, F.col("rug_score")).alias("rug_score"),
+                        F.when(seen, F.array_join(F.transform("listed", lambda r: F.concat(r["name"], F.when(r["level"] == "danger", ":critical").otherwise(":warn"))), ",")).alias("listed_risks")], _token_risks(F.col, F.col("chain"), max_score, require_lp_locked, block_mint, block_freeze))
+
+
+def _token_facts(snapshot: DataFrame) -> DataFrame:
+    return snapshot.withColumnRenamed("score", "rug_score").withColumnRenamed("risks", "listed").withColumn("found", F.lit(True))
+
+
+def _token_risks(c, chain: Column, max_score: float = 60, require_lp_locked: bool = True, block_mint: bool = True, block_freeze: bool = True) -> list[Column]:
+    """``c`` gives a column of the token's snapshot by its name."""
+    sol = chain == "solana"
+    seen = sol & F.coalesce(c("found"), F.lit(False))
     mint = (2, 90) if block_mint else (1, 50)
     freeze = (2, 90) if block_freeze else (1, 50)
     unlocked = (1, 45) if require_lp_locked else (0, 0)
-    judged = _judge(j, ["token", "chain", F.when(seen, F.col("rug_score")).alias("rug_score"),
-                        F.when(seen, F.array_join(F.transform("listed", lambda r: F.concat(r["name"], F.when(r["level"] == "danger", ":critical").otherwise(":warn"))), ",")).alias("listed_risks")], [
+    score = c("rug_score")
+    return [
         _risk(~sol, "unsupported_chain", "warn", 1, 50),
         _risk(sol & ~seen, "rugcheck_unavailable", "warn", 1, 50),
-        _risk(seen & F.col("mint_active"), "mint_authority_active", "critical", *mint),
-        _risk(seen & F.col("freeze_active"), "freeze_authority_active", "critical", *freeze),
-        _risk(seen & (F.col("rug_score") > max_score), "high_rug_score", "critical", 2, F.least(F.lit(100), F.col("rug_score"))),
-        _risk(seen & (F.col("rug_score") <= max_score) & (F.col("rug_score") >= 40), "elevated_rug_score", "warn", 1, F.col("rug_score")),
-        _risk(seen & (F.col("lp_locked_pct") == 0), "lp_not_locked", "warn", *unlocked),
-    ])
-    return judged
+        _risk(seen & c("mint_active"), "mint_authority_active", "critical", *mint),
+        _risk(seen & c("freeze_active"), "freeze_authority_active", "critical", *freeze),
+        _risk(seen & (score > max_score), "high_rug_score", "critical", 2, F.least(F.lit(100), score)),
+        _risk(seen & (score <= max_score) & (score >= 40), "elevated_rug_score", "warn", 1, score),
+        _risk(seen & (c("lp_locked_pct") == 0), "lp_not_locked", "warn", *unlocked),
+    ]
 
 
 def portfolio_snapshot(positions: DataFrame, cash: DataFrame, pnl: DataFrame) -> DataFrame:
@@ -198,24 +237,27 @@ def resolve_symbols(queries: DataFrame, dex: DataFrame, coins: DataFrame) -> Dat
 
 
 def order_risk(orders: DataFrame, snapshot: DataFrame, pairs: DataFrame, quotes: DataFrame, as_of: str) -> DataFrame:
-    """``orders``: ``order_id, symbol, token, chain, asset_type, trade_usd, leverage, portfolio_value_usd``.
+    """``orders``: ``order_id, symbol, token, chain, asset_type, trade_usd, leverage, portfolio_value_usd``, one row an order.
 
     Token checks run where a token is given, the position check where a portfolio value is given, the
-    price check always.  Token risk is judged once per distinct token and chain.
+    price check always.  One pass: token, pool and price facts are looked up and every gate is judged inside the row.
     """
-    key = F.col("order_id").alias("subject_id")
-    with_token = orders.where("token is not null")
-    risk = token_risk(with_token.select("token", F.coalesce("chain", F.lit("solana")).alias("chain")).distinct(), snapshot)
-    rug = with_token.select("order_id", "token", F.coalesce("chain", F.lit("solana")).alias("chain")).join(
-        risk, ["token", "chain"]).select(key, "verdict", "score")
-    liq = liquidity_check(with_token.select(F.col("order_id").alias("trade_id"), "token", "trade_usd"), pairs).select(
-        F.col("trade_id").alias("subject_id"), "verdict", "score")
-    price = price_consensus(orders.select(F.col("order_id").alias("proposal_id"), "symbol", "asset_type", F.lit(None).cast("double").alias("proposed_price")),
-                            quotes, as_of).select(F.col("proposal_id").alias("subject_id"), "verdict", "score")
-    sized = orders.where("portfolio_value_usd is not null")
-    lev = F.coalesce("leverage", F.lit(1.0))
-    total = F.col("portfolio_value_usd")
+    whole = lambda df, key, name: df.select(key, F.struct(*[c for c in df.columns if c != key]).alias(name))
+    j = (orders.join(whole(_token_facts(snapshot), "token", "rug"), "token", "left").join(whole(best_pairs(pairs), "token", "pool"), "token", "left")
+         .join(whole(_agreed_prices(quotes, as_of), "symbol", "agreed"), "symbol", "left"))
+    of = lambda name: lambda c: F.col(name)[c]
+    chain, lev, total = F.coalesce("chain", F.lit("solana")), F.coalesce("leverage", F.lit(1.0)), F.col("portfolio_value_usd")
     share = F.when(total > 0, F.col("trade_usd") * lev / F.when(total > 0, total) * 100)
     bad = F.coalesce(share > 25, F.lit(False)) | (lev > 3)
-    position = sized.select(key, F.when(bad, "BLOCK").otherwise("PASS").alias("verdict"), F.when(bad, 100.0).otherwise(0.0).alias("score"))
-    return compose_gates([("rug", rug), ("liquidity", liq), ("price", price), ("position", position)])
+    token, sized = F.col("token").isNotNull(), total.isNotNull()
+    gates = [
+        ("rug", token, _outcome(_token_risks(of("rug"), chain))),
+        ("liquidity", token, _outcome(_liquidity_risks(of("pool"), _impact(F.col("trade_usd"), F.col("pool.liquidity"))))),
+        ("price", F.lit(True), _outcome(_price_risks(of("agreed"), F.col("asset_type"), F.lit(None).cast("double")))),
+        ("position", sized, F.struct(F.when(bad, 2).otherwise(0).alias("rank"), F.when(bad, 100.0).otherwise(0.0).alias("score"))),
+    ]
+    ran = F.filter(F.array(*[F.when(runs, F.struct(F.lit(name).alias("gate"), o["rank"].cast("int").alias("rank"), o["score"].cast("double").alias("score"))) for name, runs, o in gates]), lambda g: g.isNotNull())
+    g = j.select(F.col("order_id").alias("subject_id"), ran.alias("g"))
+    return g.select(
+        "subject_id", verdict_name(F.array_max(F.transform("g", lambda x: x["rank"]))).alias("verdict"), F.array_max(F.transform("g", lambda x: x["score"])).alias("score"),
+        F.get(F.filter("g", lambda x: x["rank"] == 2), F.lit(0))["gate"].alias("blocked_by"), F.size("g").cast("long").alias("gates_run"))
