@@ -65,12 +65,12 @@ def _(spark, d):
     twice = F.filter(F.array(row(F.col("s_name"), F.lit(True)), row(F.concat("s_name", F.lit(" v2")), F.col("s_suppkey") % 10 == 0)), lambda x: x.isNotNull())
     rows = s.select(F.explode(twice).alias("r")).select("r.*")
     blank = spark.range(1).select(F.lit("-0-").alias("a"), F.lit("nobody").alias("b"), F.lit("").alias("c"), F.lit("").alias("d"))
-    rows.unionByName(blank).coalesce(1).write.option("quote", '"').option("escape", '"').csv(folder + "/prim")
+    rows.unionByName(blank).write.option("quote", '"').option("escape", '"').csv(folder + "/prim")
     alias = lambda n, when: F.when(when, F.struct(F.col("s_suppkey").cast("string").alias("a"), F.lit("1").alias("b"), F.lit("aka").alias("c"), n.alias("d")))
     first = F.concat(F.lit('AKA, "'), "s_suppkey", F.lit('"'))
     many = F.filter(F.array(alias(first, F.col("s_suppkey") % 5 < 2), alias(first, F.col("s_suppkey") % 5 < 2), alias(F.lit("Second"), F.col("s_suppkey") % 5 == 0),
                             alias(F.lit("-0-"), F.lit(True))), lambda x: x.isNotNull())
-    s.select(F.explode(many).alias("r")).select("r.*").coalesce(1).write.option("quote", '"').option("escape", '"').csv(folder + "/alt")
+    s.select(F.explode(many).alias("r")).select("r.*").write.option("quote", '"').option("escape", '"').csv(folder + "/alt")
     out = snapshots.build_sanctions_snapshot(spark, folder + "/prim", folder + "/alt", "X")
     return out.select("record_id", "name", "entity_type", "program", F.array_join("aliases", "|").alias("aliases"))
 

@@ -17,8 +17,9 @@ def _clean(c: str) -> Column:
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     rows = spark.read.schema(schema).csv(path, header=False, quote='"', escape='"', mode="PERMISSIVE")
-    # File order decides which duplicate wins and the order of aliases.
-    return rows.withColumn("row", F.monotonically_increasing_id())
+    # Order decides which duplicate wins and the order of aliases: files by name, rows by their place in the file, which
+    # ids of one file's splits keep.
+    return rows.withColumn("row", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place")))
 
 
 def build_sanctions_snapshot(spark: SparkSession, primary_csv: str, alias_csv: str, list_name: str) -> DataFrame:
