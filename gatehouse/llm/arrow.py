@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from gatehouse.session import ship_package
 
 
+ROWS_AT_ONCE = 1024
+
+
 def with_columns(df: DataFrame, text: str, new: dict[str, T.DataType], make: Callable[[list], list],
                  keep: list[str] | None = None) -> DataFrame:
     """``df`` with columns computed from one text column, batch by batch, in one narrow pass.
@@ -24,7 +27,8 @@ def with_columns(df: DataFrame, text: str, new: dict[str, T.DataType], make: Cal
     source = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text)).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A part of a batch at a time: texts are held as Python strings only for so many rows.
+        for batch in (whole.slice(i, ROWS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, ROWS_AT_ONCE)):
             arrays = batch.columns[:-1] + [a if isinstance(a, pa.Array) else pa.array(a) for a in make(batch.column(batch.num_columns - 1).to_pylist())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
 
