@@ -97,6 +97,9 @@ def fingerprint_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     descending order of the key, a whole number.  Returns the key, ``n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next``.  Null texts count as empty; texts without words have an empty fingerprint.  Rows with equal keys are ordered
     by their place in the table; null keys come last.  A single document is its own next.
+
+    ``docs`` is read several times and rows are numbered by their place: it must be a stored table, or else give the same rows in
+    the same partitions each time.
     """
     rows = in_ranges(docs.select(F.monotonically_increasing_id().alias("row"), F.col(quoted(key)).cast("long").alias("id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text")))
     half = F.floor(F.length("text") / 2).cast("int")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gatehouse.llm.arrow import with_columns
+from gatehouse.llm.arrow import map_in_arrow, with_columns
 from gatehouse.llm.pieces import Vocabulary, WordCache, char_bytes, load_vocabulary, marked_words, slices
 
 
@@ -119,8 +119,6 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids; null for null ids."""
-    from gatehouse.llm.arrow import map_in_arrow
-
     fields = [f for f in encoded.schema.fields if f.name != out]
     at = [f.name for f in fields].index(ids)
 
