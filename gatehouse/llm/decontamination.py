@@ -24,7 +24,7 @@ def words(text: Column) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
     # Of ASCII text, `lower` changes nothing else and is much faster than `translate`.
     lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.split(F.trim(F.regexp_replace(lowered, _BETWEEN, " ")), " ")
+    return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -34,7 +34,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     posting without a term, which alone carries its key and its number of words.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(quoted(key)).alias("doc"), words(F.col(quoted(text))).alias("w"))
-    tagged = rows.select("row", "doc", F.concat(F.array(F.lit(None).cast("string")), F.filter("w", lambda x: x != "")).alias("w"))
+    tagged = rows.select("row", "doc", F.concat(F.array(F.lit(None).cast("string")), "w").alias("w"))
     flat = tagged.select("row", "doc", F.size("w").alias("size"), F.posexplode("w").alias("pos", "term"))
     head = F.col("term").isNull()
     postings = flat.select("row", F.col("pos").cast("int").alias("pos"), "term", F.when(head, F.col("doc")).alias("doc"), F.when(head, F.col("size") - 1).cast("long").alias("n_words"))
@@ -50,7 +50,7 @@ def phrase_terms(phrases: DataFrame, key: str = "item_id", text: str = "text") -
 
     ``name`` is the key as text ('' for null).  Phrases of equal name and words are one; null and empty ones have no words.
     """
-    lists = phrases.select(F.coalesce(F.col(quoted(key)).cast("string"), F.lit("")).alias("name"), F.filter(words(F.col(quoted(text))), lambda x: x != "").alias("w")).where("size(w) > 0").distinct()
+    lists = phrases.select(F.coalesce(F.col(quoted(key)).cast("string"), F.lit("")).alias("name"), words(F.col(quoted(text))).alias("w")).where("size(w) > 0").distinct()
     numbered = lists.select(F.xxhash64("name", "w").alias("item"), "name", "w")
     return stored(numbered.select("item", "name", F.size("w").alias("size"), F.posexplode("w").alias("at", "term")), "phrase-terms")
 
