@@ -91,7 +91,7 @@ def slices(texts: list[str | None], size: int = SLICE) -> Iterator[list[str | No
 class WordCache:
     """Results of words seen by a worker.  When it is full it starts anew: results never depend on it."""
 
-    def __init__(self, compute, limit: int = 600_000) -> None:
+    def __init__(self, compute, limit: int = 300_000) -> None:
         self.compute, self.limit, self.known = compute, limit, {}
 
     def of(self, words: set[str]) -> dict:

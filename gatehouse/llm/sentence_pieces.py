@@ -84,8 +84,8 @@ class Encoder:
         out = []
         for run in slices(texts):
             words = [list(marked_words(t)) if t else [] for t in run]
-            known = self.cache.of({w for parts in words for part in parts for w in part})
-            out += [b"".join([known[w] for part in parts for w in part]) for parts in words]
+            known = self.cache.of(set().union(*[part for parts in words for part in parts]))
+            out += [b"".join([x for part in parts for x in map(known.__getitem__, part)]) for parts in words]
         return out
 
 
