@@ -42,8 +42,7 @@ SEGMENT_IDS = 1 << 18
 SEGMENT_DOCS = 1 << 14
 
 _SEPARATOR = "<|startoftext|>"
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
-_WIDE = re.compile("[^\x00-\xff]")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # A letter ends a token of the tokenizer's first step where an ASCII sign follows.
 _SIGN = "[!-/:-@\\[-`{-~]"
 _STOP = re.compile(f"{_SIGN}(?<=[A-Za-zÀ-ÖØ-öø-ÿ]{_SIGN})")
@@ -135,7 +134,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
-        self.cache = WordCache(self._encode_words, 500_000)
+        self.cache = WordCache(self._encode_words, 1_000_000)
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         plain = [w for w in words if "<|" not in w] if self.separator is not None else []
@@ -155,20 +154,23 @@ class TextEncoder:
     def _words(self, text: str | None) -> list[str]:
         if not text:
             return []
-        odd = _ODD.search(text)  # control characters that Python takes for space, and names of special tokens
-        if odd is None:
-            if _WIDE.search(text) is None:
-                text = text.lower()  # as the tokenizer does next; fewer distinct words
-            return _STOP.sub(r" \g<0>", text).split()
-        return [w for w in re.split("[ \n\t\r]+", text) if w]
+        # Control characters that Python takes for space, and names of special tokens: left as they are.
+        if any(c in text for c in _ODD):
+            return [w for w in re.split("[ \n\t\r]+", text) if w]
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # as the tokenizer does next; fewer distinct words
+        except UnicodeEncodeError:
+            pass  # beyond Latin-1 the two might differ in a letter
+        return _STOP.sub(r" \g<0>", text).split()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out = []
         for run in slices(texts):
             lists = [self._words(t) for t in run]
-            known = self.cache.of({w for words in lists for w in words})
-            out += [b"".join([known[w] for w in words]) for words in lists]
+            known = self.cache.of(set().union(*lists))
+            out += [b"".join(map(known.__getitem__, words)) for words in lists]
         return out
 
 
