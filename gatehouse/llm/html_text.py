@@ -3,8 +3,9 @@
 Every text node has a path of tags from the root.  Per path, text length and punctuation are summed and divided by the number of
 nodes: the text ratio and the punctuation ratio.  Paths of running text score high on both, paths of menus and links
 score low.  Both are fused into one value per path, every node takes the value of its path, the series of nodes in page order is smoothed,
-and nodes over a threshold are content.  The element that holds nearly all content text is the article; it is
-returned whole, without parts that its markup names as something else (menus, forms, comments, adverts and so on).
+and nodes over a threshold are content.  The element that holds nearly all content text is the article, without parts that its
+markup names as something else (menus, forms, comments, adverts and so on).  Inside it, blocks on paths of low value go as well, such
+as lists of links; headings, and paragraphs, list items and cells that are not mostly links, are kept however short.
 """
 
 from __future__ import annotations
@@ -44,6 +45,11 @@ NAMES = {
 CONTAINER = {"article", "main", "section", "div", "body", "html", "td", "blockquote", "center", "table", "tbody", "tr"}
 # Share of the content text that the article element must hold.
 SHARE = 0.8
+# Inside the article, a block is on paths of low value below this share of the mean value of the text.
+LOW = 0.1
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Blocks of low value that stay unless half of their text or more is links.
+RESCUED = {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th", "caption", "figcaption"}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?、。，]")
@@ -58,7 +64,10 @@ class _Nodes(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element number, not content
         self.parent: list[int] = [0]
         self.tags: list[str] = [""]
-        self.paths: list[tuple] = [()]
+        # Paths are numbered as (number of the parent path, tag), whatever their depth.
+        self.paths: list[int] = [0]
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.last: list[str] = [""]
         self.count = 0
         self.block = 0
         self.nodes: list[tuple[str, int, int, bool]] = []  # text, element, block, not content
@@ -94,7 +103,11 @@ class _Nodes(HTMLParser):
         self.parent.append(top[1])
         self.tags.append(tag)
         path = self.paths[top[1]]
-        self.paths.append(path if path and path[-1] == tag and tag in ("b", "i", "em", "span", "font") else (*path, tag) if len(path) < 64 else path)
+        if self.last[path] != tag or tag not in ("b", "i", "em", "span", "font"):
+            path = self.numbers.setdefault((path, tag), len(self.numbers) + 1)
+            if path == len(self.last):
+                self.last.append(tag)
+        self.paths.append(path)
         self.stack.append((tag, self.count, top[2] or tag in NEVER or _foreign(tag, attrs)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -129,11 +142,12 @@ def _foreign(tag: str, attrs: list) -> bool:
     return False
 
 
-def _content(nodes: list, paths: list) -> np.ndarray:
-    """Which text nodes are content: fused path ratios, smoothed over the page, against their threshold."""
+def _content(nodes: list, paths: list) -> tuple[np.ndarray, np.ndarray]:
+    """Which text nodes are content: fused path ratios, smoothed over the page, against their threshold.  And the ratios, as a share
+    of their mean over the text."""
     lengths = np.array([len(t.strip()) for t, _, _, _ in nodes], float)
     marks = np.array([len(_PUNCT.findall(t)) for t, _, _, _ in nodes], float)
-    names: dict[tuple, int] = {}
+    names: dict[int, int] = {}
     path = np.array([names.setdefault(paths[e], len(names)) for _, e, _, _ in nodes])
     seen = lengths > 0
     n = np.maximum(np.bincount(path, weights=seen), 1)
@@ -142,12 +156,12 @@ def _content(nodes: list, paths: list) -> np.ndarray:
     # The smoothed value only compares nodes with text.
     at = np.flatnonzero(seen)
     if not len(at):
-        return seen
+        return seen, series
     padded = np.pad(series[at], 2, mode="edge")
     smooth = np.convolve(padded, _KERNEL / _KERNEL.sum(), mode="valid")
     out = np.zeros(len(nodes), bool)
     out[at] = smooth >= 0.5 * smooth.mean()
-    return out
+    return out, series / (series @ lengths / lengths.sum())
 
 
 def main_text(html: str | None) -> str:
@@ -160,7 +174,7 @@ def main_text(html: str | None) -> str:
     nodes = [n for n in page.nodes if not n[3]]
     if not any(t.strip() for t, _, _, _ in nodes):
         return ""
-    chosen = _content(nodes, page.paths)
+    chosen, value = _content(nodes, page.paths)
     # Content text under each element; from the root down, the child that holds nearly all of it.
     mass = [0.0] * (page.count + 1)
     for (text, element, _, _), content in zip(nodes, chosen):
@@ -189,13 +203,26 @@ def main_text(html: str | None) -> str:
     inside[best] = True
     for e in range(best + 1, page.count + 1):
         inside[e] = inside[page.parent[e]]
+    linked, holder = [False] * (page.count + 1), [""] * (page.count + 1)
+    for e in range(1, page.count + 1):
+        tag, up = page.tags[e], page.parent[e]
+        linked[e] = linked[up] or tag == "a"
+        # The nearest element that decides: a container inside an item or a cell takes its place.
+        holder[e] = tag if tag in HEADINGS or tag in RESCUED else holder[up] if tag not in BLOCK or holder[up] in RESCUED else ""
     blocks: dict[int, list[str]] = {}
+    sums: dict[int, np.ndarray] = {}  # text, its value, text in links
     kept: dict[int, bool] = {}
-    for (text, element, block, _), content in zip(nodes, chosen):
+    headed: set[int] = set()
+    for (text, element, block, _), content, v in zip(nodes, chosen, value):
         if inside[element]:
             blocks.setdefault(block, []).append(text)
-            heading = page.tags[element] in ("h1", "h2", "h3", "h4", "h5", "h6")
-            kept[block] = kept.get(block, False) or bool(content) or not whole or heading
+            n = len(text.strip())
+            sums[block] = sums.get(block, 0) + np.array([n, n * v, n * linked[element]])
+            if n and holder[element] in HEADINGS:
+                headed.add(block)
+            kept[block] = kept.get(block, False) or (bool(content) if whole else n > 0 and holder[element] in RESCUED)
+    for block, (n, v, links) in sums.items():
+        kept[block] = block in headed or (kept[block] if whole else v >= LOW * n or kept[block] and 2 * links < n)
     lines = [_SPACE.sub(" ", "".join(parts)).strip() for block, parts in blocks.items() if kept[block]]
     return "\n".join(x for x in lines if x)
 
