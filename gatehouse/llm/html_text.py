@@ -42,6 +42,9 @@ NAMES = {
     "disqus", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "alert", "newsletter", "subscribe", "signup", "login", "search", "share",
     "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "toolbar", "form",
 }
+# Names that hold articles of their own, one a comment; and elements whose mark is as weak as a name.
+COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "disqus"}
+WEAK = {"form"}
 CONTAINER = {"article", "main", "section", "div", "body", "html", "td", "blockquote", "center", "table", "tbody", "tr"}
 # Share of the content text that the article element must hold.
 SHARE = 0.8
@@ -70,7 +73,8 @@ class _Nodes(HTMLParser):
         self.last: list[str] = [""]
         self.count = 0
         self.block = 0
-        self.nodes: list[tuple[str, int, int, bool]] = []  # text, element, block, not content
+        self.nodes: list[tuple[str, int, int, bool]] = []  # text, element, block, not content whatever it holds
+        self.named: dict[int, set[str]] = {}  # elements that a name or <form> marks as not content, unless they hold the article
 
     def _close(self, upto: int) -> None:
         if any(t in BLOCK for t, _, _ in self.stack[upto:]):
@@ -108,7 +112,10 @@ class _Nodes(HTMLParser):
             if path == len(self.last):
                 self.last.append(tag)
         self.paths.append(path)
-        self.stack.append((tag, self.count, top[2] or tag in NEVER or _foreign(tag, attrs)))
+        marks = _marks(tag, attrs)
+        if marks:
+            self.named[self.count] = marks
+        self.stack.append((tag, self.count, top[2] or tag in NEVER - WEAK or _hidden(tag, attrs)))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # the slash has no meaning for elements that are not void
@@ -129,7 +136,7 @@ class _Nodes(HTMLParser):
         self.nodes.append((data, element, self.block, out))
 
 
-def _foreign(tag: str, attrs: list) -> bool:
+def _hidden(tag: str, attrs: list) -> bool:
     if tag in ("html", "body", "main"):
         return False
     for name, value in attrs:
@@ -137,11 +144,68 @@ def _foreign(tag: str, attrs: list) -> bool:
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id", "role") and value and any(w.lower() in NAMES for w in _WORDS.findall(value)):
-            return True
     return False
 
 
+def _marks(tag: str, attrs: list) -> set[str]:
+    """Listed words that mark the element as not content."""
+    if tag in ("html", "body", "main"):
+        return set()
+    marks = {tag} if tag in WEAK else set()
+    for name, value in attrs:
+        if name in ("class", "id", "role") and value:
+            marks |= {w.lower() for w in _WORDS.findall(value)} & NAMES
+    return marks
+
+
+def _foreign(page: _Nodes) -> list[bool]:
+    """Elements in a part that a name or ``<form>`` marks as not content.
+
+    A mark does not count on an element that holds an ``<article>`` or ``<main>``, if none outside such parts has more running text, nor
+    on one that holds the share SHARE of the running text of the page, unless an ``<article>`` with text stands beside it.  Comments
+    only go for an article if there is none outside at all.
+    """
+    count, named = page.count, page.named
+    if not named:
+        return [False] * (count + 1)
+    nodes = [n for n in page.nodes if not n[3]]
+    chosen, _ = _content(nodes, page.paths)
+
+    def below() -> list[bool]:
+        out = [False] * (count + 1)
+        for e in range(1, count + 1):
+            out[e] = out[page.parent[e]] or e in named and e not in excused
+        return out
+
+    excused: set[int] = set()
+    out = below()
+    mass, clean, words = [0.0] * (count + 1), [0.0] * (count + 1), [0] * (count + 1)
+    holds = [t in ("article", "main") for t in page.tags]
+    for (text, element, _, _), content in zip(nodes, chosen):
+        words[element] += 0 if out[element] else len(text.strip())
+        if content:
+            mass[element] += len(text.strip())
+            clean[element] += 0 if out[element] else len(text.strip())
+    best = 0.0
+    for e in range(count, 0, -1):
+        if page.tags[e] in ("article", "main"):
+            best = max(best, clean[e])
+        up = page.parent[e]
+        mass[up] += mass[e]
+        words[up] += words[e]
+        clean[up] += clean[e]
+        holds[up] = holds[up] or holds[e]
+    articles = [e for e in range(1, count + 1) if page.tags[e] == "article" and words[e]]
+    around = [False] * (count + 1)
+    for e in range(1, count + 1):
+        around[e] = around[page.parent[e]] or page.tags[e] == "article"
+    for e, marks in named.items():
+        most = mass[e] >= SHARE * mass[0] and (around[e] or not articles)
+        if (holds[e] or most) and mass[e] > best and not (best and marks & COMMENTS):
+            excused.add(e)
+    return below() if excused else out
+
+
 def _content(nodes: list, paths: list) -> tuple[np.ndarray, np.ndarray]:
     """Which text nodes are content: fused path ratios, smoothed over the page, against their threshold.  And the ratios, as a share
     of their mean over the text."""
@@ -171,7 +235,8 @@ def main_text(html: str | None) -> str:
     page = _Nodes()
     page.feed(html)
     page.close()
-    nodes = [n for n in page.nodes if not n[3]]
+    foreign = _foreign(page)
+    nodes = [n for n in page.nodes if not n[3] and not foreign[n[1]]]
     if not any(t.strip() for t, _, _, _ in nodes):
         return ""
     chosen, value = _content(nodes, page.paths)

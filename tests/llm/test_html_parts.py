@@ -1,6 +1,8 @@
 """Main text where only path ratios, or the place of the text, tell content from the rest."""
 
 
+import pytest
+
 from gatehouse.llm import html_text
 
 PROSE = ["The harbour was closed, and the boats stayed in; nobody, it was said, had seen such a storm. " * 4 + f"Part {k}." for k in range(5)]
@@ -18,3 +20,17 @@ def test_paths_of_any_depth_stay_apart():
     page.feed("<div>" * 80 + "<p>a</p><ul><li><a>b</a></li></ul>")
     a, b = (page.paths[e] for text, e, _, _ in page.nodes if text.strip())
     assert a != b and len(set(page.paths)) == 85
+
+
+@pytest.mark.parametrize("inside", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<article><div class='post-header-2'>{}</div></article>"])
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>{}</div>", "<div id='search-results'>{}</div>", "<form action=x>{}</form>", "<form><div class='widget'><div role='search'>{}</div></div></form>", "<main><div class='ad-free'>{}</div></main>"])
+def test_named_wrappers_do_not_lose_the_article(wrapper, inside):
+    menu = "<div class='menu'><a>One</a><a>Two</a></div><div class='cookie-notice'>We use cookies, of course.</div>"
+    page = f"<body>{wrapper.format(menu + inside.format(BODY))}<footer>Foot</footer></body>"
+    assert html_text.main_text(page).split("\n") == PROSE
+
+
+def test_named_parts_beside_the_article_still_go():
+    talk = "<article class='comment-body'><p>" + PROSE[0] * 9 + "</p></article>"
+    page = f"<body><main><article><h1>Storm</h1>{BODY}</article><div class='comments'>{talk}</div><div class='related'><article><p>{PROSE[1]}</p></article></div><form>Name</form></main></body>"
+    assert html_text.main_text(page).split("\n") == ["Storm", *PROSE]
