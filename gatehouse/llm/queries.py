@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from gatehouse.llm import decontamination, fingerprints, html_text, language, quality, sentence_pieces, simhash, token_counts, token_ids, url_filter
+from gatehouse.llm import alignment, decontamination, embedding_dedup, fingerprints, hard_negatives, html_text, language, quality, sentence_pieces, simhash, token_counts, token_ids, url_filter
 from gatehouse.llm.arrow import crc_mod
 from gatehouse.sources.tables import load
 
@@ -16,6 +16,7 @@ ORACLE: dict[str, str] = {}
 
 # Vocabulary files, on every machine at the same place.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 # Path rules of the URL query: action, host, path.
@@ -98,3 +99,41 @@ def op9_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_html_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(load(spark, d, "pages"), keep=["page_id", "url"])
+
+
+_SOUND = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+ORACLE["op11_hard_negatives"] = f"""
+    with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+               from embeddings where label is not null and {_SOUND}),
+    s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+    p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where same) where k <= 5),
+    n as (select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as rank, s.vec_id as negative_id,
+                 p.score as positive_score, s.score as negative_score
+          from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+    select * from n where rank <= 10"""
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op12_embedding_near_dedup"] = f"""
+    with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+                         where label is not null and {_SOUND} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links as materialized (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach(x, y) as (select vec_id, vec_id from embeddings union select reach.x, links.y from reach join links on links.x = reach.y),
+    named as (select x, min(y) as component_id from reach group by x)
+    select vec_id, (select count(*) from links where x = vec_id) as n_links, component_id, vec_id = component_id as kept from embeddings join named on x = vec_id"""
+
+
+@query
+def op12_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(load(spark, d, "embeddings"))
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.alignments(load(spark, d, "documents"), BYTE_BPE, PIECES)
