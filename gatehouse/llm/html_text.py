@@ -4,14 +4,16 @@ Every text node has a path of tags from the root.  Per path, text length and pun
 nodes: the text ratio and the punctuation ratio.  Paths of running text score high on both, paths of menus and links
 score low.  Both are fused into one value per path, every node takes the value of its path, the series of nodes in page order is smoothed,
 and nodes over a threshold are content.  The element that holds nearly all content text is the article, without parts that its
-markup names as something else (menus, forms, comments, adverts and so on).  Inside it, blocks on paths of low value go as well, such
-as lists of links; headings, and paragraphs, list items and cells that are not mostly links, are kept however short.
+markup names as something else (menus, forms, comments, adverts and so on), by a whole name: one listed word among others does not count.
+Inside it, blocks on paths of low value go as well, such as lists of links.  Headings (those in the header of the article too), paragraphs, text right in the
+article, and items and cells that are not mostly links or that carry the punctuation of references, are kept however short.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ BLOCK = {
 ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "select", "article", "section", "main", "body", "html"}
+LISTED = SCOPE.union(*SIBLINGS.values())
 # Elements whose text is never part of an article.
 NEVER = {
     "head", "script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "canvas",
@@ -42,6 +45,13 @@ NAMES = {
     "disqus", "notice", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "alert", "newsletter", "subscribe", "signup", "login", "search", "share",
     "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "toolbar", "form",
 }
+# Words of a name that say nothing of what it holds: "site-footer" is a footer, but "share-price" is no share bar.
+LAYOUT = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "global", "group", "icon", "icons", "inner", "item", "items", "left", "link", "links",
+    "list", "main", "outer", "page", "panel", "right", "row", "section", "site", "slot", "thread", "top", "unit", "wrap", "wrapper",
+}
+# Inside an article these name its own head: the headline and what stands with it.
+TITLES = {"header", "masthead"}
 # Names that hold articles of their own, one a comment; and elements whose mark is as weak as a name.
 COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "disqus"}
 WEAK = {"form"}
@@ -53,6 +63,11 @@ LOW = 0.1
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Blocks of low value that stay unless half of their text or more is links.
 RESCUED = {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th", "caption", "figcaption"}
+# Text right in one of these, and paragraphs even if they are links.
+DIRECT = {"article", "main", "section"}
+PARAGRAPHS = {"p", "pre", "blockquote"}
+# Marks of punctuation for each text node of a path from which on linked items are references, not a menu.
+CITED = 0.5
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?、。，]")
@@ -60,11 +75,16 @@ _KERNEL = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 
 
 class _Nodes(HTMLParser):
-    """Text nodes in page order: text, path, block number, whether inside a part that is not content, chain of elements."""
+    """Text nodes in page order: text, path, block number, whether inside a part that is not content, chain of elements.
+
+    The stack of open elements is never searched: every entry knows the nearest entries that can end a search, so the time is linear in
+    the page whatever its tags.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element number, not content
+        self.stack: list[_Open] = [_Open("", 0, False, 0, 0, 0)]
+        self.places: dict[str, list[int]] = {}  # of each tag, where it stands open in the stack
         self.parent: list[int] = [0]
         self.tags: list[str] = [""]
         # Paths are numbered as (number of the parent path, tag), whatever their depth.
@@ -77,63 +97,96 @@ class _Nodes(HTMLParser):
         self.named: dict[int, set[str]] = {}  # elements that a name or <form> marks as not content, unless they hold the article
 
     def _close(self, upto: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.stack[upto:]):
+        if any(x.tag in BLOCK for x in self.stack[upto:]):
             self.block += 1
-        del self.stack[upto:]
+        while len(self.stack) > upto:
+            self.places[self.stack.pop().tag].pop()
+
+    def _inside_article(self) -> bool:
+        return bool(self.places.get("article") or self.places.get("main"))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ENDS_P:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k][0] == "p":
-                    self._close(k)
-                    break
-                if self.stack[k][0] in BLOCK:
-                    break
+        if tag in ENDS_P and self.stack[self.stack[-1].block].tag == "p":
+            self._close(self.stack[-1].block)
         if tag in SIBLINGS:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k][0] in SIBLINGS[tag]:
-                    self._close(k)
-                    break
-                if self.stack[k][0] in SCOPE:
-                    break
+            # The entries on the way are of unlike kinds: few between two that end the search.
+            k = self.stack[-1].listed
+            while k and self.stack[k].tag not in SIBLINGS[tag] and self.stack[k].tag not in SCOPE:
+                k = self.stack[k - 1].listed
+            if k and self.stack[k].tag in SIBLINGS[tag]:
+                self._close(k)
+        top = self.stack[-1]
         if tag == "br":
-            self.nodes.append((" ", self.stack[-1][1], self.block, self.stack[-1][2]))
+            self.nodes.append((" ", top.element, self.block, top.out))
         if tag in BLOCK:
             self.block += 1
         if tag in VOID:
             return
         self.count += 1
-        top = self.stack[-1]
-        self.parent.append(top[1])
+        self.parent.append(top.element)
         self.tags.append(tag)
-        path = self.paths[top[1]]
+        path = self.paths[top.element]
         if self.last[path] != tag or tag not in ("b", "i", "em", "span", "font"):
             path = self.numbers.setdefault((path, tag), len(self.numbers) + 1)
             if path == len(self.last):
                 self.last.append(tag)
         self.paths.append(path)
-        marks = _marks(tag, attrs)
+        inside = self._inside_article()
+        marks = _marks(tag, attrs) - (TITLES if inside else set())
         if marks:
             self.named[self.count] = marks
-        self.stack.append((tag, self.count, top[2] or tag in NEVER - WEAK or _hidden(tag, attrs)))
+        never = tag in NEVER - WEAK and not (inside and tag in TITLES)
+        at = len(self.stack)
+        self.stack.append(_Open(tag, self.count, top.out or never or _hidden(tag, attrs), at if tag in BLOCK else top.block, at if tag in BLOCK and tag != "p" else top.wall, at if tag in LISTED else top.listed))
+        self.places.setdefault(tag, []).append(at)
+
+    def feed(self, data: str) -> None:
+        """A page at once.  What begins a tag or a comment that is never closed ends it, as browsers do."""
+        self.whole, self.tag_end, self.comment_end = len(data), data.rfind(">"), data.rfind("-->")
+        super().feed(data)
+
+    def _unclosed(self, i: int, last: int) -> bool:
+        return self.whole - len(self.rawdata) + i > last
+
+    def parse_starttag(self, i: int) -> int:
+        return len(self.rawdata) if self._unclosed(i, self.tag_end) else super().parse_starttag(i)
+
+    def parse_endtag(self, i: int) -> int:
+        return len(self.rawdata) if self._unclosed(i, self.tag_end) else super().parse_endtag(i)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return len(self.rawdata) if self._unclosed(i, self.comment_end) else super().parse_comment(i, report)
+
+    def parse_pi(self, i: int) -> int:
+        return len(self.rawdata) if self._unclosed(i, self.tag_end) else super().parse_pi(i)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return len(self.rawdata) if self._unclosed(i, self.tag_end) else super().parse_html_declaration(i)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # the slash has no meaning for elements that are not void
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(t == "p" for t, _, _ in self.stack):
-            self.block += 1
-            return
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k][0] == tag:
-                self._close(k)
-                return
-            if tag not in BLOCK and self.stack[k][0] in BLOCK and self.stack[k][0] != "p":
-                return  # a stray inline end tag does not close blocks
+        open_ = self.places.get(tag)
+        if not open_:
+            self.block += tag == "p"
+        elif tag in BLOCK or self.stack[-1].wall <= open_[-1]:  # a stray inline end tag does not close blocks
+            self._close(open_[-1])
 
     def handle_data(self, data: str) -> None:
-        _, element, out = self.stack[-1]
-        self.nodes.append((data, element, self.block, out))
+        self.nodes.append((data, self.stack[-1].element, self.block, self.stack[-1].out))
+
+
+class _Open(NamedTuple):
+    """An open element: tag, number, whether it is not content; and where in the stack the nearest entry is, itself included, that is a block, a block other
+    than a paragraph, or an entry that ends the search for an open sibling."""
+
+    tag: str
+    element: int
+    out: bool
+    block: int
+    wall: int
+    listed: int
 
 
 def _hidden(tag: str, attrs: list) -> bool:
@@ -148,13 +201,15 @@ def _hidden(tag: str, attrs: list) -> bool:
 
 
 def _marks(tag: str, attrs: list) -> set[str]:
-    """Listed words that mark the element as not content."""
+    """Listed words that mark the element as not content: those of a name that has no other words but words of layout."""
     if tag in ("html", "body", "main"):
         return set()
     marks = {tag} if tag in WEAK else set()
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            marks |= {w.lower() for w in _WORDS.findall(value)} & NAMES
+            for one in value.split():
+                words = {w.lower() for w in _WORDS.findall(one)}
+                marks |= words & NAMES if words <= NAMES | LAYOUT else set()
     return marks
 
 
@@ -169,7 +224,7 @@ def _foreign(page: _Nodes) -> list[bool]:
     if not named:
         return [False] * (count + 1)
     nodes = [n for n in page.nodes if not n[3]]
-    chosen, _ = _content(nodes, page.paths)
+    chosen, _, _ = _content(nodes, page.paths)
 
     def below() -> list[bool]:
         out = [False] * (count + 1)
@@ -206,26 +261,27 @@ def _foreign(page: _Nodes) -> list[bool]:
     return below() if excused else out
 
 
-def _content(nodes: list, paths: list) -> tuple[np.ndarray, np.ndarray]:
-    """Which text nodes are content: fused path ratios, smoothed over the page, against their threshold.  And the ratios, as a share
-    of their mean over the text."""
+def _content(nodes: list, paths: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text nodes are content: fused path ratios, smoothed over the page, against their threshold.  The ratios, as a share
+    of their mean over the text.  And the punctuation ratio alone."""
     lengths = np.array([len(t.strip()) for t, _, _, _ in nodes], float)
     marks = np.array([len(_PUNCT.findall(t)) for t, _, _, _ in nodes], float)
     names: dict[int, int] = {}
     path = np.array([names.setdefault(paths[e], len(names)) for _, e, _, _ in nodes])
     seen = lengths > 0
     n = np.maximum(np.bincount(path, weights=seen), 1)
-    fused = (np.bincount(path, weights=lengths) / n) * (1 + np.bincount(path, weights=marks) / n)
+    dots = np.bincount(path, weights=marks) / n
+    fused = (np.bincount(path, weights=lengths) / n) * (1 + dots)
     series = np.where(seen, fused[path], 0.0)
     # The smoothed value only compares nodes with text.
     at = np.flatnonzero(seen)
     if not len(at):
-        return seen, series
+        return seen, series, dots[path]
     padded = np.pad(series[at], 2, mode="edge")
     smooth = np.convolve(padded, _KERNEL / _KERNEL.sum(), mode="valid")
     out = np.zeros(len(nodes), bool)
     out[at] = smooth >= 0.5 * smooth.mean()
-    return out, series / (series @ lengths / lengths.sum())
+    return out, series / (series @ lengths / lengths.sum()), dots[path]
 
 
 def main_text(html: str | None) -> str:
@@ -239,7 +295,7 @@ def main_text(html: str | None) -> str:
     nodes = [n for n in page.nodes if not n[3] and not foreign[n[1]]]
     if not any(t.strip() for t, _, _, _ in nodes):
         return ""
-    chosen, value = _content(nodes, page.paths)
+    chosen, value, dots = _content(nodes, page.paths)
     # Content text under each element; from the root down, the child that holds nearly all of it.
     mass = [0.0] * (page.count + 1)
     for (text, element, _, _), content in zip(nodes, chosen):
@@ -273,21 +329,22 @@ def main_text(html: str | None) -> str:
         tag, up = page.tags[e], page.parent[e]
         linked[e] = linked[up] or tag == "a"
         # The nearest element that decides: a container inside an item or a cell takes its place.
-        holder[e] = tag if tag in HEADINGS or tag in RESCUED else holder[up] if tag not in BLOCK or holder[up] in RESCUED else ""
+        own = tag in HEADINGS or tag in RESCUED or tag in DIRECT
+        holder[e] = tag if own else holder[up] if tag not in BLOCK or holder[up] in RESCUED else ""
     blocks: dict[int, list[str]] = {}
-    sums: dict[int, np.ndarray] = {}  # text, its value, text in links
+    sums: dict[int, np.ndarray] = {}  # text, its value, its punctuation ratio, text in links
     kept: dict[int, bool] = {}
     headed: set[int] = set()
-    for (text, element, block, _), content, v in zip(nodes, chosen, value):
+    for (text, element, block, _), content, v, dot in zip(nodes, chosen, value, dots):
         if inside[element]:
             blocks.setdefault(block, []).append(text)
             n = len(text.strip())
-            sums[block] = sums.get(block, 0) + np.array([n, n * v, n * linked[element]])
-            if n and holder[element] in HEADINGS:
+            sums[block] = sums.get(block, 0) + np.array([n, n * v, n * dot, n * linked[element]])
+            if n and (holder[element] in HEADINGS or holder[element] in PARAGRAPHS and not whole):
                 headed.add(block)
-            kept[block] = kept.get(block, False) or (bool(content) if whole else n > 0 and holder[element] in RESCUED)
-    for block, (n, v, links) in sums.items():
-        kept[block] = block in headed or (kept[block] if whole else v >= LOW * n or kept[block] and 2 * links < n)
+            kept[block] = kept.get(block, False) or (bool(content) if whole else n > 0 and (holder[element] in RESCUED or holder[element] in DIRECT))
+    for block, (n, v, dot, links) in sums.items():
+        kept[block] = block in headed or (kept[block] if whole else v >= LOW * n or kept[block] and (2 * links < n or dot >= CITED * n))
     lines = [_SPACE.sub(" ", "".join(parts)).strip() for block, parts in blocks.items() if kept[block]]
     return "\n".join(x for x in lines if x)
 
