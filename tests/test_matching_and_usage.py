@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gatehouse.functions.names import jaro_winkler_batch
+from gatehouse.functions.names import jaro_winkler_batch, signature
 from gatehouse.operators import ledger, legal, market, rx, screening, usage
 from gatehouse.sources import reference
 
@@ -77,6 +77,35 @@ def test_fuzzy_bounds_lose_nothing(spark, broadcast_limit):
     assert got == pytest.approx(want)
 
 
+def test_index_of_rare_characters(spark):
+    """Of 20,000 names few pairs meet, against those of like length; none that scores is lost; each pair comes once."""
+    random.seed(4)
+    syllables = [a + b for a in "B C D F G K L M N P R S T V".split() for b in ("A", "E", "I", "O", "UR", "AN", "EL")]
+    pick = lambda: " ".join(sorted("".join(random.choice(syllables) for _ in range(random.randint(2, 4))) for _ in range(random.randint(1, 3))))
+    asked, listed = [pick() for _ in range(19_000)], [pick() for _ in range(1_000)]
+    listed[:20] = [n[:3] + n[4:] for n in asked[:20]]
+    listed[20:40] = [n[1:2] + n[:1] + n[2:] for n in asked[20:40]]
+    side = lambda names, s: spark.createDataFrame([(n,) for n in set(names)], f"{s}_key string").select(f"{s}_key", F.length(f"{s}_key").alias(f"{s}_len"), signature(F.col(f"{s}_key")).alias(f"{s}_sig"))
+    q, right = side(asked, "q"), side(listed, "l")
+    met = screening.candidates(q, right, 0.85).select("q_key", "l_key").collect()
+    pairs = {tuple(r) for r in met}
+    assert len(pairs) == len(met)
+    lengths = q.join(right, (F.col("q_len") * 0.25 <= F.col("l_len")) & (F.col("l_len") * 0.25 <= F.col("q_len"))).count()
+    assert len(pairs) * 20 < lengths
+    full = [(a, b) for a in list(set(asked))[:400] + asked[:40] for b in set(listed)]
+    scores = jaro_winkler_batch(pd.Series([a for a, _ in full]), pd.Series([b for _, b in full]))
+    near = {p for p, s in zip(full, scores) if s >= 0.85}
+    assert len(near) > 40 and near <= pairs
+
+
+def test_very_long_names(spark):
+    names = ["A" * 60 + "B" * 40, "AB" * 3000, "X" * 20_000, "Q", "Q R", "", "..."]
+    asked = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "name_id int, name string")
+    records = spark.createDataFrame([(str(i), n + "C", [n], None, "entity", "L") for i, n in enumerate(names)], "record_id string, name string, aliases array<string>, program string, entity_type string, list string")
+    got = {(r["name_id"], r["record_id"]): r["match_type"] for r in screening.screen_matches(asked, records).collect()}
+    assert {k: v for k, v in got.items() if k[0] == int(k[1])} == {(i, str(i)): "alias" for i in range(5)}
+
+
 def test_prescriptions(spark):
     p = [(1, 0, "Warfarin", 5.0, "mg", 1.0), (1, 1, "advil", 400.0, "mg", 2.0), (2, 0, "acetaminophen", 1000.0, "mg", 6.0), (3, 0, "prozac", 20.0, "mg", 1.0), (3, 1, "Nardil", 15.0, "g", 1.0),
          (4, 0, "foo", 1.0, "xx", 1.0), (5, 0, "acetaminophen", 1000.0, None, 9.0), (6, 0, "ibuprofen", 400.0, "mg", 4.0), (7, 0, "aspirin", 1.0, "blob", 1.0), (8, 0, "aspirin", 1.0, "mcg", 1.0)]
