@@ -68,30 +68,36 @@ def citation_verdicts(citations: DataFrame, quotes: DataFrame) -> DataFrame:
         "subject_id", F.when(F.col("r") == 2, "BLOCK").when(F.col("r") == 1, "FLAG").otherwise("PASS").alias("verdict"))
 
 
-SHINGLE = 5
+# Characters of a gram; shorter quotes are grams themselves.
+GRAM = 8
+
+
+def _grams(line: Column, sizes: list[int]) -> Column:
+    """Hashes of all distinct grams of these sizes, by one regular expression each: linear in the text."""
+    parts = [F.transform(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.xxhash64(g)) for n in sizes]
+    return F.array_distinct(F.concat(*parts))
 
 
 def quote_search(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """``quote_id, source_id`` for every source whose text holds the quote, wherever it is.
+    """``quote_id, source_id`` for every source whose text holds the quote, wherever it begins and ends, parts of words included.
 
-    The first and last word of a quote may be parts of words, those between are whole: a quote is looked up by five of them in a
-    row, or by the longest if there are fewer, and only sources that share those are read for it.  A quote of one or two words has none
-    between and must stand as whole words.  Empty quotes are nowhere.
+    Texts are compared in lower case with single blanks.  A quote is looked up by the rarest of its grams of characters, by the number of sources that hold
+    them, and only sources with that gram are read for it.  Grams that no quote asks for are dropped first.  Empty and null quotes are nowhere; of
+    repeated rows one counts.
     """
-    words = lambda c: F.filter(F.split(_flat(F.col(c)), " "), lambda w: w != "")
-    asked = quotes.select("quote_id", words("quote").alias("w")).where("size(w) > 0")
-    short = F.size("w") <= 2
-    inner = asked.withColumn("sure", F.when(short, F.col("w")).otherwise(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))))
-    longest = F.array_max(F.transform("sure", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    gram = F.when(F.size("sure") >= SHINGLE, F.array_join(F.slice("sure", 1, SHINGLE), " ")).otherwise(longest)
-    line = F.array_join("w", " ")
-    asked = inner.select("quote_id", gram.alias("gram"), F.when(short, F.concat(F.lit(" "), line, F.lit(" "))).otherwise(line).alias("quote"))
-    held = sources.select("source_id", words("source_text").alias("w"))
-    runs = F.transform("w", lambda w, i: F.when(i <= F.size("w") - SHINGLE, F.array_join(F.slice(F.col("w"), i + 1, SHINGLE), " ")))
-    grams = explode_rows(held, ["source_id"], F.array_distinct(F.concat("w", runs)), "gram")
-    candidates = grams.join(asked.select("quote_id", "gram"), "gram").select("quote_id", "source_id").distinct()
-    texts = sources.select("source_id", F.concat(F.lit(" "), F.array_join(words("source_text"), " "), F.lit(" ")).alias("line"))
-    return candidates.join(asked.select("quote_id", "quote"), "quote_id").join(texts, "source_id").where(F.contains("line", "quote")).select("quote_id", "source_id")
+    asked = quotes.select("quote_id", _flat(F.col("quote")).alias("quote")).where("quote <> ''")
+    # To the driver: which of the sizes up to GRAM occur.
+    sizes = [r[0] for r in asked.select(F.least(F.length("quote"), F.lit(GRAM)).alias("n")).distinct().collect()]
+    if not sizes:
+        return quotes.select("quote_id").join(sources.select("source_id"), F.lit(False))
+    own = F.when(F.length("quote") <= GRAM, F.array(F.xxhash64("quote"))).otherwise(_grams(F.col("quote"), [GRAM]))
+    parts = explode_rows(asked, ["quote_id", "quote"], own, "gram")
+    lines = sources.select("source_id", _flat(F.col("source_text")).alias("line"))
+    held = explode_rows(lines, ["source_id"], _grams(F.col("line"), sorted(sizes)), "gram").join(parts.select("gram").distinct(), "gram", "left_semi")
+    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(common, "gram", "left").groupBy("quote_id", "quote").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    candidates = rarest.join(held, "gram").select("quote_id", "quote", "source_id").distinct()
+    return candidates.join(lines, "source_id").where(F.contains("line", "quote")).select("quote_id", "source_id").distinct()
 
 
 def court_calendar(spark: SparkSession, first_year: int = COURT_YEARS[0], last_year: int = COURT_YEARS[1]) -> DataFrame:

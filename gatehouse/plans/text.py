@@ -429,8 +429,8 @@ def _(spark, d):
 
 
 @query("quote_search", f"""with {ctes('quotes', 'sources')}, q as (select quote_id, trim(regexp_replace(lower(quote), '[\\s\\x{{a0}}]+', ' ', 'g')) as q from quotes),
-    s as (select source_id, ' ' || trim(regexp_replace(lower(source_text), '[\\s\\x{{a0}}]+', ' ', 'g')) || ' ' as s from sources)
-    select quote_id, source_id from q, s where q <> '' and contains(s, case when len(string_split(q, ' ')) <= 2 then ' ' || q || ' ' else q end)""")
+    s as (select source_id, trim(regexp_replace(lower(source_text), '[\\s\\x{{a0}}]+', ' ', 'g')) as s from sources)
+    select quote_id, source_id from q, s where q <> '' and contains(s, q)""")
 def _(spark, d):
     return legal.quote_search(load(spark, d, "quotes"), load(spark, d, "sources"))
 

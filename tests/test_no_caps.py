@@ -89,6 +89,32 @@ def test_pipeline_flags_go_on(spark):
 
 
 def test_quotes_are_found_anywhere(spark):
-    quotes = spark.createDataFrame([(1, "Ne two  three fo"), (2, "wo three four five six sev"), (3, "three"), (4, "hree"), (5, ""), (6, "four two"), (7, None), (8, "absent words here")], "quote_id int, quote string")
-    sources = spark.createDataFrame([(1, "one two three four five six seven"), (2, "ONE\ntwo three"), (3, None), (4, "")], "source_id int, source_text string")
-    assert sorted(map(tuple, legal.quote_search(quotes, sources).collect())) == [(1, 1), (2, 1), (3, 1), (3, 2)]
+    quotes = spark.createDataFrame([(1, "Ne two  three fo"), (2, "wo three four five six sev"), (3, "three"), (4, "hree"), (5, ""), (6, "four two"), (7, None), (8, "absent words here"),
+                                    (9, "the court"), (10, "court"), (11, "he ruled"), (12, "t"), (13, "  "), (14, "court."), (3, "three"), (15, "🙂 oü")], "quote_id int, quote string")
+    sources = spark.createDataFrame([(1, "one two three four five six seven"), (2, "ONE\ntwo three"), (3, None), (4, ""), (5, "As he ruled, it went before the court."), (6, "x 🙂 Oüy")], "source_id int, source_text string")
+    got = sorted(map(tuple, legal.quote_search(quotes, sources).collect()))
+    assert got == [(1, 1), (2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (9, 5), (10, 5), (11, 5), (12, 1), (12, 2), (12, 5), (14, 5), (15, 6)]
+    assert legal.quote_search(quotes.where("quote_id in (5, 7, 13)"), sources).collect() == [] and legal.quote_search(quotes, sources.where("false")).collect() == []
+
+
+def test_common_quotes_are_read_where_their_rarest_gram_is(spark):
+    """Quotes and sources that share much, against plain inclusion."""
+    import random
+
+    random.seed(5)
+    line = lambda n: "".join(random.choice("ab ") for _ in range(n))
+    texts = [(i, line(400) + "the same end of every text") for i in range(60)]
+    asked = [(i, random.choice(texts)[1][k:k + n]) for i, (k, n) in enumerate((random.randrange(400), random.randrange(1, 20)) for _ in range(80))] + [(100, "the same end of every"), (101, "a" * 30)]
+    flat = lambda t: " ".join(t.split())
+    want = sorted((q, s) for q, x in asked for s, t in texts if flat(x) and flat(x) in flat(t))
+    got = legal.quote_search(spark.createDataFrame(asked, "quote_id int, quote string"), spark.createDataFrame(texts, "source_id int, source_text string"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_grams_of_a_long_text_take_linear_time(spark):
+    import time
+
+    sources = spark.range(1).select(F.col("id").alias("source_id"), F.concat(F.repeat(F.lit("lorem ipsum dolor "), 60_000), F.lit("the very end")).alias("source_text"))
+    start = time.time()
+    assert legal.quote_search(spark.createDataFrame([(1, "r the very e")], "quote_id int, quote string"), sources).count() == 1
+    assert time.time() - start < 60
