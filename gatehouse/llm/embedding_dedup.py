@@ -27,7 +27,7 @@ from gatehouse.llm.storage import stored
 LINK = 0.98
 # Expected share of the pairs at exactly the least cosine that meet in a table; closer pairs meet more often.
 RECALL = 0.9999
-# Classes that a bucket of a table holds on average: the number of bits follows.
+# Rows of the largest label that a bucket of a table holds on average: the number of bits follows.
 BUCKET = 64
 LEAST_BITS = 6
 # Classes that a part of a bucket holds; beyond, the bucket is cut into parts.
@@ -175,8 +175,9 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     # 96 bits of hash name a class.
     name = [F.when(sound, F.xxhash64(of, v)).alias("hash"), F.when(sound, F.hash(v, of)).alias("check")]
     rows = vectors.select(F.col(quoted(key)).cast("long").alias("id"), of.alias("label"), v.alias("vector"), *name)
-    bits = bits or bits_for(vectors.count())
     valid = rows.where(F.col("hash").isNotNull())
+    # Buckets are those of one label: its size decides.  To the driver: one number.
+    bits = bits or bits_for(valid.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
     groups = valid.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"), F.first("hash").alias("hash"), F.first("check").alias("check"))
     made = groups.select(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0).cast("long")).alias("id"), "hash", "check", "size", "label", "vector")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields)
