@@ -37,6 +37,12 @@ INPUTS = {
                user_id % 13 <> 0 as has_meta, user_id % 17 <> 0 as wallet_in_tx,
                cast(floor((value - 10) * 20000) as bigint) as lamports
         from {events}""",
+    # The block of each payment at the start of the day of its attempts.
+    "payment_redemptions": """
+        select concat('sig', cast(cast(ts as date) as string), '-', cast(event_id % 20 as string)) as signature, event_id as attempt_id, cast(ts as timestamp) as attempted_at,
+               case when user_id % 11 = 0 then null when user_id % 7 = 0 then cast(timestamp '2020-01-01 00:00:00' as timestamp) else cast(cast(ts as date) as timestamp) end as block_time,
+               user_id % 13 <> 0 as has_meta, user_id % 17 <> 0 as wallet_in_tx, cast(floor((value - 10) * 20000) as bigint) as lamports
+        from {events}""",
     "ledger_events": """
         select concat('k', cast(case when user_id % 3 = 0 then 0 else user_id end as string)) as key, cast(ts as timestamp) as ts, event_id as id,
                case when event_type = 'purchase' then 'add' when event_type = 'signup' then 'adjust' else 'call' end as kind,

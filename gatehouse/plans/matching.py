@@ -84,15 +84,16 @@ def _(spark, d):
     return screening.screen_names(load(spark, d, "queried"), _records(spark, d), entity_types=["individual"], fuzzy=False).drop("best_score")
 
 
-@query("stream_screen", f"with {_NAMES} select name_id, record_id, case pos when 0 then 'exact' else 'alias' end as match_type from ex")
+@query("stream_screen", f"""with {_NAMES}, {_FUZZY} select name_id, record_id, case pos when 0 then 'exact' else 'alias' end as match_type, 1.0 as score from ex
+    union all select name_id, record_id, 'fuzzy', round(s, 4) from fz""")
 def _(spark, d):
     """The batch screening run per micro-batch over a stream of customers."""
     from gatehouse.plans.inputs import INPUTS
     path = os.path.join(d, "custome[r].parquet")
     feed = feeds.stream_request_feed(spark, path, table(spark, d, "customer").schema)
     folder = feeds.work_folder(spark, "screen")
-    feeds.stream_screen(spark.sql(INPUTS["queried"], customer=feed), _records(spark, d), folder + "/out", folder + "/mark", fuzzy=False).awaitTermination()
-    return spark.read.parquet(folder + "/out").select("name_id", "record_id", "match_type")
+    feeds.stream_screen(spark.sql(INPUTS["queried"], customer=feed), _records(spark, d), folder + "/out", folder + "/mark").awaitTermination()
+    return spark.read.parquet(folder + "/out").select("name_id", "record_id", "match_type", "score")
 
 
 # Prescriptions ---------------------------------------------------------------------------------------

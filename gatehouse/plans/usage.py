@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import functions as F
@@ -34,13 +35,16 @@ def _log(spark, d):
     return load(spark, d, "request_log")
 
 
-@query("load_tables", """select 'documents' as name, count(*) as n, sum(n_chars) as total from documents union all select 'events', count(*), sum(user_id) from events
-    union all select 'pages', count(*), sum(page_id) from pages union all select 'conversations', count(*), sum(turn) from conversations""")
+# Every table, with a column to sum.
+_TABLE_SUMS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "user_id",
+               "documents": "n_chars", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "turn"}
+
+
+@query("load_tables", " union all ".join(f"select '{t}' as name, count(*) as n, sum({c}) as total from {t}" for t, c in _TABLE_SUMS.items()))
 def _(spark, d):
     from gatehouse.sources.tables import load as read
-    parts = [("documents", "n_chars"), ("events", "user_id"), ("pages", "page_id"), ("conversations", "turn")]
-    out = [read(spark, d, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(c).alias("total")) for t, c in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    parts = [read(spark, d, t).agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(c).cast("long").alias("total")) for t, c in _TABLE_SUMS.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("request_log_roundtrip", f"{_LOG} select strftime(ts, '%Y-%m-%d') as day, count(*) as n, sum(status) as s from request_log where ts >= timestamp '{AS_OF}' group by 1")
@@ -186,11 +190,11 @@ def _(spark, d):
 
 
 @query("union_snapshots", """select 'S-' || s_suppkey as record_id, s_name as name, 'S' as list, 0 as part from supplier
-    union all select 'C-' || c_custkey, c_name, 'C', 1 from customer where c_acctbal < 0""")
+    union all select 'C-' || c_custkey, c_name, 'C', 1 from customer""")
 def _(spark, d):
     """Two lists as one; ``part`` keeps their order."""
     row = lambda t, p, key, name: table(spark, d, t).select("*", F.concat(F.lit(f"{p}-"), key).alias("record_id"), F.col(name).alias("name"), F.lit(p).alias("list"))
-    parts = [row("supplier", "S", "s_suppkey", "s_name"), row("customer", "C", "c_custkey", "c_name").where("c_acctbal < 0")]
+    parts = [row("supplier", "S", "s_suppkey", "s_name"), row("customer", "C", "c_custkey", "c_name")]
     return snapshots.union_snapshots([p.select("record_id", "name", "list") for p in parts])
 
 
@@ -208,19 +212,24 @@ def _stream_input(spark, d, name):
     return spark.sql(INPUTS[name].replace("ARR(", "array("), events=_feed(spark, d))
 
 
-CHUNKS = 3
+CHUNK_DAYS = 5
+# Longer than a row of a feed can be late: its own chunk and the next.
+LATENESS = f"{2 * CHUNK_DAYS + 1} days"
 
 
-def _chunked_input(spark, d, name):
-    """As :func:`_stream_input`, with the events arriving over several triggers, in the order of their days."""
+def _chunked_input(spark, d, name, late=False):
+    """As :func:`_stream_input`, with the events arriving over several triggers, in the order of their chunks of days; with ``late``, every
+    seventh event one chunk later than it should."""
     from gatehouse.plans.inputs import INPUTS
     from gatehouse.session import ensure_utc
     ensure_utc(spark)
     events, path = table(spark, d, "events"), os.path.join(feeds.work_folder(spark, "chunks"), "events")
-    part = F.least(F.floor((F.dayofmonth("ts") - 1) * CHUNKS / 31), F.lit(CHUNKS - 1)) + CHUNKS * (F.month("ts") - 1)
+    files = spark.sparkContext.defaultParallelism
+    part = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / (86400 * CHUNK_DAYS)) + (F.col("event_id") % 7 == 0).cast("int") * int(late)
+    # Chunks of the time span of the table; files of a chunk are read in one trigger.
     for k in sorted(r[0] for r in events.select(part.alias("p")).distinct().collect()):
-        events.where(part == k).coalesce(1).write.mode("append").parquet(path)
-    feed = feeds.stream_request_feed(spark, path, events.schema, files_per_trigger=1)
+        events.where(part == k).repartition(files).write.mode("append").parquet(path)
+    feed = feeds.stream_request_feed(spark, path, events.schema, files_per_trigger=files)
     return spark.sql(INPUTS[name].replace("ARR(", "array("), events=feed)
 
 
@@ -229,13 +238,12 @@ def _(spark, d):
     return feeds.run_to_table(_stream_input(spark, d, "request_log").select("id", "path", "status", "verdict"), "feed")
 
 
-@query("stream_calls_per_hour", f"""{_LOG}, h as (select date_trunc('hour', ts) as hour, count(*) as calls, count(*) filter (verdict = 'PASS') as passed, count(*) filter (verdict = 'FLAG') as flagged,
-    count(*) filter (verdict = 'BLOCK') as blocked from request_log group by 1) select strftime(hour, '%Y-%m-%d %H:00') as hour, calls, passed, flagged, blocked from h
-    where hour + interval 1 hour <= (select max(ts) from request_log) - interval 2 hours""")
+@query("stream_calls_per_hour", f"""{_LOG} select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') as hour, count(*) as calls, count(*) filter (verdict = 'PASS') as passed, count(*) filter (verdict = 'FLAG') as flagged,
+    count(*) filter (verdict = 'BLOCK') as blocked, 0 as late from request_log group by 1""")
 def _(spark, d):
-    """Hours that the final watermark has passed."""
-    out = feeds.run_to_table(feeds.stream_calls_per_hour(_chunked_input(spark, d, "request_log"), "2 hours"), "hours")
-    return out.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:00"))
+    """All hours; ``late`` counts the rows of the run that came after their hour was closed."""
+    out, late = feeds.hourly_table(_chunked_input(spark, d, "request_log", late=True), LATENESS)
+    return out.drop("open").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:00")).withColumn("late", F.lit(late))
 
 
 @query("stream_redact", PII_REDACT)
@@ -251,16 +259,17 @@ def _(spark, d):
     before = spark.conf.get(setting)
     spark.conf.set(setting, feeds.ROCKSDB)
     try:
-        updates = feeds.run_to_table(feeds.stream_ledger(_chunked_input(spark, d, "ledger_events")), "ledger", "update")
+        updates = feeds.run_to_table(feeds.stream_ledger(_chunked_input(spark, d, "ledger_events", late=True), LATENESS), "ledger", "update")
     finally:
         spark.conf.set(setting, before)
-    return _stamp(feeds.latest_per_key(updates, "key"))
+    return _stamp(feeds.latest_per_key(updates, "key").drop("open_events"))
 
 
-@query("stream_dedupe_payments", f"with {ctes('payment_attempts')} select signature, count(*) as n from (select distinct signature from payment_attempts where block_time is not null and epoch(attempted_at) - epoch(block_time) <= 86400 and has_meta and wallet_in_tx and lamports >= 100000) group by 1")
+@query("stream_dedupe_payments", f"""with {ctes('payment_redemptions')} select signature, count(*) as n from (select distinct signature from payment_redemptions
+    where block_time is not null and epoch(attempted_at) - epoch(block_time) <= 86400 and has_meta and wallet_in_tx and lamports >= 100000) group by 1""")
 def _(spark, d):
-    txs = _chunked_input(spark, d, "payment_attempts")
-    return feeds.run_to_table(feeds.stream_dedupe_payments(txs, "60 days").select("signature"), "dedupe").groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    txs = _chunked_input(spark, d, "payment_redemptions")
+    return feeds.run_to_table(feeds.stream_dedupe_payments(txs).select("signature"), "dedupe").groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
 
 
 _HOLIDAYS = """nth as (select y, make_date(y, m, 1) + cast((dow - isodow(make_date(y, m, 1)) + 7) % 7 + 7 * (n - 1) as int) as d, name from range(2020, 2036) t(y),
