@@ -35,7 +35,7 @@ from gatehouse.llm.storage import stored
 # Irregular pairs that are sent along to every task: the most common ones.
 SENT = 1 << 16
 # Words and characters of words that a worker remembers; then it forgets all.
-REMEMBERED, CHARACTERS = 600_000, 1 << 24
+REMEMBERED, CHARACTERS = 400_000, 1 << 24
 # Words encoded at a time, and rows of a batch.
 WORDS = 4096
 ROWS = 256
