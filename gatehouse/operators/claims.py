@@ -12,6 +12,7 @@ from gatehouse.operators.imports import extract_imports, package_existence
 
 CLAIM_COLUMNS = ["subject_id", "check_type", "text", "verdict", "confidence", "evidence"]
 
+# Patterns of links and identifiers in text.
 _URL_BODY = rf"[^{SPACE_BODY}\"')\]>]"
 URL = rf"https?://{_URL_BODY}+"
 _DOI = rf"(?<![A-Za-z0-9_])(10\.[0-9]+(?:/{_URL_BODY}*)?)"

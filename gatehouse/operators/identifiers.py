@@ -14,57 +14,60 @@ from gatehouse.functions.patterns import SPACE, SPACE_BODY
 from gatehouse.operators.findings import pick
 
 # IBAN length per country.
-IBAN_LENGTHS = """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18
-FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27
-MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27
-SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"""
-IBAN_LENGTH = {w[:2]: int(w[2:]) for w in IBAN_LENGTHS.split()}
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28,
+    "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32,
+    "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 # Card number prefix range, lengths, network; first match wins.
-CARD_RANGES = """
-34-34 15 Amex
-37-37 15 Amex
-6011-6011 16,19 Discover
-622126-622925 16 Discover
-644-649 16 Discover
-65-65 16,19 Discover
-2221-2720 16 Mastercard
-51-55 16 Mastercard
-62-62 16,17,18,19 UnionPay
-4-4 13,16,19 Visa
-"""
+CARD_RANGES = [
+    ("34-34", (15,), "Amex"),
+    ("37-37", (15,), "Amex"),
+    ("6011-6011", (16, 19), "Discover"),
+    ("622126-622925", (16,), "Discover"),
+    ("644-649", (16,), "Discover"),
+    ("65-65", (16, 19), "Discover"),
+    ("2221-2720", (16,), "Mastercard"),
+    ("51-55", (16,), "Mastercard"),
+    ("62-62", (16, 17, 18, 19), "UnionPay"),
+    ("4-4", (13, 16, 19), "Visa"),
+]
 
 # EU VAT country, name, national pattern, check-digit rule.
-VAT_RULES = r"""
-AT|Austria|U\d{8}|
-BE|Belgium|0\d{9}|
-BG|Bulgaria|\d{9,10}|
-CY|Cyprus|\d{8}[A-Z]|
-CZ|Czechia|\d{8,10}|
-DE|Germany|\d{9}|de
-DK|Denmark|\d{8}|
-EE|Estonia|\d{9}|
-EL|Greece|\d{9}|
-ES|Spain|[A-Z0-9]\d{7}[A-Z0-9]|
-FI|Finland|\d{8}|
-FR|France|[A-Z0-9]{2}\d{9}|
-GR|Greece|\d{9}|
-HR|Croatia|\d{11}|
-HU|Hungary|\d{8}|
-IE|Ireland|\d{7}[A-Z]{1,2}|
-IT|Italy|\d{11}|it
-LT|Lithuania|(\d{9}!\d{12})|
-LU|Luxembourg|\d{8}|
-LV|Latvia|\d{11}|
-MT|Malta|\d{8}|
-NL|Netherlands|\d{9}B\d{2}|nl
-PL|Poland|\d{10}|
-PT|Portugal|\d{9}|
-RO|Romania|\d{2,10}|
-SE|Sweden|\d{12}|
-SI|Slovenia|\d{8}|
-SK|Slovakia|\d{10}|
-"""
+VAT_RULES = [
+    ("AT", "Austria", r"U\d{8}", None),
+    ("BE", "Belgium", r"0\d{9}", None),
+    ("BG", "Bulgaria", r"\d{9,10}", None),
+    ("CY", "Cyprus", r"\d{8}[A-Z]", None),
+    ("CZ", "Czechia", r"\d{8,10}", None),
+    ("DE", "Germany", r"\d{9}", "de"),
+    ("DK", "Denmark", r"\d{8}", None),
+    ("EE", "Estonia", r"\d{9}", None),
+    ("EL", "Greece", r"\d{9}", None),
+    ("ES", "Spain", r"[A-Z0-9]\d{7}[A-Z0-9]", None),
+    ("FI", "Finland", r"\d{8}", None),
+    ("FR", "France", r"[A-Z0-9]{2}\d{9}", None),
+    ("GR", "Greece", r"\d{9}", None),
+    ("HR", "Croatia", r"\d{11}", None),
+    ("HU", "Hungary", r"\d{8}", None),
+    ("IE", "Ireland", r"\d{7}[A-Z]{1,2}", None),
+    ("IT", "Italy", r"\d{11}", "it"),
+    ("LT", "Lithuania", r"(\d{9}|\d{12})", None),
+    ("LU", "Luxembourg", r"\d{8}", None),
+    ("LV", "Latvia", r"\d{11}", None),
+    ("MT", "Malta", r"\d{8}", None),
+    ("NL", "Netherlands", r"\d{9}B\d{2}", "nl"),
+    ("PL", "Poland", r"\d{10}", None),
+    ("PT", "Portugal", r"\d{9}", None),
+    ("RO", "Romania", r"\d{2,10}", None),
+    ("SE", "Sweden", r"\d{12}", None),
+    ("SI", "Slovenia", r"\d{8}", None),
+    ("SK", "Slovakia", r"\d{10}", None),
+]
 
 # Valid two-digit EIN prefixes.
 EIN_PREFIXES = """01 02 03 04 05 06 10 12 13 14 15 16 20 21 22 23 24 25 26 27 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46
@@ -78,26 +81,21 @@ TYPES = ["eth_address", "iban", "ein", "ssn", "aba_routing", "npi", "credit_card
 _RESULT = "struct<valid:boolean,checksum:string,normalized:string,detail:string>"
 
 
-def _vat_rules() -> list[list[str]]:
-    return [line.replace("!", "\0").split("|") for line in VAT_RULES.strip().split("\n")]
-
-
 def _vat_pattern(p: str) -> str:
-    return r"\A" + p.replace("\0", "|").replace(r"\d", "[0-9]") + r"\z"
+    return r"\A" + p.replace(r"\d", "[0-9]") + r"\z"
 
 
 def reference_tables(spark: SparkSession) -> dict[str, DataFrame]:
     from gatehouse.sources.reference import local_table
 
     cards = []
-    for i, line in enumerate(CARD_RANGES.strip().split("\n")):
-        span, lengths, network = line.split()
+    for i, (span, lengths, network) in enumerate(CARD_RANGES):
         lo, hi = span.split("-")
-        cards.append((i, lo, hi, [int(n) for n in lengths.split(",")], network))
+        cards.append((i, lo, hi, list(lengths), network))
     return {
         "iban_lengths": local_table(spark, sorted(IBAN_LENGTH.items()), "country string, length int"),
         "bins": local_table(spark, cards, "pos int, prefix_from string, prefix_to string, lengths array<int>, network string"),
-        "vat_rules": local_table(spark, [(c, n, _vat_pattern(p), k or None) for c, n, p, k in _vat_rules()],
+        "vat_rules": local_table(spark, [(c, n, _vat_pattern(p), k) for c, n, p, k in VAT_RULES],
                                            "country string, name string, pattern string, checksum string"),
         "ein_prefixes": local_table(spark, [(p,) for p in EIN_PREFIXES], "prefix string"),
     }
@@ -147,10 +145,9 @@ def _bic(norm: Column) -> Column:
 
 def card_network(pan: Column) -> Column:
     out = None
-    for line in CARD_RANGES.strip().split("\n"):
-        span, lengths, network = line.split()
+    for span, lengths, network in CARD_RANGES:
         lo, hi = span.split("-")
-        hit = F.substring(pan, 1, len(lo)).between(lo, hi) & F.length(pan).isin([int(n) for n in lengths.split(",")])
+        hit = F.substring(pan, 1, len(lo)).between(lo, hi) & F.length(pan).isin(list(lengths))
         out = F.when(hit, network) if out is None else out.when(hit, network)
     return out.otherwise("Unknown")
 
@@ -195,15 +192,14 @@ def _de_step(s: Column) -> Column:
 
 def _vat(norm: Column) -> Column:
     nat = norm.substr(F.lit(3), F.length(norm))
-    rules = _vat_rules()
-    name = pick({c: n for c, n, _, _ in rules}, F.substring(norm, 1, 2))
-    fits = pick({c: _vat_pattern(p) for c, _, p, _ in rules}, F.substring(norm, 1, 2))
+    name = pick({c: n for c, n, _, _ in VAT_RULES}, F.substring(norm, 1, 2))
+    fits = pick({c: _vat_pattern(p) for c, _, p, _ in VAT_RULES}, F.substring(norm, 1, 2))
     ok = None
-    for c, _, _, kind in rules:
+    for c, _, _, kind in VAT_RULES:
         if kind:
             cond = F.coalesce(_vat_checksum(kind, nat), F.lit(False))
             ok = F.when(F.substring(norm, 1, 2) == c, cond) if ok is None else ok.when(F.substring(norm, 1, 2) == c, cond)
-    checked = F.substring(norm, 1, 2).isin([c for c, _, _, kind in rules if kind])
+    checked = F.substring(norm, 1, 2).isin([c for c, _, _, kind in VAT_RULES if kind])
     return (
         F.when(F.length(norm) < 4, _result(False, "not_applicable", None, "Too short"))
         .when(name.isNull(), _result(False, "not_applicable", norm, "Unknown EU VAT country"))
@@ -276,7 +272,7 @@ def identifier_type(value: Column) -> Column:
     t = _trim(value)
     up = F.upper(t)
     packed = _squeeze(up)
-    vat = F.coalesce(F.regexp_like(up.substr(F.lit(3), F.length(up)), pick({c: _vat_pattern(p) for c, _, p, _ in _vat_rules()}, F.substring(up, 1, 2))), F.lit(False))
+    vat = F.coalesce(F.regexp_like(up.substr(F.lit(3), F.length(up)), pick({c: _vat_pattern(p) for c, _, p, _ in VAT_RULES}, F.substring(up, 1, 2))), F.lit(False))
     tests = {
         "eth_address": t.rlike(r"\A0x[0-9a-fA-F]{40}\z"),
         "iban": packed.rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\z") & F.substring(packed, 1, 2).isin(list(IBAN_LENGTH)),

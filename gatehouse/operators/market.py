@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gatehouse.functions.bind import let
 from gatehouse.operators.findings import verdict_name
@@ -62,14 +63,56 @@ def price_consensus(proposals: DataFrame, quotes: DataFrame, as_of: str, diverge
                     max_age: dict[str, int] | None = None) -> DataFrame:
     """``proposals``: ``proposal_id, symbol, asset_type, proposed_price``; ``quotes``: ``symbol, source, price, updated_at``
     (a NULL time means the price has no age)."""
-    joined = proposals.join(_agreed_prices(quotes, as_of), "symbol", "left").withColumn("n", F.coalesce("sources", F.lit(0)))
+    return _judge_proposals(proposals.join(_agreed_prices(quotes, as_of), "symbol", "left"), [], divergence_pct, max_age)
+
+
+def _judge_proposals(joined: DataFrame, keep: list[str], divergence_pct: float, max_age: dict[str, int] | None) -> DataFrame:
+    joined = joined.withColumn("n", F.coalesce("sources", F.lit(0)))
     off = F.when(F.col("consensus_price") == 0, F.lit(float("inf"))).otherwise(
         F.abs(F.col("proposed_price") - F.col("consensus_price")) / F.col("consensus_price") * 100)
     ready = joined.withColumn("deviation_pct", F.when(F.col("proposed_price").isNotNull(), off))
-    return _judge(ready, ["proposal_id", "symbol", F.col("n").alias("sources"), "consensus_price", "deviation_pct"],
+    return _judge(ready, ["proposal_id", "symbol", *keep, F.col("n").alias("sources"), "consensus_price", "deviation_pct"],
                   _price_risks(F.col, F.col("asset_type"), F.col("deviation_pct"), divergence_pct, max_age))
 
 
+def quotes_at(asked: DataFrame, quotes: DataFrame, bucket: str = "1 hour") -> DataFrame:
+    """As-of join: for each row of ``asked`` (``symbol, at``) and each source of its symbol the last quote not after ``at``: ``symbol, at, source, price, updated_at``.
+
+    Both sides are one table in the order of time, in which the last quote is carried forward.  Time is cut into buckets, so that a symbol with very many rows is
+    many tasks; what a bucket begins with comes from a table of one row per bucket.  Of quotes at one time the highest price counts.
+    """
+    slot = lambda t: F.unix_seconds(F.window(t, bucket)["start"])
+    keys = ["symbol", "source"]
+    last = quotes.where("updated_at is not null").groupBy(*keys, "updated_at").agg(F.max("price").alias("price")).withColumn("slot", slot(F.col("updated_at")))
+    quote = F.struct("updated_at", "price")
+    ends = last.groupBy(*keys, "slot").agg(F.max(quote).alias("quote"))
+    questions = asked.select("symbol", "at").where("at is not null").distinct().withColumn("slot", slot(F.col("at")))
+    sources = ends.select(*keys).distinct()
+    # One row for each bucket that has quotes or questions: the last quote of an earlier bucket.
+    slots = questions.select("symbol", "slot").distinct().join(sources, "symbol").select(*keys, "slot", F.lit(None).cast(ends.schema["quote"].dataType).alias("quote"))
+    order = Window.partitionBy(*keys).orderBy("slot").rangeBetween(Window.unboundedPreceding, -1)
+    begun = ends.unionByName(slots).withColumn("before", F.last("quote", ignorenulls=True).over(order)).groupBy(*keys, "slot").agg(F.max("before").alias("before"))
+    # Questions come after the quotes of their time.
+    rows = last.select(*keys, "slot", F.col("updated_at").alias("at"), F.lit(0).alias("asks"), quote.alias("quote")).unionByName(
+        questions.join(sources, "symbol").select(*keys, "slot", "at", F.lit(1).alias("asks"), F.lit(None).cast(ends.schema["quote"].dataType).alias("quote")))
+    inside = Window.partitionBy(*keys, "slot").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("seen", F.last("quote", ignorenulls=True).over(inside)).where("asks = 1")
+    found = seen.join(begun, [*keys, "slot"], "left").withColumn("q", F.coalesce("seen", "before")).where("q is not null")
+    return found.select("symbol", "at", "source", "q.price", "q.updated_at")
+
+
+def price_consensus_at(proposals: DataFrame, quotes: DataFrame, divergence_pct: float = 2.0, max_age: dict[str, int] | None = None, bucket: str = "1 hour") -> DataFrame:
+    """As :func:`price_consensus`, each proposal judged by the quotes known at its own time ``at``; without a time by those without one only."""
+    timeless = quotes.where("updated_at is null").groupBy("symbol", "source").agg(F.max("price").alias("price")).where("price is not null")
+    asked = proposals.select("symbol", "at").distinct()
+    current = quotes_at(asked, quotes, bucket).where("price is not null").select("symbol", "at", "price", F.greatest(F.lit(0), F.unix_timestamp("at") - F.unix_timestamp("updated_at")).alias("age"))
+    current = current.unionByName(asked.join(timeless, "symbol").select("symbol", "at", "price", F.lit(None).cast("long").alias("age")))
+    agreed = current.groupBy(F.col("symbol").alias("_s"), F.col("at").alias("_t")).agg(
+        F.count(F.lit(1)).alias("sources"), F.avg("price").alias("consensus_price"), F.min("price").alias("low"), F.max("price").alias("high"), F.max("age").alias("oldest_s"))
+    joined = proposals.join(agreed, (F.col("symbol") == F.col("_s")) & F.col("at").eqNullSafe(F.col("_t")), "left")
+    return _judge_proposals(joined, ["at"], divergence_pct, max_age)
+
+
 def _agreed_prices(quotes: DataFrame, as_of: str) -> DataFrame:
     """One row per symbol."""
     timeless = quotes.where("updated_at is null").groupBy("symbol", "source").agg(F.max("price").alias("price")).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,6 +110,56 @@ def classify_ips(df: DataFrame, ip_col: str) -> DataFrame:
         F.coalesce(ipv4_class(F.col("_v4")), let(F.col("_v6"), ipv6_class), F.lit("unknown")).alias("ip_class"))
 
 
+def _address(text: Column) -> Column:
+    """``struct(version, hi, lo)`` of an address, or NULL: 32 bits of an IPv4 address in ``hi``, or both halves of an IPv6 address.  An IPv4 address
+    inside IPv6 (``::ffff:a.b.c.d``) is the IPv4 address."""
+    v4 = F.when(text.rlike(r"\A[0-9]{1,3}(?:\.[0-9]{1,3}){3}\z"), ipv4_number(F.regexp_replace(text, r"(?<![0-9])0+(?=[0-9])", "")))
+    half = lambda g, i: functools.reduce(lambda a, k: F.shiftleft(a, 16).bitwiseOR(F.get(g, k)), range(i + 1, i + 4), F.get(g, i))
+    row = lambda version, hi, lo: F.struct(F.lit(version).alias("version"), hi.cast("long").alias("hi"), lo.cast("long").alias("lo"))
+    mapped = lambda g: F.forall(F.slice(g, 1, 5), lambda x: x == 0) & (F.get(g, 5) == 0xFFFF)
+    v6 = F.when(text.contains(":"), ipv6_groups(text))
+    return F.coalesce(
+        let(v4, lambda n: F.when(n.isNotNull(), row(4, n, F.lit(0)))),
+        let(v6, lambda g: F.when(g.isNotNull(), F.when(mapped(g), row(4, half(F.concat(F.array_repeat(F.lit(0).cast("long"), 2), F.slice(g, 7, 2)), 0), F.lit(0))).otherwise(row(6, half(g, 0), half(g, 4))))))
+
+
+def _masked(value: Column, width: int, bits: Column) -> Column:
+    """The first ``bits`` of a number of ``width`` bits, the rest zero."""
+    mask = F.call_function("shiftleft", F.lit(-1).cast("long"), F.lit(width) - bits)
+    return F.when(bits <= 0, F.lit(0).cast("long")).when(bits >= width, value).otherwise(value.bitwiseAND(mask))
+
+
+def _prefix(address: Column, length: Column) -> Column:
+    """What addresses of one range share: the version, the length and the masked bits."""
+    v4 = address["version"] == 4
+    return F.struct(address["version"].alias("version"), length.alias("length"), F.when(v4, _masked(address["hi"], 32, length)).otherwise(_masked(address["hi"], 64, length)).alias("hi"),
+                    F.when(v4, F.lit(0).cast("long")).otherwise(_masked(address["lo"], 64, length - 64)).alias("lo"))
+
+
+def longest_prefix(df: DataFrame, ip_col: str, ranges: DataFrame, cidr_col: str = "cidr") -> DataFrame:
+    """Adds the columns of ``ranges`` to a table of addresses: those of the longest range that holds the address, NULL where none does.
+
+    ``ranges`` may have any size: each distinct address meets it by equality, once for each prefix length that occurs in it.  Ranges are ``address/length`` or a single
+    address; bits beyond the length do not matter, ranges that cannot be read hold nothing, and of ranges repeated with other columns the greatest row counts.
+    IPv4 addresses written inside IPv6 are IPv4.
+    """
+    rest = [c for c in ranges.columns if c != cidr_col]
+    text, bits = F.trim(F.substring_index(cidr_col, "/", 1)), F.trim(F.substring_index(cidr_col, "/", -1))
+    most = F.when(F.col("_a.version") == 4, 32).otherwise(128)
+    given = F.when(F.contains(F.col(cidr_col), F.lit("/")), F.when(bits.rlike(r"\A[0-9]{1,3}\z"), bits.cast("int"))).otherwise(most)
+    shift = F.when(text.contains(":") & (F.col("_a.version") == 4) & F.contains(F.col(cidr_col), F.lit("/")), 96).otherwise(0)
+    read = ranges.withColumn("_a", _address(text)).where("_a is not null").withColumn("_n", given - shift).where((F.col("_n") >= 0) & (F.col("_n") <= most))
+    known = read.select(_prefix(F.col("_a"), F.col("_n")).alias("_p"), F.struct(F.col(cidr_col), *rest).alias("_row")).groupBy("_p").agg(F.max("_row").alias("_row"))
+    # To the driver: the lengths that occur, 33 and 129 at most.
+    lengths = {v: sorted(r[1] for r in read.select("_a.version", "_n").distinct().collect() if r[0] == v) for v in (4, 6)}
+    tried = lambda v: F.array(*map(F.lit, lengths[v])) if lengths[v] else F.array().cast("array<int>")
+    asked = df.select(F.col(ip_col).alias("_ip")).where("_ip is not null").distinct().withColumn("_a", _address(F.col("_ip"))).where("_a is not null")
+    each = explode_rows(asked, ["_ip", "_a"], F.when(F.col("_a.version") == 4, tried(4)).otherwise(tried(6)), "_n")
+    met = each.select("_ip", "_n", _prefix(F.col("_a"), F.col("_n")).alias("_p")).join(known, "_p")
+    best = met.groupBy("_ip").agg(F.max(F.struct("_n", "_row")).alias("_m"))
+    return df.join(best.select(F.col("_ip").alias(ip_col), F.col("_m._row").alias("_row")), ip_col, "left").select(*[df[c] for c in df.columns], "_row.*")
+
+
 def parse_urls(df: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """Split by regex, since the built-in parser drops hosts that it does not accept."""
     url = F.trim(F.col(url_col))

@@ -72,6 +72,19 @@ def _(spark, d):
     return url_log.classify_ips(load(spark, d, "ips"), "ip").select("id", "ip_version", "ip_class")
 
 
+@query("ip_ranges", f"""with {ctes('ips', 'ip_ranges')}, r as (select cidr, name, split_part(cidr, '/', 1) as net, try_cast(split_part(cidr, '/', 2) as int) as bits from ip_ranges where cidr like '%/%'),
+    four as (select case when contains(net, ':') then replace(net, '::ffff:', '') else net end as net, case when contains(net, ':') then bits - 96 else bits end as bits, cidr, name from r where contains(net, '.')),
+    num as (select *, string_split(net, '.') as o from four), ranges as (select bits, cidr, name, (cast(o[1] as bigint) * 16777216 + cast(o[2] as bigint) * 65536 + cast(o[3] as bigint) * 256 + cast(o[4] as bigint)) >> (32 - bits) as p from num),
+    a as (select distinct ip, case when contains(ip, '.') then list_reduce(list_transform(string_split(ip, '.'), lambda x: cast(x as bigint)), lambda t, x: t * 256 + x) end as n from ips),
+    met as (select ip, bits, cidr, name from a join ranges on n is not null and n >> (32 - bits) = p
+            union all select ip, bits, cidr, name from a join r on n is null and contains(net, 'fe80') and (bits < 128 or ip = net)),
+    best as (select ip, arg_max(struct_pack(cidr := cidr, name := name), (bits, cidr, name)) as m from met group by ip)
+    select id, ip, m.cidr as cidr, m.name as name from ips left join best using (ip)""")
+def _(spark, d):
+    """The longest range of each address, from a table of overlapping ranges."""
+    return url_log.longest_prefix(load(spark, d, "ips"), "ip", load(spark, d, "ip_ranges"))
+
+
 _HOSTS = "h as (select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages), al as (select distinct host from h where page_id % 2 = 0), dn as (select distinct host from h where page_id % 5 = 0)"
 
 

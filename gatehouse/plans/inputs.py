@@ -129,6 +129,13 @@ INPUTS = {
                  when 1 then concat('172.', cast(event_id % 40 as string), '.0.1') when 2 then concat('fe80::', cast(user_id % 9 as string))
                  else concat('100.', cast(event_id % 256 as string), '.1.1') end as ip
         from {events}""",
+    # Overlapping ranges, both versions, of every length from 8 to 32 and some of 128.
+    "ip_ranges": """
+        select concat(cast(p_partkey % 256 as string), '.', cast(p_partkey % 251 as string), '.', case when p_partkey % 3 = 0 then '2' else '0' end, '.1/', cast(8 + p_partkey % 25 as string)) as cidr,
+               concat('net', cast(p_partkey as string)) as name from {part}
+        union all select concat('fe80::', cast(s_suppkey % 7 as string), '/', cast(case s_suppkey % 3 when 0 then 128 when 1 then 64 else 10 end as string)), concat('six', cast(s_suppkey as string)) from {supplier}
+        union all select '::ffff:172.0.0.0/104', 'mapped' from {region} where r_regionkey = 0
+        union all select 'not a range', 'bad' from {region}""",
     # matching
     "listed": """
         select cast(s_suppkey as string) as record_id, concat('Acme', cast(s_suppkey % 40 as string), ' ', translate(cast(s_suppkey as string), '0123456789', 'abcdefghij'), ' Ltd') as name,
@@ -156,6 +163,11 @@ INPUTS = {
                case o_orderkey % 2 when 0 then 'crypto' else 'stock' end as asset_type,
                case when o_orderkey % 4 = 0 then null else 90 + o_totalprice / 50000 end as proposed_price
         from {orders}""",
+    "timed_proposals": """
+        select o_orderkey as proposal_id, concat('S', cast(o_custkey % 60 as string)) as symbol, case o_orderkey % 2 when 0 then 'crypto' else 'stock' end as asset_type,
+               case when o_orderkey % 4 = 0 then null else 90 + o_totalprice / 50000 end as proposed_price,
+               case when o_orderkey % 50 = 7 then null else cast(timestamp '2023-12-31 00:00:00' + (o_orderkey * 7919 % 2700000) * interval '1' second as timestamp) end as at
+        from {orders}""",
     "pools": """
         select concat('T', cast(user_id as string)) as token, event_id as pair_pos, value * 1000 as liquidity, value * (event_id % 20) * 900 as volume24h, value as price,
                case event_type when 'view' then 'ethereum' else 'solana' end as chain_id, concat('SY', cast(user_id % 40 as string)) as symbol, concat('Token ', cast(user_id as string)) as name

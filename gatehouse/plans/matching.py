@@ -183,6 +183,20 @@ def _(spark, d):
     return out.select("proposal_id", "sources", F.round("consensus_price", 6).alias("consensus_price"), F.round("deviation_pct", 6).alias("deviation_pct"), "score", "verdict")
 
 
+@query("price_consensus_at", f"""with {ctes('quotes_m', 'timed_proposals')}, one as (select symbol, source, updated_at, max(price) as price from quotes_m group by all),
+    t as (select p.*, s.source from timed_proposals p join (select distinct symbol, source from one) s using (symbol)),
+    k as (select t.proposal_id, q.price, floor(epoch(t.at)) - floor(epoch(q.updated_at)) as age from t asof join one q on t.symbol = q.symbol and t.source = q.source and t.at >= q.updated_at),
+    agreed as (select proposal_id, count(*) as n, avg(price) as c, min(price) as lo, max(price) as hi, max(age) as age from k group by 1),
+    j as (select p.*, coalesce(n, 0) as n, c, case when lo = 0 then 'inf'::double else (hi - lo) / lo * 100 end as apart, age > case asset_type when 'stock' then 36000 else 7200 end as stale, abs(proposed_price - c) / c * 100 as dev
+          from timed_proposals p left join agreed using (proposal_id)),
+    s as (select *, greatest(case when n = 0 then 100 else 0 end, case when n = 1 then 40 else 0 end, case when stale then 90 else 0 end, case when n >= 2 and apart > 20 then 85 else 0 end, case when dev > 5 then 95 when dev > 2 then 50 else 0 end) as score from j)
+    select proposal_id, n as sources, round(c, 6) as consensus_price, round(dev, 6) as deviation_pct, cast(score as double) as score, case when score >= 85 then 'BLOCK' when score > 0 then 'FLAG' else 'PASS' end as verdict from s""")
+def _(spark, d):
+    """Each proposal against the prices known at its own time."""
+    out = market.price_consensus_at(load(spark, d, "timed_proposals"), load(spark, d, "quotes_m"), divergence_pct=20, max_age={"crypto": 7200, "stock": 36000})
+    return out.select("proposal_id", "sources", F.round("consensus_price", 6).alias("consensus_price"), F.round("deviation_pct", 6).alias("deviation_pct"), "score", "verdict")
+
+
 _BEST = "best as (select * from (select *, row_number() over (partition by token order by liquidity desc, pair_pos) as r from pools) where r = 1)"
 
 

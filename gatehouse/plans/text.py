@@ -29,6 +29,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Oracle for spans: the engine's own regex dialect has an ASCII word boundary and no lookaround.
+# Detector patterns, as in the operators.
 _PATTERNS = [
     ("credit_card", "PCI", 4, True, 0.99, r"\b\d(?:[ -]?\d){12,18}\b"),
     ("us_ssn", "PII", 4, True, 0.9, r"\b\d{3}[- ]\d{2}[- ]\d{4}\b"),

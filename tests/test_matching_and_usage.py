@@ -227,3 +227,55 @@ def test_payments(spark):
     df = spark.createDataFrame(rows, "signature string, attempt_id long, attempted_at timestamp, block_time timestamp, has_meta boolean, wallet_in_tx boolean, lamports long")
     out = [(r["credits"], r["error"]) for r in usage.credit_payments(df).orderBy("attempt_id").collect()]
     assert out == [(2, None), (0, "already_used"), (0, "missing_block_time"), (0, "amount_too_small"), (1, None), (0, "transaction_too_old"), (0, "missing_tx_meta"), (0, "service_wallet_not_in_tx"), (0, "no_sol_sent_to_service_wallet")]
+
+
+def test_longest_prefix_against_all_ranges(spark):
+    import ipaddress
+
+    from gatehouse.operators import url_log
+
+    random.seed(6)
+    near = lambda: random.choice([f"10.{random.randrange(3)}.{random.randrange(3)}.{random.randrange(256)}", f"2001:db8:{random.randrange(3):x}::{random.randrange(40):x}", f"::ffff:10.0.{random.randrange(3)}.7"])
+    ips = [near() for _ in range(300)] + ["0.0.0.0", "255.255.255.255", "::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "fe80::1%eth0", "x", "", None, "1.2.3.999"]
+    ranges = [(f"{near()}/{n}", f"n{i}") for i, n in enumerate(random.choices(range(0, 33), k=60))]
+    ranges = [(c, n) for c, n in ranges if ":" not in c or not c.startswith("::ffff")] + [(f"2001:db8:{k}::/{n}", f"v{k}{n}") for k in range(3) for n in (0, 1, 33, 47, 63, 64, 65, 120, 127, 128)]
+    ranges += [("::ffff:10.0.1.0/120", "mapped"), ("10.1.1.1", "single"), ("2001:db8:1::5", "single six"), ("10.0.0.0/33", "bad"), ("10.0.0.0/x", "bad"), ("none", "bad"), (None, "bad"), ("10.0.0.0/8", "b"), ("10.0.0.0/8", "a")]
+    nets = []
+    for cidr, name in ranges:
+        try:
+            net = ipaddress.ip_network(cidr.replace("::ffff:10.0.1.0/120", "10.0.1.0/24"), strict=False)
+            nets.append((net, cidr, name))
+        except (ValueError, AttributeError):
+            pass
+    def best(ip):
+        try:
+            a = ipaddress.ip_address(ip)
+        except ValueError:
+            return None, None
+        a = getattr(a, "ipv4_mapped", None) or a
+        held = [(n.prefixlen, c, m) for n, c, m in nets if a.version == n.version and a in n]
+        return max(held)[1:] if held else (None, None)
+    out = url_log.longest_prefix(spark.createDataFrame([(i, x) for i, x in enumerate(ips)], "id int, ip string"), "ip", spark.createDataFrame(ranges, "cidr string, name string"))
+    got = {r["id"]: (r["cidr"], r["name"]) for r in out.collect()}
+    assert len(got) == len(ips)
+    for i, ip in enumerate(ips):
+        if ip not in ("fe80::1%eth0",):
+            assert got[i] == (best(ip) if ip else (None, None)), ip
+
+
+@pytest.mark.parametrize("bucket", ["1 hour", "1 minute", "30 days"])
+def test_quotes_as_of_each_time(spark, bucket):
+    random.seed(7)
+    start = dt.datetime(2024, 3, 1)
+    at = lambda: start + dt.timedelta(seconds=random.randrange(0, 4 * 3600, 30))
+    quotes = [(random.choice("AAAB"), random.choice("xyz"), float(random.randrange(100)), random.choice([at(), at(), at(), None])) for _ in range(300)]
+    asked = [(random.choice("AABC"), at()) for _ in range(100)] + [("A", None), ("A", start - dt.timedelta(1)), ("A", start + dt.timedelta(9))]
+    q = spark.createDataFrame(quotes, "symbol string, source string, price double, updated_at timestamp")
+    got = sorted(map(tuple, market.quotes_at(spark.createDataFrame(asked, "symbol string, at timestamp"), q, bucket).collect()))
+    want = []
+    for symbol, t in set(asked):
+        for source in "xyz":
+            held = [(u, p) for s, c, p, u in quotes if s == symbol and c == source and u is not None and t is not None and u <= t]
+            if held:
+                want.append((symbol, t, source, max(held)[1], max(held)[0]))
+    assert got == sorted(want)
