@@ -179,7 +179,33 @@ def rx_verdicts(findings: DataFrame, patients: DataFrame, threshold: str = "majo
     return _verdicts(findings.select("patient_id", "severity", F.lit(1).cast("long").alias("n")), patients, threshold)
 
 
+def _of_severity(severity: str) -> Column:
+    return F.size(F.filter("issues", lambda x: x["severity"] == severity))
+
+
 def rx_check(rx: DataFrame, meds: DataFrame, pairs: DataFrame, patients: DataFrame, threshold: str = "major") -> DataFrame:
-    """Verdicts straight from prescriptions: interactions are counted, not listed."""
-    own = _per_prescription(rx, meds, patients, [_unknown(), _unit(), *_doses()]).select("patient_id", "severity", F.lit(1).cast("long").alias("n"))
-    return _verdicts(own.unionByName(interaction_counts(rx, meds, pairs)), patients, threshold)
+    """Verdicts straight from prescriptions, read once: interactions are counted, not listed, and there is no self join.
+
+    Findings and prescriptions are counted per patient and drug, so a patient with a third of all rows is as many rows as he has drugs.  Each of these then
+    asks its drug's few partners: a drug that the patient has meets what was asked of it in one sum.
+    """
+    ready = _with_reference(rx, meds).withColumn("unit_issue", _unit_issue()).join(patients.select("patient_id", "weight_kg"), "patient_id", "left")
+    found = ready.withColumn("issues", F.filter(F.array(_unknown(), _unit(), *_doses()), lambda x: x.isNotNull()))
+    own = [F.sum(_of_severity(s)).alias(f"own_{s}") for s in RX_RANK]
+    per = found.groupBy("patient_id", "generic").agg(F.count(F.lit(1)).alias("k"), *own)
+    partners = worst_pairs(pairs).groupBy(F.col("a").alias("generic")).agg(F.collect_list(F.struct("b", "severity")).alias("partners"))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    entry = lambda drug, held, asks, twice, severity: F.struct(drug.alias("drug"), held.alias("held"), asks.alias("asks"), twice.alias("twice"), severity.alias("severity"))
+    k, self = F.col("k"), F.col("generic")
+    asked = F.transform(F.coalesce("partners", F.array().cast("array<struct<b:string,severity:string>>")), lambda p: entry(
+        p["b"], zero, F.when(p["b"] == self, zero).otherwise(k), F.when(p["b"] == self, F.floor(k * (k - 1) / 2)).otherwise(zero), p["severity"]))
+    sent = explode_rows(per.join(partners, "generic", "left"), ["patient_id", *[f"own_{s}" for s in RX_RANK]], F.concat(F.array(entry(self, k, zero, zero, none)), asked), "e")
+    of = lambda s, c: F.sum(F.when(F.col("e.severity") == s, F.col(f"e.{c}")).otherwise(0))
+    # A drug's own findings stand in the row that says how often the patient has it.
+    met = sent.groupBy("patient_id", "e.drug").agg(F.sum("e.held").alias("held"), *[of(s, "asks").alias(f"asks_{s}") for s in RX_RANK],
+                                                   *[(of(s, "twice") + F.sum(F.when(F.col("e.severity").isNull(), F.col(f"own_{s}")).otherwise(0))).alias(f"own_{s}") for s in RX_RANK])
+    sums = met.groupBy("patient_id").agg(*[F.sum(F.col("held") * F.col(f"asks_{s}") + F.col(f"own_{s}")).alias(f"n_{s}") for s in RX_RANK])
+    joined = patients.select("patient_id").join(sums, "patient_id", "left").select("patient_id", *[F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}") for s in RX_RANK])
+    total = sum((F.col(f"n_{s}") for s in RX_RANK), F.lit(0))
+    worst = F.greatest(*[F.when(F.col(f"n_{s}") > 0, rank) for s, rank in RX_RANK.items()])
+    return joined.select("patient_id", base_verdict(total, worst, threshold, "block", RX_RANK).alias("verdict"), total.alias("total_findings"), *[f"n_{s}" for s in RX_RANK])
