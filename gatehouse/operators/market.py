@@ -252,31 +252,43 @@ def position_limits(trades: DataFrame, portfolios: DataFrame, rules: DataFrame |
     ]).withColumnRenamed("risks", "violations")
 
 
-def symbol_candidates(queries: DataFrame, dex: DataFrame, coins: DataFrame) -> DataFrame:
-    """Candidates of both sides for each query; the chain filter applies to pools only."""
-    left = queries.select("query_id", F.lower("symbol").alias("k"), "chain")
-    pools = left.join(dex.withColumn("k", F.lower("symbol")), "k").where("chain is null or chain = chain_id").select(
-        "query_id", "symbol", "name", "liquidity")
-    listed = left.join(coins.withColumn("k", F.lower("symbol")), "k").select(
-        "query_id", F.upper("symbol").alias("symbol"), "name", F.lit(None).cast("double").alias("liquidity"))
-    return pools.unionByName(listed)
+def _candidates(dex: DataFrame, coins: DataFrame) -> DataFrame:
+    """``k, chain, by, name, pool``: pools, which count for their chain and for any, and listed coins, which count for all."""
+    pools = dex.select(F.lower("symbol").alias("k"), F.col("chain_id").alias("chain"), (-F.coalesce("liquidity", F.lit(0.0))).alias("by"), "name", F.lit(True).alias("pool"))
+    return pools.unionByName(coins.select(F.lower("symbol").alias("k"), F.lit(None).cast("string").alias("chain"), F.lit(0.0).alias("by"), "name", F.lit(False).alias("pool")))
 
 
 def resolve_symbols(queries: DataFrame, dex: DataFrame, coins: DataFrame) -> DataFrame:
-    """``queries``: ``query_id, symbol, expected_name, chain``.  The deepest candidate and the verdict."""
-    want = F.lower("expected_name")
-    name = F.lower("name")
-    agg = (
-        symbol_candidates(queries, dex, coins).join(queries.select("query_id", "expected_name"), "query_id")
-        .groupBy("query_id").agg(
-            F.count(F.lit(1)).alias("matches"),
-            F.max(F.coalesce(name.contains(want) | want.contains(name), F.lit(True))).alias("named"),
-            F.min(F.struct((-F.coalesce("liquidity", F.lit(0.0))).alias("by"), "name"))["name"].alias("best_name"))
-    )
-    n = F.coalesce("matches", F.lit(0))
-    return queries.join(agg, "query_id", "left").select(
-        "query_id", "symbol", n.alias("matches"), (n > 1).alias("ambiguous"), "best_name",
-        F.when(n == 0, "BLOCK").when(~F.col("named"), "FLAG").when(n > 1, "FLAG").otherwise("PASS").alias("verdict"))
+    """``queries``: ``query_id, symbol, expected_name, chain``, one row a query.  The deepest candidate and the verdict.
+
+    Candidates are counted per symbol and chain before any query meets them, so a query joins one row.  Names are compared once for each distinct
+    expected name and each distinct candidate name of a symbol.
+    """
+    found = _candidates(dex, coins)
+    # A symbol's pools by chain, and its coins (chain NULL, pool false).
+    best = F.struct("by", "name")
+    by_chain = found.groupBy("k", "pool", "chain").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"), F.max(F.col("name").isNull()).alias("nameless"))
+    whole = by_chain.groupBy("k").agg(F.sum("n").alias("all_n"), F.min("best").alias("all_best"), F.max("nameless").alias("all_nameless"),
+                                      F.sum(F.when(~F.col("pool"), F.col("n"))).alias("coin_n"), F.min(F.when(~F.col("pool"), F.col("best"))).alias("coin_best"),
+                                      F.max(F.when(~F.col("pool"), F.col("nameless"))).alias("coin_nameless"))
+    chains = by_chain.where("pool and chain is not null").select("k", "chain", F.col("n").alias("chain_n"), F.col("best").alias("chain_best"), F.col("nameless").alias("chain_nameless"))
+    want = queries.withColumn("k", F.lower("symbol")).withColumn("want", F.lower("expected_name"))
+    # Which expected names fit a candidate's name.
+    wanted = want.where("want is not null").select("k", "chain", "want").distinct()
+    names = found.where("name is not null").select("k", F.col("chain").alias("at"), "pool", F.lower("name").alias("given")).distinct()
+    fits = F.contains("given", "want") | F.contains("want", "given")
+    named = wanted.join(names, "k").where(fits & (F.col("chain").isNull() | ~F.col("pool") | (F.col("chain") == F.col("at")))).select(
+        "k", F.col("chain").alias("c"), F.col("want").alias("w"), F.lit(True).alias("named")).distinct()
+    j = want.join(whole, "k", "left").join(chains, ["k", "chain"], "left").join(
+        named.withColumnRenamed("k", "_k"), (F.col("k") == F.col("_k")) & F.col("chain").eqNullSafe(F.col("c")) & (F.col("want") == F.col("w")), "left")
+    anywhere = F.col("chain").isNull()
+    n = F.when(anywhere, F.coalesce("all_n", F.lit(0))).otherwise(F.coalesce("chain_n", F.lit(0)) + F.coalesce("coin_n", F.lit(0)))
+    top = F.when(anywhere, F.col("all_best")).otherwise(F.least("chain_best", "coin_best"))
+    nameless = F.when(anywhere, F.col("all_nameless")).otherwise(F.coalesce("chain_nameless", F.lit(False)) | F.coalesce("coin_nameless", F.lit(False)))
+    known = F.col("want").isNull() | F.coalesce("named", F.lit(False)) | F.coalesce(nameless, F.lit(False))
+    return j.select(
+        "query_id", "symbol", n.alias("matches"), (n > 1).alias("ambiguous"), top["name"].alias("best_name"),
+        F.when(n == 0, "BLOCK").when(~known, "FLAG").when(n > 1, "FLAG").otherwise("PASS").alias("verdict"))
 
 
 def order_risk(orders: DataFrame, snapshot: DataFrame, pairs: DataFrame, quotes: DataFrame, as_of: str) -> DataFrame:

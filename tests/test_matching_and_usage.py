@@ -279,3 +279,22 @@ def test_quotes_as_of_each_time(spark, bucket):
             if held:
                 want.append((symbol, t, source, max(held)[1], max(held)[0]))
     assert got == sorted(want)
+
+
+def test_symbols_against_all_candidates(spark):
+    random.seed(8)
+    name = lambda: random.choice(["Alpha", "alpha coin", "Beta", "BETA", "gamma", "", None])
+    chain = lambda: random.choice(["sol", "eth", None])
+    dex = [(random.choice(["AA", "aa", "BB", None]), name(), random.choice([1.0, 2.0, 3.0, None]), chain()) for _ in range(25)]
+    coins = [(random.choice(["aa", "bb", "CC"]), name()) for _ in range(8)]
+    queries = [(i, random.choice(["aa", "AA", "Bb", "cc", "dd", None]), name(), chain()) for i in range(120)]
+    out = market.resolve_symbols(spark.createDataFrame(queries, "query_id int, symbol string, expected_name string, chain string"),
+                                 spark.createDataFrame(dex, "symbol string, name string, liquidity double, chain_id string"), spark.createDataFrame(coins, "symbol string, name string"))
+    got = {r["query_id"]: (r["matches"], r["best_name"], r["verdict"]) for r in out.collect()}
+    assert len(got) == len(queries)
+    for i, symbol, expected, on in queries:
+        held = [(-(liq or 0), n) for s, n, liq, c in dex if s and symbol and s.lower() == symbol.lower() and (on is None or c == on)]
+        held += [(0.0, n) for s, n in coins if symbol and s.lower() == symbol.lower()]
+        fit = any(expected is None or n is None or n.lower() in expected.lower() or expected.lower() in n.lower() for _, n in held)
+        best = min(held, key=lambda c: (c[0], c[1] is not None, c[1] or ""))[1] if held else None
+        assert got[i] == (len(held), best, "BLOCK" if not held else "FLAG" if not fit or len(held) > 1 else "PASS"), i
