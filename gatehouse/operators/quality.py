@@ -6,7 +6,10 @@ checked in a single narrow pass whatever the number of rules.
 
 from __future__ import annotations
 
+import functools
 import json
+from typing import Any, NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,17 +172,60 @@ def _same(x: Column, value) -> Column:
     return F.coalesce(text(x["v"]) == text(F.parse_json(F.lit(json.dumps(value)))), F.lit(False))
 
 
-def _schema_errors(v: Column, schema, path: Column) -> Column:
+class _Root(NamedTuple):
+    """The whole schema, and the references that are open on the way to a part of it."""
+
+    schema: Any
+    open: tuple[str, ...] = ()
+
+    def enter(self, ref: str) -> "_Root":
+        if ref in self.open:
+            raise ValueError(f"{ref} leads back to itself: a schema without a fixed depth is no column expression")
+        return _Root(self.schema, (*self.open, ref))
+
+    def target(self, ref: str) -> Any:
+        """What a local JSON pointer (``#/...``) leads to, or None."""
+        part = self.schema
+        for token in unquote(ref[2:]).split("/") if ref.startswith("#/") else [None]:
+            if not isinstance(part, dict) or token is None:
+                return None
+            part = part.get(token.replace("~1", "/").replace("~0", "~"))
+        return part
+
+
+def _schema_errors(v: Column, schema, path: Column, root: _Root) -> Column:
     """Array of errors of one value; built recursively over the schema, evaluated once per row."""
-    return let(facts(v), lambda x: _node_errors(x, schema, path))
+    return let(facts(v), lambda x: _node_errors(x, schema, path, root))
+
+
+def _composed(x: Column, schema: dict, path: Column, root: _Root) -> list[Column]:
+    """Errors of ``allOf``, ``anyOf``, ``oneOf`` and ``not``; the schemas in them judge the same value."""
+    parts = lambda word: schema[word] if isinstance(schema.get(word), list) else None
+    fits = lambda sub: F.size(_node_errors(x, sub, path, root)) == 0
+    out = [_node_errors(x, sub, path, root) for sub in parts("allOf") or []]
+    if parts("anyOf") is not None:
+        out.append(_errors_if(~functools.reduce(lambda a, b: a | b, map(fits, parts("anyOf")), F.lit(False)), path, "anyOf"))
+    if parts("oneOf") is not None:
+        out.append(_errors_if(sum((fits(sub).cast("int") for sub in parts("oneOf")), F.lit(0)) != 1, path, "oneOf"))
+    if "not" in schema:
+        out.append(_errors_if(fits(schema["not"]), path, "not"))
+    return out
+
 
+def _errors_if(when: Column, path: Column, keyword: str) -> Column:
+    return F.when(when, F.array(_err(F.lit(True), path, keyword)))
 
-def _node_errors(x: Column, schema, path: Column) -> Column:
+
+def _node_errors(x: Column, schema, path: Column, root: _Root) -> Column:
     none = F.array().cast(f"array<{_E}>")
-    if schema is True:
+    if schema is True or not isinstance(schema, (bool, dict)):
         return none
     if schema is False:
         return F.array(_err(F.lit(True), path, "false schema"))
+    ref = schema.get("$ref")
+    if isinstance(ref, str):  # stands for the whole schema: what is beside it does not count
+        found = root.target(ref)
+        return F.array(_err(F.lit(True), path, "$ref")) if found is None else _node_errors(x, found, path, root.enter(ref))
     v, k = x["v"], x["kind"]
     flat: list[Column] = []
     nested: list[Column] = []
@@ -220,9 +266,9 @@ def _node_errors(x: Column, schema, path: Column) -> Column:
         part = schema.get("items")
         if isinstance(part, list):
             for i, sub in enumerate(part):
-                nested.append(F.when(is_arr & (F.size(arr) > i), _schema_errors(F.get(arr, i), sub, F.concat(path, F.lit(f"/{i}")))))
+                nested.append(F.when(is_arr & (F.size(arr) > i), _schema_errors(F.get(arr, i), sub, F.concat(path, F.lit(f"/{i}")), root)))
         elif part is not None:
-            nested.append(F.flatten(F.transform(arr, lambda e, i: _schema_errors(e, part, F.concat(path, F.lit("/"), i.cast("string"))))))
+            nested.append(F.flatten(F.transform(arr, lambda e, i: _schema_errors(e, part, F.concat(path, F.lit("/"), i.cast("string")), root))))
     if any(w in schema for w in ("minProperties", "maxProperties", "required", "properties", "additionalProperties")):
         is_obj = F.coalesce(k == "object", F.lit(False))
         names = keys(v)
@@ -235,7 +281,7 @@ def _node_errors(x: Column, schema, path: Column) -> Column:
         props = schema.get("properties", {})
         for name, sub in props.items():
             child = field(v, name)
-            nested.append(F.when(is_obj & child.isNotNull(), _schema_errors(child, sub, F.concat(path, F.lit(_pointer(name))))))
+            nested.append(F.when(is_obj & child.isNotNull(), _schema_errors(child, sub, F.concat(path, F.lit(_pointer(name))), root)))
         extra = schema.get("additionalProperties")
         if extra is not None and extra is not True:
             others = F.array_except(names, F.array(*[F.lit(p) for p in props]).cast("array<string>"))
@@ -244,22 +290,26 @@ def _node_errors(x: Column, schema, path: Column) -> Column:
                 nested.append(F.when(is_obj, F.transform(others, lambda q: _err(F.lit(True), tail(q), "additionalProperties"))))
             else:
                 values = F.try_variant_get(v, "$", "map<string,variant>")
-                nested.append(F.when(is_obj, F.flatten(F.transform(others, lambda q: _schema_errors(F.element_at(values, q), extra, tail(q))))))
+                nested.append(F.when(is_obj, F.flatten(F.transform(others, lambda q: _schema_errors(F.element_at(values, q), extra, tail(q), root)))))
+    nested += _composed(x, schema, path, root)
     own = F.filter(F.array(*flat), lambda e: e.isNotNull()) if flat else none
     out = F.concat(own, *[F.coalesce(x, none) for x in nested]) if nested else own
     return F.when(F.coalesce(k == "null", F.lit(False)), none).otherwise(out) if nullable else out
 
 
 def schema_conformance(df: DataFrame, id_col: str, json_col: str, schema: dict) -> DataFrame:
-    """One row per violation with its JSON pointer.  Text that is not JSON fails with keyword ``json``."""
+    """One row per violation with its JSON pointer.  Text that is not JSON fails with keyword ``json``.
+
+    ``$ref`` is resolved inside the schema; one that leads back to itself is an error of the call.
+    """
     base = df.select(F.col(id_col).alias("subject_id"), doc(F.col(json_col)).alias("d"))
-    errors = F.when(F.col("d").isNull(), F.array(_err(F.lit(True), F.lit(""), "json"))).otherwise(_schema_errors(F.col("d"), schema, F.lit("")))
+    errors = F.when(F.col("d").isNull(), F.array(_err(F.lit(True), F.lit(""), "json"))).otherwise(_schema_errors(F.col("d"), schema, F.lit(""), _Root(schema)))
     return explode_rows(base, ["subject_id"], errors, "e").select("subject_id", "e.*")
 
 
 def schema_verdicts(df: DataFrame, id_col: str, json_col: str, schema: dict, mode: str = "block") -> DataFrame:
     base = df.select(F.col(id_col).alias("subject_id"), doc(F.col(json_col)).alias("d"))
-    errors = F.when(F.col("d").isNull(), F.array(_err(F.lit(True), F.lit(""), "json"))).otherwise(_schema_errors(F.col("d"), schema, F.lit("")))
+    errors = F.when(F.col("d").isNull(), F.array(_err(F.lit(True), F.lit(""), "json"))).otherwise(_schema_errors(F.col("d"), schema, F.lit(""), _Root(schema)))
     bad = {"block": "BLOCK", "flag": "FLAG", "audit": "PASS"}[mode]
     return base.select("subject_id", F.size(errors).alias("errors")).select(
         "subject_id", "errors", F.when(F.col("errors") == 0, "PASS").otherwise(bad).alias("verdict"))

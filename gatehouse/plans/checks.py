@@ -211,6 +211,24 @@ def _(spark, d):
     return quality.schema_verdicts(load(spark, d, "json_rows"), "id", "data", SCHEMA)
 
 
+COMBINED = {
+    "$defs": {"small": {"maximum": 40}, "a/b": {"type": "string", "minLength": 5}},
+    "allOf": [{"properties": {"k": {"$ref": "#/$defs/small"}}}, {"required": ["t", "u"]}],
+    "anyOf": [{"properties": {"t": {"const": "view"}}}, {"properties": {"k": {"minimum": 30}}}],
+    "oneOf": [{"properties": {"k": {"multipleOf": 2}}}, {"properties": {"k": {"multipleOf": 3}}}],
+    "not": {"required": ["zz"]},
+    "properties": {"tags": {"items": {"$ref": "#/$defs/a~1b", "type": "integer"}}, "k": {"not": {"anyOf": [{"const": 7}, {"const": 8}]}}, "t": {"$ref": "#/$defs/absent"}},
+}
+
+
+@query("schema_combinators", """with j as (select event_id as id, event_type as t, cast(regexp_extract(props, '[0-9]+') as int) as k from events)
+    select id as subject_id, '/k' as path, 'maximum' as keyword from j where k > 40 union all select id, '', 'required' from j union all select id, '', 'anyOf' from j where t <> 'view' and k < 30
+    union all select id, '', 'oneOf' from j where (k % 2 = 0) = (k % 3 = 0) union all select id, '', 'not' from j where id % 9 = 0 union all select id, '/tags/0', 'minLength' from j where length(t) < 5
+    union all select id, '/tags/1', 'minLength' from j where length(t) < 5 and id % 8 = 0 union all select id, '/k', 'not' from j where k in (7, 8) union all select id, '/t', '$ref' from j""")
+def _(spark, d):
+    return quality.schema_conformance(load(spark, d, "json_rows"), "id", "data", COMBINED)
+
+
 # Configuration documents -------------------------------------------------------------------------------
 @query("terraform_findings", """with p as (select p_partkey as id, p_partkey % 4 as k, p_size as s from part)
     select id as subject_id, 'r' || id as matched, 'TF-CHG-001' as rule_id, 'high' as severity from p where k in (1, 2, 3) and s > 40 union all select id, 'r' || id, 'TF-SEC-001', 'high' from p where k = 0 and s > 20

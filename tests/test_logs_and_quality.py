@@ -119,3 +119,28 @@ def test_k8s(rows):
     job = {"kind": "CronJob", "metadata": {"name": "j"}, "spec": {"jobTemplate": {"spec": {"template": {"spec": {"containers": [{"name": "d", "image": "a:5/b:1", "resources": {"limits": {"cpu": 1}}}]}}}}}}
     found = by_id(config_docs.k8s_findings(rows([json.dumps({"kind": "List", "items": [pod, job]}), json.dumps(job)]), "id", "x"), "subject_id", "rule_id")
     assert found == {0: ["K8S-HOST-NETWORK", "K8S-HOST-PATH", "K8S-LATEST-TAG", "K8S-NO-RESOURCE-LIMITS", "K8S-PRIVILEGED", "K8S-RUN-AS-NON-ROOT", "K8S-SYS-ADMIN"]}
+
+
+@pytest.mark.parametrize("schema,doc,want", [
+    ({"anyOf": []}, "1", [("", "anyOf")]),
+    ({"oneOf": [True, True]}, "1", [("", "oneOf")]),
+    ({"oneOf": [True, False]}, "1", []),
+    ({"not": {}}, "null", [("", "not")]),
+    ({"not": False}, "1", []),
+    ({"allOf": [{"type": "string"}, {"minLength": 3}]}, '"ab"', [("", "minLength")]),
+    ({"allOf": [{"properties": {"a": {"anyOf": [{"type": "null"}, {"oneOf": [{"const": 1}, {"const": 2}]}]}}}]}, '{"a": 3}', [("/a", "anyOf")]),
+    ({"nullable": True, "not": {}}, "null", []),
+    ({"definitions": {"n": {"type": "number"}}, "items": {"$ref": "#/definitions/n"}}, '[1, "x"]', [("/1", "type")]),
+    ({"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"minimum": 2}}, "$ref": "#/$defs/a", "type": "string"}, "1", [("", "minimum")]),
+    ({"$ref": "http://elsewhere/x"}, "1", [("", "$ref")]),
+    ({"$defs": {"a%b": False}, "$ref": "#/$defs/a%25b"}, "1", [("", "false schema")]),
+    ({"properties": {"x": {"allOf": [{"$ref": "#/properties/y"}, {"$ref": "#/properties/y"}]}, "y": {"type": "string"}}}, '{"x": 1}', [("/x", "type"), ("/x", "type")]),
+])
+def test_schema_combinators(rows, schema, doc, want):
+    assert sorted((r["path"], r["keyword"]) for r in quality.schema_conformance(rows([doc]), "id", "x", schema).collect()) == sorted(want)
+
+
+def test_recursive_schema_is_refused(rows):
+    tree = {"$defs": {"node": {"properties": {"next": {"$ref": "#/$defs/node"}}}}, "$ref": "#/$defs/node"}
+    with pytest.raises(ValueError, match="leads back"):
+        quality.schema_conformance(rows(["{}"]), "id", "x", tree)
