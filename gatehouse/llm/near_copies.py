@@ -1,20 +1,18 @@
 """Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of 128 bits propose pairs, the shingle sets themselves confirm them.  By the angle of two sets, a pair at 0.8
-differs in about 19 bits (standard deviation 4); the radius is more than three deviations wider, and two unlike texts come as near
-as that about once in ten million pairs.
-
-1. Distinct shingle sets are laid out by size: sets more than 5 : 4 apart in size cannot be similar, so only blocks of neighbouring
-   size classes meet.  A block is cut into parts, every pair of parts is a unit of work, compared tile by tile.
-2. The components of the near fingerprints are candidate groups.  Inside a group all sets are compared exactly; large groups
-   are cut into parts as well.  Only confirmed links make the result.
+1. Two such sets share one of the first shingles of both, in any one order: a set of n has at least 4/5 of n in common with the other, so the first n/5
+   and one more are enough.  The order takes the most common shingles last.  Sets meet by equality on these shingles only.
+2. Where sets meet, fingerprints of 128 bits are compared tile by tile and propose pairs.  By the angle of two sets, a pair at 0.8 differs in about 19
+   bits (standard deviation 4); the radius is more than three deviations wider.
+3. The components of the near fingerprints are candidate groups.  Inside a group sets are compared exactly; large groups
+   are cut into parts, and every pair of parts is a unit of its own.  Only confirmed links make the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import pairwise
-from math import ceil, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +23,7 @@ from pyspark.sql import types as T
 
 from gatehouse.llm.arrow import map_in_arrow, quoted, with_columns
 from gatehouse.llm.components import components
+from gatehouse.llm.forest import Forest
 from gatehouse.llm.simhash import SEED
 from gatehouse.llm.storage import stored
 
@@ -34,10 +33,13 @@ RADIUS = 34
 # Of these bits, so many at most may lie in the first 64; it is compared first.
 HALF = 22
 TILE = 512
-# Sets a part of a size class holds: about 1 / PARTS of all, within bounds.
-PARTS, LEAST_PART, LARGEST_PART = 96, 512, 1 << 17
-# Sets a part of a candidate group holds; beyond GROUP_PARTS parts they grow up to the larger figure.
-GROUP_PART, GROUP_PARTS, LARGEST_GROUP_PART = 64, 32, 2048
+# Sets a shingle brings together in one unit; beyond, they are cut into parts.
+PART = 1 << 15
+# Sets a part of a candidate group holds.
+GROUP_PART = 256
+# The order of the shingles: about so many texts are looked at for the common ones, and so many of these are kept.  It decides how many sets meet in
+# vain, never which pairs are found.
+SAMPLE, COMMON = 20_000, 1 << 16
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -67,11 +69,30 @@ def _bits(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def print_of(text: str | None) -> tuple[int, int, int, int]:
-    """``node`` (hash of the set), ``n`` (its size) and the two halves of its fingerprint, as signed numbers."""
+class Order(NamedTuple):
+    """Common shingles, sorted, and the rank of each: the higher, the more common."""
+
+    common: np.ndarray
+    rank: np.ndarray
+
+    def first(self, s: np.ndarray) -> np.ndarray:
+        """The shingles of a set of which a similar set has one among its own: those that come first."""
+        count = len(s) - int(np.ceil(SIMILAR * len(s) - 1e-9)) + 1
+        if count >= len(s):
+            return s
+        place = _mixed(s) >> np.uint64(1)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+            known = self.common[at] == s
+            place[known] = np.uint64(1 << 63) + self.rank[at[known]]
+        return s[np.argpartition(place, count - 1)[:count]]
+
+
+def print_of(text: str | None, order: Order) -> tuple[int, int, int, int, np.ndarray]:
+    """``node`` (hash of the set), ``n`` (its size), the two halves of its fingerprint as signed numbers, and its first shingles."""
     s = shingle_set(text)
     node = int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
-    return node, len(s), _bits(s), _bits(_mixed(s))
+    return node, len(s), _bits(s), _bits(_mixed(s)), order.first(s).view(np.int64) if len(s) else s.view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
@@ -84,32 +105,17 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-class _Forest:
-    """Union of indices; ``join`` says whether two trees became one."""
-
-    def __init__(self, n: int) -> None:
-        self.root = list(range(n))
+def near_prints(side: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a spanning forest of near fingerprints: all pairs of side 0, or those across if there is a side 1.
 
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.root[max(i, j)] = min(i, j)
-        return i != j
-
-
-def near_prints(side: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.ndarray, tile: int = TILE) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of near fingerprints: all pairs of side 0, or those across if there is a side 1."""
+    Tiles that lie in one tree already are skipped, so copies of one text cost little more than one comparison each.
+    """
     order = np.argsort(n, kind="stable")
     lower = order[side[order] == 0]
     upper = order[side[order] == 1]
     across = len(upper) > 0
     upper = upper if across else lower
-    trees, out = _Forest(len(n)), []
+    trees = Forest(len(n))
     for i in range(0, len(lower), tile):
         a = lower[i:i + tile]
         for j in range(0 if across else i, len(upper), tile):
@@ -118,12 +124,17 @@ def near_prints(side: np.ndarray, n: np.ndarray, first: np.ndarray, second: np.n
                 break
             if n[b[-1]] < SIMILAR * n[a[0]]:
                 continue
+            root = trees.root[a[0]]
+            if (trees.root[a] == root).all() and (trees.root[b] == root).all():
+                continue
             x, y = np.nonzero(np.bitwise_count(first[a][:, None] ^ first[b][None, :]) <= HALF)
             x, y = a[x], b[y]
+            apart = trees.root[x] != trees.root[y]
+            x, y = x[apart], y[apart]
             far = np.bitwise_count(first[x] ^ first[y]).astype(int) + np.bitwise_count(second[x] ^ second[y])
-            near = (far <= RADIUS) & (x != y) & (np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y]))
-            out += [(s, t) for s, t in zip(x[near].tolist(), y[near].tolist()) if trees.join(s, t)]
-    return out
+            near = (far <= RADIUS) & (np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y]))
+            trees.join(x[near], y[near])
+    return trees.links()
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | list]]:
@@ -151,83 +162,119 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray | list
         yield columns(held)
 
 
-def _links(nodes: np.ndarray, pairs: list) -> pa.RecordBatch:
-    at = np.array(pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], names=["a", "b"])
+def _links(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], names=["a", "b"])
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, side, nodes, n, first, second in _units(batches):
-        yield _links(nodes, near_prints(side, n, first.view(np.uint64), second.view(np.uint64)))
+    """Units of sets that share a shingle; most of them hold one set, so whole batches of units are looked through at once."""
+    held: list[np.ndarray] | None = None
+
+    def links(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cuts = [0, *(np.flatnonzero(np.diff(c[0])) + 1).tolist(), len(c[0])]
+        for a, b in pairwise(cuts):
+            if b - a > 1:
+                side, nodes, n, first, second = (x[a:b] for x in c[1:])
+                yield _links(nodes, *near_prints(side, n, first.view(np.uint64), second.view(np.uint64)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if held is not None:
+            c = [np.concatenate(x) for x in zip(held, c)]
+        done = int(np.searchsorted(c[0] == c[0][-1], True))  # the last unit may go on
+        yield from links([x[:done] for x in c])
+        held = [x[done:] for x in c]
+    if held is not None:
+        yield from links(held)
+
+
+def join_similar(sets: list[np.ndarray], side: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links of the components of similar sets, all pairs or, if there is a side 1, those across.  A set is compared with the members of a tree until one is
+    similar, so a group of copies costs one comparison a set."""
+    across, trees, x, y = bool((side == 1).any()), [], [], []
+    for i in range(len(sets)):
+        own, rest = [i], []
+        for tree in trees:
+            other = next((j for j in tree if (not across or side[i] != side[j]) and similar(sets[i], sets[j])), None)
+            if other is None:
+                rest.append(tree)
+            else:
+                x.append(i)
+                y.append(other)
+                own = tree + own
+        trees = [*rest, own]
+    return x, y
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, side, nodes, texts in _units(batches):
-        sets = [shingle_set(t) for t in texts]
-        across, trees, out = bool((side == 1).any()), _Forest(len(sets)), []
-        for i in range(len(sets)):
-            for j in range(i):
-                if (not across or side[i] != side[j]) and trees.find(i) != trees.find(j) and similar(sets[i], sets[j]):
-                    trees.join(i, j)
-                    out.append((i, j))
-        yield _links(nodes, out)
+        x, y = join_similar([shingle_set(t) for t in texts], side)
+        yield _links(nodes, np.array(x, np.int64), np.array(y, np.int64))
 
 
-def size_class(n: int) -> int:
-    """Sets of which one has at least 4/5 the size of the other lie in one class or in neighbouring ones."""
-    return int(log(max(n, 1)) / -log(SIMILAR) + 1e-9)
+def _cut(rows: DataFrame, by: str, part: int, name: str) -> DataFrame:
+    """Units of ``by``: with more than ``part`` nodes of one value, each pair of its parts is one.  Adds ``unit`` and ``side``."""
+    # Written, so that its true size decides on the join.
+    large = stored(rows.groupBy(by).count().where(F.col("count") > part).select(by, F.ceil(F.col("count") / part).cast("int").alias("parts")), name)
+    own = rows.join(large, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return both.withColumn("unit", F.xxhash64(by, F.least("part", "other"), F.greatest("part", "other"))).withColumn("side", (F.col("part") > F.col("other")).cast("int"))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Links ``a, b`` between near fingerprints of ``node, n, first, second, class`` (one row a node)."""
-    counts = {r[0]: r[1] for r in sets.groupBy("class").count().collect()}  # some sixty classes at most
-    size = min(max(sum(counts.values()) // PARTS, LEAST_PART), LARGEST_PART)
-    parts = {c: max(1, ceil(k / size)) for c, k in counts.items()}
-    if not parts:
-        return sets.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    number = lambda shift: F.coalesce(F.get(F.lit([parts.get(c + shift, 0) for c in range(max(parts) + 1)]), F.col("class")), F.lit(0))
-    # Units are named by class and part of both sides; the lower class, or part, is side 0.
-    own = sets.withColumn("part", F.pmod(F.xxhash64("node"), number(0)).cast("int"))
-    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    unit = lambda c, p, d, q, side: F.struct(F.xxhash64(c, p, d, q).alias("unit"), side.cast("int").alias("side"))
-    k, p = F.col("class"), F.col("part")
-    same = F.transform(span(number(0)), lambda q: unit(k, F.least(p, q), k, F.greatest(p, q), p > q))
-    above = F.transform(span(number(1)), lambda q: unit(k, p, k + 1, q, F.lit(0)))
-    below = F.transform(span(number(-1)), lambda q: unit(k - 1, q, k, p, F.lit(1)))
-    rows = own.select("node", "n", "first", "second", F.explode(F.concat(same, above, below)).alias("u")).select("u.unit", "u.side", "node", "n", "first", "second")
-    return map_in_arrow(rows.repartition("unit").sortWithinPartitions("unit"), _propose, "a long, b long")
+    """Links ``a, b`` between near fingerprints of ``node, n, first, second, shingles`` (one row a node) that share one of these shingles."""
+    rows = sets.select(F.explode("shingles").alias("shingle"), "node", "n", "first", "second")
+    units = _cut(rows, "shingle", PART, "common-shingles").select("unit", "side", "node", "n", "first", "second")
+    return map_in_arrow(units.repartition("unit").sortWithinPartitions("unit"), _propose, "a long, b long").distinct()
 
 
 def confirmed(texts: DataFrame) -> DataFrame:
-    """Links ``a, b`` among ``node, root, size, text`` (one row a node): similar sets of one group ``root`` of ``size`` nodes."""
-    parts = F.greatest(F.least(F.ceil(F.col("size") / GROUP_PART), F.lit(GROUP_PARTS)), F.ceil(F.col("size") / LARGEST_GROUP_PART)).cast("int")
-    own = texts.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    name = F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other"))
-    units = rows.select(name.alias("unit"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "text")
+    """Links ``a, b`` among ``node, root, text`` (one row a node): similar sets of one group ``root``."""
+    units = _cut(texts, "root", GROUP_PART, "large-groups").select("unit", "side", "node", "text")
     return map_in_arrow(units.repartition("unit").sortWithinPartitions("unit"), _confirm, "a long, b long")
 
 
+def order_of(docs: DataFrame, text: str, rows: int) -> Order:
+    """An order of shingles, from a sample of the texts by hash."""
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["shingle"])
+
+    drawn = docs.select(F.col(quoted(text)).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < F.lit(max(1, min(1 << 20, (SAMPLE << 20) // max(rows, 1)))))
+    counts = map_in_arrow(drawn, distinct, "shingle long").groupBy("shingle").count().where("count > 2")
+    top = counts.orderBy(F.col("count").desc(), "shingle").limit(COMMON).collect()
+    found = np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
+    at = np.argsort(found)
+    return Order(found[at], at.astype(np.uint64))
+
+
 def near_copies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: the key and ``component_id``, the least key reachable over links, its own included.
 
-    Equal keys must have equal texts.  Texts without a word link to each other only.
+    Equal keys must have equal texts.  Keys are not null (the stage names rows by a struct).  Texts without a word link to each other only.  Texts of any
+    length are compared whole; an empty table gives an empty table.
     """
+    order = docs.sparkSession.sparkContext.broadcast(order_of(docs, text, docs.count()))
+
     def make(texts: list) -> list:
-        return [pa.array(list(c), t) for c, t in zip(zip(*map(print_of, texts)), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+        *numbers, first = zip(*[print_of(t, order.value) for t in texts])
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in first])]).astype(np.int32))
+        return [*[pa.array(list(c), t) for c, t in zip(numbers, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first)))]
 
-    kinds = {"__node": T.LongType(), "__n": T.IntegerType(), "__first": T.LongType(), "__second": T.LongType()}
+    kinds = {"__node": T.LongType(), "__n": T.IntegerType(), "__first": T.LongType(), "__second": T.LongType(), "__shingles": T.ArrayType(T.LongType())}
     q = quoted(key)
     made = with_columns(docs, text, kinds, make, [key])
     prints = stored(made.select(F.col(q).alias("key"), *[F.col(c).alias(c[2:]) for c in kinds]), "near-prints")
-    width = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-log(SIMILAR)) + 1e-9).cast("int")
-    sets = stored(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")).withColumn("class", width), "near-sets")
-    near = components(candidates(sets.where("n > 0")))
-    groups = near.join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    asked = sets.select("node", "least").join(groups, "node")
+    sets = stored(prints.groupBy("node").agg(F.min("key").alias("least"), *[F.first(c).alias(c) for c in ("n", "first", "second", "shingles")]), "near-sets")
+    near = stored(components(candidates(sets.where("n > 0"))), "near-groups")
+    asked = sets.select("node", "least").join(near, "node")
     texts = docs.select(F.col(q).alias("least"), F.col(quoted(text)).alias("text")).join(asked, "least").dropDuplicates(["node"])
-    tree = components(confirmed(texts.select("node", "root", "size", "text")))
+    tree = components(confirmed(stored(texts.select("node", "root", "text"), "near-texts")))
     roots = sets.select("node", "least").join(tree, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join can split a root that very many nodes have.
+    names = stored(roots.groupBy("root").agg(F.min("least").alias("component_id")), "near-names")
     of = roots.join(names, "root").select("node", "component_id")
     return prints.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component_id")

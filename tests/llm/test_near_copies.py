@@ -53,7 +53,7 @@ def test_stage_drops_near_copies_from_080_up_and_no_others(spark):
 def test_large_group_in_parts(spark, monkeypatch):
     """A chain of edits, cut into many parts: components are those of all pairs at 0.8 or more."""
     monkeypatch.setattr(near_copies, "GROUP_PART", 4)
-    monkeypatch.setattr(near_copies, "LEAST_PART", 5)
+    monkeypatch.setattr(near_copies, "PART", 5)
     rng = random.Random(8)
     words, rows = [f"w{rng.randrange(999)}" for _ in range(200)], []
     for k in range(60):
@@ -69,7 +69,28 @@ def test_large_group_in_parts(spark, monkeypatch):
     assert got == dict(enumerate(root)) and len(set(root)) > 2
 
 
-@pytest.mark.parametrize("n", range(1, 2000, 7))
-def test_size_classes(n):
-    least = int(np.ceil(0.8 * n))
-    assert near_copies.size_class(n) - near_copies.size_class(least) <= 1
+@pytest.mark.parametrize("common", [[], range(0, 5000, 3)])
+def test_similar_sets_share_a_first_shingle(common):
+    rng = np.random.default_rng(6)
+    order = near_copies.Order(np.array(common, np.uint64), np.arange(len(common), dtype=np.uint64))
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 5000, rng.integers(1, 120)).astype(np.uint64))
+        b = np.unique(np.where(rng.random(len(a)) < rng.choice([0, 0.05, 0.1, 0.15]), rng.integers(0, 5000, len(a)), a).astype(np.uint64))
+        if near_copies.similar(a, b):
+            assert set(order.first(a)) & set(order.first(b))
+        assert len(order.first(a)) <= len(a) / 5 + 1.01
+
+
+def test_forest_of_similar_sets():
+    rng = np.random.default_rng(7)
+    base = [np.unique(rng.integers(0, 10**6, 60).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.where(rng.random(len(b)) < 0.06, rng.integers(0, 10**6, len(b)), b).astype(np.uint64)) for b in base for _ in range(12)]
+    for side in (np.zeros(48, int), np.arange(48) % 2):
+        x, y = near_copies.join_similar(sets, side)
+        got, want = list(range(48)), list(range(48))
+        pairs = [(i, j) for i in range(48) for j in range(i) if near_copies.similar(sets[i], sets[j]) and (not side.any() or side[i] != side[j])]
+        assert set(zip(x, y)) <= set(pairs)
+        for root, links in ((got, zip(x, y)), (want, pairs)):
+            for i, j in links:
+                root[:] = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        assert got == want
