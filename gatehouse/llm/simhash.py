@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from gatehouse.llm.arrow import map_in_arrow, quoted, with_columns
 from gatehouse.llm.components import components
+from gatehouse.llm.forest import Forest
 from gatehouse.llm.storage import stored
 
 SHINGLE = 4
@@ -69,15 +70,7 @@ def near_links(values: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.nd
     pops = np.bitwise_count(values).astype(np.int16)
     order = np.argsort(pops, kind="stable")
     v, p = values[order], pops[order]
-    root = np.arange(len(v))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = int(root[i])
-        return i
-
-    left, right = [], []
+    trees = Forest(len(v))
     for i in range(0, len(v), tile):
         a = v[i:i + tile]
         top = p[min(i + tile, len(v)) - 1]
@@ -88,13 +81,9 @@ def near_links(values: np.ndarray, radius: int, tile: int = TILE) -> tuple[np.nd
             x, y = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
             if i == j:
                 x, y = x[x < y], y[x < y]
-            for s, t in zip((x + i).tolist(), (y + j).tolist()):
-                s, t = find(s), find(t)
-                if s != t:
-                    root[max(s, t)] = min(s, t)
-                    left.append(s)
-                    right.append(t)
-    return order[np.array(left, np.int64)], order[np.array(right, np.int64)]
+            trees.join(x + i, y + j)
+    x, y = trees.links()
+    return order[x], order[y]
 
 
 def _compare(radius: int, tile: int):
@@ -161,6 +150,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     least = stored(prints.groupBy("simhash").agg(F.min(q).alias("least")), "simhash-least")
     tree = components(link_fingerprints(least.select("simhash"), radius))
     roots = least.join(tree, least["simhash"] == tree["node"], "left").select("simhash", "least", F.coalesce("root", "simhash").alias("root"))
-    names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join can split a root that very many fingerprints have.
+    names = stored(roots.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
     of = roots.join(names, "root").select("simhash", "component_id")
     return prints.join(of, "simhash").select(F.col(q), F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")

@@ -42,7 +42,7 @@ def test_query(spark, name):
         assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     if name in ORACLE:
         con = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "embeddings"):
             con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
         rel = con.sql(ORACLE[name])
         columns = list(rel.columns)
