@@ -122,6 +122,15 @@ def _(spark, d):
     return identifiers.validate_identifiers(load(spark, d, "identifiers"), "value").select("id", "id_type", "valid")
 
 
+# The first eleven characters of the number but the check digit weigh 249; the rest are digits.
+@query("validate_vins_and_wallets", f"""with {ctes('vins_and_wallets')}, t as (select *, case when id % 4 = 0 then 'vin' when id % 4 = 1 and id % 3 <> 0 then 'eth_address'
+      when id % 4 = 2 and not contains(value, 'l') then 'sol_address' else 'unknown' end as id_type from vins_and_wallets),
+    w as (select *, (249 + 7 * cast(value[12] as int) + 6 * cast(value[13] as int) + 5 * cast(value[14] as int) + 4 * cast(value[15] as int) + 3 * cast(value[16] as int) + 2 * cast(value[17] as int)) % 11 as rest from t where id_type = 'vin')
+    select id, id_type, value[9] = '0123456789X'[rest + 1] as valid from w union all select id, id_type, id_type <> 'unknown' from t where id_type <> 'vin'""")
+def _(spark, d):
+    return identifiers.validate_identifiers(load(spark, d, "vins_and_wallets"), "value").select("id", "id_type", "valid")
+
+
 @query("identifier_report", f"""with {_IDS} select batch, count(*) as total, count(*) filter (valid) as valid, count(*) filter (not valid) as invalid, count(*) filter (id_type = 'unknown') as unknown,
     case when bool_or(not valid and id_type <> 'unknown') then 'BLOCK' when bool_or(id_type = 'unknown') then 'FLAG' else 'PASS' end as verdict from v group by batch""")
 def _(spark, d):

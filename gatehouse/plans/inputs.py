@@ -76,6 +76,13 @@ INPUTS = {
                  when 0 then concat('import os', chr(10), 'import ', replace(p_name, ' ', '_'), '.core', chr(10), 'from pkg', cast(p_partkey % 50 as string), '.x import y', chr(10), 'import sys')
                  else concat('import a from ', chr(39), 'pkg', cast(p_partkey % 50 as string), '/sub', chr(39), ';', chr(10), 'const b = require(', chr(39), replace(p_name, ' ', '-'), chr(39), '); import ', chr(39), './local', chr(39), ';') end as code
         from {part}""",
+    "snippets_compiled": """
+        select p_partkey as part_id, case p_partkey % 3 when 0 then 'rust' when 1 then 'go' else 'typescript' end as language,
+               case p_partkey % 3
+                 when 0 then concat('use serde', cast(p_partkey % 40 as string), '::de;', chr(10), 'extern crate ', replace(p_name, ' ', '_'), ';', chr(10), 'use std::io;')
+                 when 1 then concat('import "github.com/x/y"', chr(10), 'import (', chr(10), ' "fmt"', chr(10), ' "go', cast(p_partkey % 40 as string), '.in/yaml"', chr(10), ')')
+                 else concat('import x from "lib', cast(p_partkey % 40 as string), '/sub";', chr(10), 'import y from "./near";', chr(10), 'const z = require("node:fs");') end as code, p_name
+        from {part}""",
     "registry": """
         select distinct 'PyPI' as ecosystem, concat('pkg', cast(p_partkey % 50 as string)) as name from {part} where p_partkey % 50 % 5 <> 0
         union select distinct 'PyPI', replace(p_name, ' ', '_') from {part} where p_size > 25
@@ -209,6 +216,13 @@ INPUTS = {
                  when 5 then concat('DE', lpad(cast(c_custkey * 7919 as string), 9, '1')) when 6 then concat('GB', lpad(cast(c_custkey % 100 as string), 2, '0'), 'WEST', lpad(cast(c_custkey * 31 as string), 14, '0'))
                  when 7 then concat('DEUTDE', substring(c_mktsegment, 1, 2)) else concat('x ', c_name) end as value
         from {customer}""",
+    "vins_and_wallets": """
+        select c_custkey as id, case c_custkey % 4
+                 when 0 then concat('1M8GDM9A', substring('0123456789X', cast(c_custkey / 4 as int) % 11 + 1, 1), 'KP', lpad(cast(c_custkey as string), 6, '0'))
+                 when 1 then concat('0x', md5(cast(c_custkey as string)), substring(md5(c_mktsegment), 1, case when c_custkey % 3 = 0 then 7 else 8 end))
+                 when 2 then concat('z', translate(md5(cast(c_custkey as string)), '0', case when c_custkey % 3 = 0 then 'l' else 'k' end))
+                 else concat('1M8GDM9AXKP0O', lpad(cast(c_custkey % 1000 as string), 4, '0')) end as value
+        from {customer}""",
     "tool_calls": """
         select event_id as id, concat('{{"amount": ', cast(case when event_id % 4 = 0 then value else floor(value) end as string), case when event_id % 10 = 0 then '' else concat(', "kind": "', event_type, '"') end,
                  case when event_id % 6 = 0 then ', "note": null' else '' end, case when event_id % 15 = 0 then ', "extra": 1' else '' end, ', "limit": ', cast(user_id as string), '}}') as args,

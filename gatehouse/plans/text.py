@@ -314,6 +314,13 @@ def _(spark, d):
     return _imports(spark, d).select("subject_id", "language", "name")
 
 
+@query("extract_imports_compiled", f"""with {ctes('snippets_compiled')} select part_id as subject_id, language, case language when 'rust' then 'serde' else case language when 'go' then 'go' else 'lib' end end || (part_id % 40) as name from snippets_compiled
+    union all select part_id, language, replace(p_name, ' ', '_') from snippets_compiled where language = 'rust' union all select part_id, language, 'github' from snippets_compiled where language = 'go'""")
+def _(spark, d):
+    """Rust, Go and TypeScript."""
+    return imports.extract_imports(load(spark, d, "snippets_compiled"), "part_id", "code", "language").select("subject_id", "language", "name")
+
+
 @query("package_existence", f"with {ctes('snippets', 'registry')}, {_IMPORTS} select subject_id, ecosystem, name, status from checked")
 def _(spark, d):
     return imports.package_existence(_imports(spark, d), load(spark, d, "registry")).select("subject_id", "ecosystem", "name", "status")
