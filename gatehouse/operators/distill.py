@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gatehouse.operators.tokens import conversation_tokens
+from gatehouse.operators.usage import ENDPOINT_CREDITS
+
 CHARS_PER_TOKEN = 4
 RECENT = 3
 
@@ -116,3 +119,30 @@ def distill_summary(messages: DataFrame, target_tokens: int, preserve_system: bo
         "conv_id", "original_count", F.coalesce("distilled_count", F.lit(0)).alias("distilled_count"),
         F.floor((F.coalesce("used_chars", F.lit(0)) + CHARS_PER_TOKEN - 1) / CHARS_PER_TOKEN).alias("estimated_tokens"),
         (F.floor((F.coalesce("distilled_count", F.lit(0)) * 200 + F.col("original_count")) / (F.col("original_count") * 2)) / 100).alias("compression_ratio"))
+
+
+# Tokens from which a conversation is flagged and, beyond, distilled; tokens it is distilled to.
+CONTEXT_WARN_TOKENS = 3000
+CONTEXT_TARGET_TOKENS = 4000
+
+
+def manage_context(messages: DataFrame, model: str = "generic", warn_tokens: int = CONTEXT_WARN_TOKENS, target_tokens: int = CONTEXT_TARGET_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """The context step of an agent: every conversation is counted, those over ``warn_tokens`` are distilled.
+
+    First the messages to go on with (``conv_id, turn, role, text``; conversations within the limit are whole), then one row a conversation: ``conv_id,
+    total_tokens, status`` (pass below the limit, else flag), ``distilled, original_count, kept_count, savings_pct`` and the ``credits`` of the calls made.
+    """
+    counted = conversation_tokens(messages, "conv_id", "text", model).select("conv_id", F.col("messages").alias("original_count"), "total_tokens")
+    over = counted.where(F.col("total_tokens") > warn_tokens).select("conv_id")
+    columns = ["conv_id", "turn", "role", "text"]
+    short = distill(messages.join(over, "conv_id", "left_semi"), target_tokens).select(*columns)
+    kept = messages.join(over, "conv_id", "left_anti").select(*columns).unionByName(short)
+    sizes = short.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    is_over = F.col("total_tokens") > warn_tokens
+    n = F.when(is_over, F.coalesce("n", F.lit(0))).otherwise(F.col("original_count"))
+    ratio = F.floor((n * 200 + F.col("original_count")) / (F.col("original_count") * 2))  # hundredths, halves up
+    calls = F.lit(ENDPOINT_CREDITS["/v1/tokens/count"]) + F.when(is_over, ENDPOINT_CREDITS["/v1/distill"]).otherwise(0)
+    checks = counted.join(sizes, "conv_id", "left").select(
+        "conv_id", "total_tokens", F.when(F.col("total_tokens") < warn_tokens, "pass").otherwise("flag").alias("status"), is_over.alias("distilled"), "original_count",
+        n.alias("kept_count"), (100 - ratio).alias("savings_pct"), calls.cast("long").alias("credits"))
+    return kept, checks

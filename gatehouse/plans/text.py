@@ -256,6 +256,23 @@ def _(spark, d):
     return distill.distill_summary(table(spark, d, "conversations"), 150)
 
 
+_CONTEXT = f"""{_DISTILL}, tk as (select conv_id, text, {_TOKENS} from conversations), ct as (select conv_id, {_COUNT} as tokens from tk),
+    tot as (select conv_id, count(*) as original_count, cast(sum(tokens + 3) + 3 as bigint) as total_tokens from ct group by conv_id), over as (select conv_id from tot where total_tokens > 350)"""
+
+
+@query("context_messages", _CONTEXT + """ select conv_id, turn from kept where conv_id in (select conv_id from over) union all select conv_id, turn from conversations where conv_id not in (select conv_id from over)""")
+def _(spark, d):
+    """What an agent goes on with: short conversations whole, long ones distilled."""
+    return distill.manage_context(table(spark, d, "conversations"), "gpt-4", 350, 150)[0].select("conv_id", "turn")
+
+
+@query("context_checks", _CONTEXT + """, n as (select conv_id, count(*) as n from kept group by conv_id), j as (select tot.*, total_tokens > 350 as distilled, case when total_tokens > 350 then coalesce(n, 0) else original_count end as kept_count from tot left join n using (conv_id))
+    select conv_id, total_tokens, case when total_tokens < 350 then 'pass' else 'flag' end as status, distilled, original_count, kept_count, cast(100 - floor(kept_count * 100.0 / original_count + 0.5) as bigint) as savings_pct,
+    case when distilled then 2 else 1 end as credits from j""")
+def _(spark, d):
+    return distill.manage_context(table(spark, d, "conversations"), "gpt-4", 350, 150)[1]
+
+
 _URLB = "[^\\s\"'')\\]>]"
 _CITE_CTE = f"""c1 as (select doc_id, unnest(regexp_extract_all(text, '\\b(10\\.\\d+(?:/{_URLB}*)?)', 1)) as t from cited),
     c2 as (select doc_id, unnest(regexp_extract_all(text, '(?i)arXiv:([^\\s"'')\\]>,]+)', 1)) as t from cited),
