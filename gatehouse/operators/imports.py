@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions.bind import explode_rows
+from gatehouse.functions.bind import explode_rows, let
 from gatehouse.functions.patterns import SPACE, SPACE_BODY, line_start
 from gatehouse.operators.findings import pick
 
@@ -56,16 +56,20 @@ def _found(code: Column, forms: list[str]) -> Column:
     return F.concat(*parts).cast(_ENTRY)
 
 
-def extract_imports(df: DataFrame, id_col: str, code_col: str, language: str) -> DataFrame:
-    """One row per distinct top-level package of a snippet (``language`` is a column name)."""
+def import_entries(code: Column, language: Column) -> Column:
+    """Distinct top-level packages of a snippet as an array of ``name, raw``, in order, standard library and relative ones left out."""
     by_language = F.array().cast(_ENTRY)
     for lang, forms in IMPORT_FORMS.items():
-        by_language = F.when(F.col(language) == lang, _found(F.col(code_col), forms)).otherwise(by_language)
-    entries = df.select(F.col(id_col).alias("subject_id"), F.col(language).alias("language"), by_language.alias("e"))
-    firsts = entries.select("subject_id", "language", F.filter(
-        "e", lambda x, i: (x["name"] != "") & ~F.exists(F.slice(F.col("e"), F.lit(1), i), lambda y: y["name"] == x["name"])).alias("e"))
-    return explode_rows(firsts, ["subject_id", "language"], F.col("e"), "i").select(
-        "subject_id", "language", "i.name", "i.raw").where(~F.col("name").isin(STDLIB) & ~F.col("name").startswith("node:"))
+        by_language = F.when(language == lang, _found(code, forms)).otherwise(by_language)
+    return let(by_language, lambda e: F.filter(e, lambda x, i: (x["name"] != "") & ~x["name"].isin(STDLIB) & ~x["name"].startswith("node:")
+                                               & ~F.exists(F.slice(e, F.lit(1), i), lambda y: y["name"] == x["name"])))
+
+
+def extract_imports(df: DataFrame, id_col: str, code_col: str, language: str) -> DataFrame:
+    """One row per distinct top-level package of a snippet (``language`` is a column name)."""
+    base = df.select(F.col(id_col).alias("subject_id"), F.col(language).alias("language"), F.col(code_col).alias("_code"))
+    return explode_rows(base, ["subject_id", "language"], import_entries(F.col("_code"), F.col("language")), "i").select(
+        "subject_id", "language", "i.name", "i.raw")
 
 
 def with_ecosystem(imports: DataFrame) -> DataFrame:
@@ -75,14 +79,16 @@ def with_ecosystem(imports: DataFrame) -> DataFrame:
 def package_existence(imports: DataFrame, registry: DataFrame) -> DataFrame:
     """``registry`` holds ``ecosystem, name`` of every published package.  An ecosystem without any row
     has no snapshot, and its packages stay unknown."""
+    return with_existence(with_ecosystem(imports), registry).select("subject_id", "language", "ecosystem", "name", "raw", F.col("existence").alias("status"))
+
+
+def with_existence(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds ``existence`` (valid, hallucinated, unknown) to rows of ``ecosystem, name``."""
     known = registry.select("ecosystem", "name").distinct().withColumn("listed", F.lit(True))
     # One row per known ecosystem at most, so it is sent along: imports are not shuffled by a handful of values.
     covered = registry.where(F.col("ecosystem").isin(sorted(set(ECOSYSTEMS.values())))).select("ecosystem").distinct().withColumn("covered", F.lit(True))
-    return (
-        with_ecosystem(imports).join(F.broadcast(covered), "ecosystem", "left").join(known, ["ecosystem", "name"], "left")
-        .select("subject_id", "language", "ecosystem", "name", "raw",
-                F.when(F.col("listed"), "valid").when(F.col("covered"), "hallucinated").otherwise("unknown").alias("status"))
-    )
+    joined = df.join(F.broadcast(covered), "ecosystem", "left").join(known, ["ecosystem", "name"], "left")
+    return joined.withColumn("existence", F.when(F.col("listed"), "valid").when(F.col("covered"), "hallucinated").otherwise("unknown")).drop("listed", "covered")
 
 
 def hallucination_rate(checked: DataFrame, *by: str) -> DataFrame:
