@@ -35,6 +35,8 @@ HALF = 22
 TILE = 512
 # Sets a shingle brings together in one unit; beyond, they are cut into parts.
 PART = 1 << 15
+# Units up to this size are compared many at a time, pair by pair.
+SMALL = 24
 # Sets a part of a candidate group holds.
 GROUP_PART = 256
 # The order of the shingles: about so many texts are looked at for the common ones, and so many of these are kept.  It decides how many sets meet in
@@ -171,16 +173,34 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] | None = None
 
     def links(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cuts = [0, *(np.flatnonzero(np.diff(c[0])) + 1).tolist(), len(c[0])]
-        for a, b in pairwise(cuts):
-            if b - a > 1:
-                side, nodes, n, first, second = (x[a:b] for x in c[1:])
-                yield _links(nodes, *near_prints(side, n, first.view(np.uint64), second.view(np.uint64)))
+        unit, side, nodes, n, first, second = c
+        cuts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]])) if len(unit) else np.zeros(1, np.int64)
+        sizes = np.diff(cuts)
+        # Small units: every row with the one so many rows further on, if that is of the same unit.
+        at = np.repeat(np.where((sizes > 1) & (sizes <= SMALL), cuts[1:], 0), sizes)
+        x, y = [], []
+        for step in range(1, SMALL):
+            i = np.flatnonzero(np.arange(len(unit)) + step < at)
+            if not len(i):
+                break
+            j = i + step
+            near = np.bitwise_count(first[i] ^ first[j]) <= HALF
+            i, j = i[near], j[near]
+            far = np.bitwise_count(first[i] ^ first[j]).astype(int) + np.bitwise_count(second[i] ^ second[j])
+            near = (far <= RADIUS) & (np.minimum(n[i], n[j]) >= SIMILAR * np.maximum(n[i], n[j]))
+            x.append(i[near])
+            y.append(j[near])
+        if x:
+            yield _links(nodes, np.concatenate(x), np.concatenate(y))
+        for k in np.flatnonzero(sizes > SMALL):
+            part = slice(cuts[k], cuts[k + 1])
+            yield _links(nodes[part], *near_prints(side[part], n[part], first[part], second[part]))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         c = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        c[4:] = [x.view(np.uint64) for x in c[4:]]
         if held is not None:
             c = [np.concatenate(x) for x in zip(held, c)]
         done = int(np.searchsorted(c[0] == c[0][-1], True))  # the last unit may go on

@@ -50,10 +50,12 @@ def test_stage_drops_near_copies_from_080_up_and_no_others(spark):
     assert kept == {a for a, _, _ in pairs} | {b for _, b, j in pairs if j < 0.8}
 
 
-def test_large_group_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("small", [near_copies.SMALL, 1])
+def test_large_group_in_parts(spark, monkeypatch, small):
     """A chain of edits, cut into many parts: components are those of all pairs at 0.8 or more."""
     monkeypatch.setattr(near_copies, "GROUP_PART", 4)
     monkeypatch.setattr(near_copies, "PART", 5)
+    monkeypatch.setattr(near_copies, "SMALL", small)
     rng = random.Random(8)
     words, rows = [f"w{rng.randrange(999)}" for _ in range(200)], []
     for k in range(60):
