@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -50,12 +51,10 @@ def test_stage_drops_near_copies_from_080_up_and_no_others(spark):
     assert kept == {a for a, _, _ in pairs} | {b for _, b, j in pairs if j < 0.8}
 
 
-@pytest.mark.parametrize("small", [near_copies.SMALL, 1])
-def test_large_group_in_parts(spark, monkeypatch, small):
+def test_large_group_in_parts(spark, monkeypatch):
     """A chain of edits, cut into many parts: components are those of all pairs at 0.8 or more."""
     monkeypatch.setattr(near_copies, "GROUP_PART", 4)
     monkeypatch.setattr(near_copies, "PART", 5)
-    monkeypatch.setattr(near_copies, "SMALL", small)
     rng = random.Random(8)
     words, rows = [f"w{rng.randrange(999)}" for _ in range(200)], []
     for k in range(60):
@@ -96,3 +95,36 @@ def test_forest_of_similar_sets():
             for i, j in links:
                 root[:] = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
         assert got == want
+
+
+@pytest.mark.parametrize("small", [near_copies.SMALL, 1, 6])
+@pytest.mark.parametrize("size", [7, 1000])
+def test_units_over_batches(monkeypatch, small, size):
+    """Units of 1 to 60 sets, in batches that cut them: the components of all near pairs."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (5, 2)).astype(np.uint64)
+    rows = []
+    for unit in range(40):
+        for _ in range(rng.choice([1, 2, 3, 10, 60])):
+            bits = base[rng.integers(5)].copy()
+            for _ in range(rng.integers(0, 24)):
+                bits[rng.integers(2)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+            rows.append((unit, 0, len(rows), int(rng.integers(80, 130)), *bits.view(np.int64).tolist()))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + size]), kinds)], names=list("abcdef")) for i in range(0, len(rows), size)]
+    links = [(a, b) for out in near_copies._propose(iter(batches)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    pairs = []
+    for x in rows:
+        for y in rows[:x[2]]:
+            first, second = (bin((x[k] ^ y[k]) & (2**64 - 1)).count("1") for k in (4, 5))
+            if x[0] == y[0] and first <= near_copies.HALF and first + second <= near_copies.RADIUS and min(x[3], y[3]) >= 0.8 * max(x[3], y[3]):
+                pairs.append((x[2], y[2]))
+    from gatehouse.llm.forest import Forest
+    forests = []
+    for edges in (links, pairs):
+        f = Forest(len(rows))
+        at = np.array(edges).reshape(-1, 2)
+        f.join(at[:, 0], at[:, 1])
+        forests.append(f.root.tolist())
+    assert forests[0] == forests[1] and len(set(forests[0])) < len(rows)
