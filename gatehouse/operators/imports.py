@@ -100,23 +100,33 @@ def hallucination_rate(checked: DataFrame, *by: str) -> DataFrame:
         F.avg(F.when(F.col("status") == "hallucinated", 1.0).otherwise(0.0)).alias("hallucination_rate"))
 
 
-def vulnerabilities(imports: DataFrame, osv: DataFrame) -> DataFrame:
-    """``osv``: ``id, summary, details, db_severity, score, aliases, affected array<struct<ecosystem,name>>``.
-    One row per package of a subject and vulnerability, with severity and summary."""
-    affected = osv.select(
+def _affected(osv: DataFrame) -> DataFrame:
+    """One row per package and vulnerability."""
+    return osv.select(
         "id", F.coalesce("summary", "details", F.lit("")).alias("summary"),
         F.coalesce(F.upper(F.nullif("db_severity", F.lit(""))), F.nullif("score", F.lit("")), F.lit("UNKNOWN")).alias("severity"),
         F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.explode("affected").alias("a"),
     ).select("id", "summary", "severity", "aliases", F.col("a.ecosystem").alias("ecosystem"), F.col("a.name").alias("name")
              ).dropDuplicates(["ecosystem", "name", "id"])
-    packages = with_ecosystem(imports).select("subject_id", "ecosystem", "name").distinct()
-    return packages.join(affected, ["ecosystem", "name"]).select("subject_id", "ecosystem", "name", "id", "severity", "summary", "aliases")
+
+
+def _packages(imports: DataFrame) -> DataFrame:
+    return with_ecosystem(imports).select("subject_id", "ecosystem", "name").distinct()
+
+
+def vulnerabilities(imports: DataFrame, osv: DataFrame) -> DataFrame:
+    """``osv``: ``id, summary, details, db_severity, score, aliases, affected array<struct<ecosystem,name>>``.
+    One row per package of a subject and vulnerability, with severity and summary."""
+    return _packages(imports).join(_affected(osv), ["ecosystem", "name"]).select("subject_id", "ecosystem", "name", "id", "severity", "summary", "aliases")
 
 
 def vulnerability_summary(imports: DataFrame, osv: DataFrame) -> DataFrame:
-    total = with_ecosystem(imports).groupBy("subject_id").agg(F.count_distinct("ecosystem", "name").alias("total_packages"))
-    bad = vulnerabilities(imports, osv).groupBy("subject_id").agg(
-        F.count_distinct("ecosystem", "name").alias("vulnerable_packages"), F.count(F.lit(1)).alias("vulnerabilities"))
-    return total.join(bad, "subject_id", "left").select(
-        "subject_id", "total_packages", F.coalesce("vulnerable_packages", F.lit(0)).alias("vulnerable_packages"),
-        F.coalesce("vulnerabilities", F.lit(0)).alias("vulnerabilities"), F.col("vulnerable_packages").isNull().alias("safe"))
+    """Vulnerabilities are counted per package before subjects meet them, so a package that very many subjects import and very many
+    vulnerabilities name is one row."""
+    known = _affected(osv).groupBy("ecosystem", "name").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.col("n").isNotNull()
+    # Packages without an ecosystem are in no count.
+    sums = _packages(imports).join(known, ["ecosystem", "name"], "left").groupBy("subject_id").agg(
+        F.count_if(F.col("ecosystem").isNotNull() & F.col("name").isNotNull()).alias("total_packages"),
+        F.count_if(listed).alias("vulnerable_packages"), F.coalesce(F.sum("n"), F.lit(0)).alias("vulnerabilities"))
+    return sums.select("subject_id", "total_packages", "vulnerable_packages", "vulnerabilities", (F.col("vulnerable_packages") == 0).alias("safe"))

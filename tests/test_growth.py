@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from gatehouse.operators import screening
+from gatehouse.operators import imports, screening
 
 
 def test_bearers_of_a_name_are_not_paired_with_its_matches(spark):
@@ -27,3 +27,15 @@ def test_rows_of_one_id_count_together(spark):
     names = spark.createDataFrame([(1, "Alpha Omega"), (1, "zeta kappa"), (2, "other"), (3, None), (4, "--")], "name_id int, name string")
     want = sorted(map(tuple, screening.screen_verdicts(names, screening.screen_matches(names, records)).collect()), key=str)
     assert sorted(map(tuple, screening.screen_names(names, records).collect()), key=str) == want and want[0][:3] == (1, "BLOCK", 2)
+
+
+def test_vulnerabilities_are_counted_per_package(spark):
+    """100,000 subjects that import a package with 20,000 vulnerabilities."""
+    found = spark.range(100_000).select(F.col("id").alias("subject_id"), F.lit("python").alias("language"), F.explode(F.array(F.lit("rich"), F.lit("bare"))).alias("name"), F.lit("x").alias("raw"))
+    found = found.unionByName(spark.createDataFrame([(-1, "cobol", "rich", "x"), (-2, "python", "bare", "x"), (-2, "python", "bare", "y")], found.schema))
+    osv = spark.range(20_000).select(F.concat(F.lit("V"), F.col("id").cast("string")).alias("id"), F.lit("s").alias("summary"), F.lit("d").alias("details"), F.lit("").alias("db_severity"), F.lit("").alias("score"),
+                                     F.array(F.lit("a")).alias("aliases"), F.array(F.struct(F.lit("PyPI").alias("ecosystem"), F.lit("rich").alias("name"))).alias("affected"))
+    start = time.time()
+    got = imports.vulnerability_summary(found, osv.unionByName(osv.limit(1))).groupBy((F.col("subject_id") >= 0).alias("many"), "total_packages", "vulnerable_packages", "vulnerabilities", "safe").count()
+    assert sorted(map(tuple, got.collect())) == [(False, 0, 0, 0, True, 1), (False, 1, 0, 0, True, 1), (True, 2, 1, 20_000, False, 100_000)]
+    assert time.time() - start < 45
