@@ -35,8 +35,13 @@ def in_window(log: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     return log.where((F.col("ts") >= end - F.expr(f"INTERVAL {hours} HOURS")) & (F.col("ts") <= end))
 
 
+# Standard deviation of an estimated count: five of them are the 5 percent within which an estimate is to lie.
+ESTIMATE_RSD = 0.01
+
+
 def usage_overview(log: DataFrame, as_of: str, hours: int = 24, approximate: bool = False) -> DataFrame:
-    keys = F.approx_count_distinct("api_key") if approximate else F.count_distinct("api_key")
+    """``approximate`` estimates the active keys, to within 5 percent."""
+    keys = F.approx_count_distinct("api_key", ESTIMATE_RSD) if approximate else F.count_distinct("api_key")
     return in_window(log, as_of, hours).agg(
         F.count(F.lit(1)).alias("total_calls"), keys.alias("active_keys"),
         F.coalesce(F.avg(F.when(F.col("status") >= 400, 1.0).otherwise(0.0)), F.lit(0.0)).alias("error_rate"))

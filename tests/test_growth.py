@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from gatehouse.operators import imports, screening
+from gatehouse.operators import imports, screening, usage
 
 
 def test_bearers_of_a_name_are_not_paired_with_its_matches(spark):
@@ -39,3 +39,13 @@ def test_vulnerabilities_are_counted_per_package(spark):
     got = imports.vulnerability_summary(found, osv.unionByName(osv.limit(1))).groupBy((F.col("subject_id") >= 0).alias("many"), "total_packages", "vulnerable_packages", "vulnerabilities", "safe").count()
     assert sorted(map(tuple, got.collect())) == [(False, 0, 0, 0, True, 1), (False, 1, 0, 0, True, 1), (True, 2, 1, 20_000, False, 100_000)]
     assert time.time() - start < 45
+
+
+def test_estimated_keys_lie_within_5_percent(spark):
+    """Forty sets of keys of many sizes."""
+    log = lambda k: spark.range(1500 * (k + 1)).select(F.concat(F.lit(f"key{k}-"), F.col("id").cast("string")).alias("api_key"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit(200).alias("status"))
+    parts = [usage.usage_overview(log(k), "2024-01-01 12:00:00", approximate=True) for k in range(40)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    assert [tuple(r) for r in out.collect() if abs(r["active_keys"] - r["total_calls"]) > 0.05 * r["total_calls"]] == []
