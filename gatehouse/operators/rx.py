@@ -189,6 +189,8 @@ def rx_check(rx: DataFrame, meds: DataFrame, pairs: DataFrame, patients: DataFra
     Findings and prescriptions are counted per patient and drug, so a patient with a third of all rows is as many rows as he has drugs.  Each of these then
     asks its drug's few partners: a drug that the patient has meets what was asked of it in one sum.
     """
+    # Ids compress well, so partitions joined by their bytes hold very many rows; what meets the patients in a shuffle keeps this number of them.
+    patients = patients.select("patient_id", "weight_kg").repartition(int(patients.sparkSession.conf.get("spark.sql.shuffle.partitions")), "patient_id")
     ready = _with_reference(rx, meds).withColumn("unit_issue", _unit_issue()).join(patients.select("patient_id", "weight_kg"), "patient_id", "left")
     found = ready.withColumn("issues", F.filter(F.array(_unknown(), _unit(), *_doses()), lambda x: x.isNotNull()))
     own = [F.sum(_of_severity(s)).alias(f"own_{s}") for s in RX_RANK]

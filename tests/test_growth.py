@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from gatehouse.operators import imports, legal, screening, usage
+from gatehouse.operators import imports, legal, rx, screening, usage
+from gatehouse.sources import reference
 
 
 def test_bearers_of_a_name_are_not_paired_with_its_matches(spark):
@@ -67,3 +68,17 @@ def test_a_text_is_looked_up_by_few_of_its_grams(spark):
     assert sorted(map(tuple, legal.quote_search(*frames).collect())) == want
     lengths = frames[1].where("source_id < 60").select(F.sum(F.length("source_text")), F.sum(F.size(legal._chosen(F.col("source_text"))))).first()
     assert lengths[1] * 10 < lengths[0]
+
+
+def test_patients_are_dealt_by_number_not_by_bytes(spark):
+    """Few bytes of very many ids are not joined into one task."""
+    given = spark.range(4000).select((F.col("id") % 1000).alias("patient_id"), F.col("id").alias("pos"), F.lit("aspirin").alias("name"), F.lit(1.0).alias("dose"), F.lit("mg").alias("unit"), F.lit(1.0).alias("freq"))
+    people = spark.range(1000).select(F.col("id").alias("patient_id"), F.lit(70.0).alias("weight_kg"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rx.rx_check(given, reference.medications(spark), reference.interactions(spark), people)
+        tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum("total_findings").alias("found")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(t["n"] for t in tasks) == 1000 and sum(t["found"] for t in tasks) == 0
