@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+from collections.abc import Iterator
 from typing import Any, NamedTuple
 from urllib.parse import unquote
 
@@ -164,7 +166,7 @@ def _pointer(name: str) -> str:
     return "/" + name.replace("~", "~0").replace("/", "~1")
 
 
-def _same(x: Column, value) -> Column:
+def _same(x: Column | _Value, value) -> Column:
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         return F.coalesce(x["num"] == float(value), F.lit(False))
     if isinstance(value, str):
@@ -193,12 +195,56 @@ class _Root(NamedTuple):
         return part
 
 
+class _Value:
+    """The facts of a value, and those of the members that the schemas judging it ask for, each read once."""
+
+    def __init__(self, facts: Column, members: dict[str, Column]):
+        self.facts, self.members = facts, members
+
+    def __getitem__(self, part: str) -> Column:
+        return self.facts[part]
+
+
+def _in_place(schema: Any, root: _Root) -> Iterator[dict]:
+    """The schemas that judge the same value."""
+    if not isinstance(schema, dict):
+        return
+    ref = schema.get("$ref")
+    if isinstance(ref, str):
+        yield from _in_place(root.target(ref), root.enter(ref))
+        return
+    yield schema
+    for word in ("allOf", "anyOf", "oneOf"):
+        for sub in schema[word] if isinstance(schema.get(word), list) else []:
+            yield from _in_place(sub, root)
+    yield from _in_place(schema.get("not"), root)
+
+
+def _members(schema: Any, root: _Root) -> list[str]:
+    return list(dict.fromkeys(name for part in _in_place(schema, root) for name in [*part.get("properties", {}), *filter(_plain, part.get("required", []))]))
+
+
+def _plain(name: str) -> bool:
+    """Names that a path holds as they are."""
+    return re.fullmatch("[A-Za-z0-9_-]+", name) is not None
+
+
 def _schema_errors(v: Column, schema, path: Column, root: _Root) -> Column:
     """Array of errors of one value; built recursively over the schema, evaluated once per row."""
-    return let(facts(v), lambda x: _node_errors(x, schema, path, root))
+    names = _members(schema, root)
+    if not names:
+        return let(facts(v), lambda x: _node_errors(_Value(x, {}), schema, path, root))
+    read = lambda x: F.struct(x.alias("x"), *[facts(field(x["v"], name)).alias(f"m{i}") for i, name in enumerate(names)])
+    value = lambda b: _Value(b["x"], {name: b[f"m{i}"] for i, name in enumerate(names)})
+    return let(let(facts(v), read), lambda b: _node_errors(value(b), schema, path, root))
+
+
+def _member_errors(member: Column, schema, path: Column, root: _Root) -> Column:
+    """Errors of a member whose facts are at hand."""
+    return _schema_errors(member["v"], schema, path, root) if _members(schema, root) else _node_errors(_Value(member, {}), schema, path, root)
 
 
-def _composed(x: Column, schema: dict, path: Column, root: _Root) -> list[Column]:
+def _composed(x: _Value, schema: dict, path: Column, root: _Root) -> list[Column]:
     """Errors of ``allOf``, ``anyOf``, ``oneOf`` and ``not``; the schemas in them judge the same value."""
     parts = lambda word: schema[word] if isinstance(schema.get(word), list) else None
     fits = lambda sub: F.size(_node_errors(x, sub, path, root)) == 0
@@ -216,7 +262,7 @@ def _errors_if(when: Column, path: Column, keyword: str) -> Column:
     return F.when(when, F.array(_err(F.lit(True), path, keyword)))
 
 
-def _node_errors(x: Column, schema, path: Column, root: _Root) -> Column:
+def _node_errors(x: _Value, schema, path: Column, root: _Root) -> Column:
     none = F.array().cast(f"array<{_E}>")
     if schema is True or not isinstance(schema, (bool, dict)):
         return none
@@ -277,11 +323,12 @@ def _node_errors(x: Column, schema, path: Column, root: _Root) -> Column:
         if "maxProperties" in schema:
             flat.append(_err(is_obj & (F.size(names) > schema["maxProperties"]), path, "maxProperties"))
         for r in schema.get("required", []):
-            flat.append(_err(is_obj & ~F.array_contains(names, r), path, "required"))
+            missing = x.members[r]["v"].isNull() if r in x.members and _plain(r) else ~F.array_contains(names, r)
+            flat.append(_err(is_obj & missing, path, "required"))
         props = schema.get("properties", {})
         for name, sub in props.items():
-            child = field(v, name)
-            nested.append(F.when(is_obj & child.isNotNull(), _schema_errors(child, sub, F.concat(path, F.lit(_pointer(name))), root)))
+            child = x.members[name]
+            nested.append(F.when(is_obj & child["v"].isNotNull(), _member_errors(child, sub, F.concat(path, F.lit(_pointer(name))), root)))
         extra = schema.get("additionalProperties")
         if extra is not None and extra is not True:
             others = F.array_except(names, F.array(*[F.lit(p) for p in props]).cast("array<string>"))

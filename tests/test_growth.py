@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from gatehouse.operators import imports, legal, rx, screening, usage
+from gatehouse.operators import imports, legal, quality, rx, screening, usage
 from gatehouse.sources import reference
 
 
@@ -82,3 +82,13 @@ def test_patients_are_dealt_by_number_not_by_bytes(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(t["n"] for t in tasks) == 1000 and sum(t["found"] for t in tasks) == 0
+
+
+def test_a_member_is_read_once_for_all_schemas_that_judge_it(spark, rows):
+    schema = {"anyOf": [{"properties": {"k": {"minimum": 10 * i, "maximum": 10 * i + 1}}} for i in range(10)], "required": ["k", "a.b", "it's"], "not": {"required": ["z"]}}
+    docs = rows(['{"k": 41, "a.b": 1, "it\'s": 2}', '{"k": 45, "a.b": null, "a": {"b": 1}}', '{"k": null, "z": null}', "[1]", "{"])
+    out = quality.schema_conformance(docs, "id", "x", schema)
+    want = [(1, "", "anyOf"), (1, "", "required"), (2, "", "not"), (2, "", "required"), (2, "", "required"), (3, "", "not"), (4, "", "json")]
+    assert sorted(map(tuple, out.collect())) == want
+    # The document, k and z; two names that are not plain look at the list of names.
+    assert out._jdf.queryExecution().analyzed().toString().count("schema_of_variant") == 5
