@@ -95,6 +95,8 @@ def quotes_at(asked: DataFrame, quotes: DataFrame, bucket: str = "1 hour") -> Da
     # Questions come after the quotes of their time.
     rows = last.select(*keys, "slot", F.col("updated_at").alias("at"), F.lit(0).alias("asks"), quote.alias("quote")).unionByName(
         questions.join(sources, "symbol").select(*keys, "slot", "at", F.lit(1).alias("asks"), F.lit(None).cast(ends.schema["quote"].dataType).alias("quote")))
+    # By a number of tasks: buckets compress well, and partitions joined by their bytes would hold very many rows.
+    rows = rows.repartition(int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "slot")
     inside = Window.partitionBy(*keys, "slot").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumn("seen", F.last("quote", ignorenulls=True).over(inside)).where("asks = 1")
     found = seen.join(begun, [*keys, "slot"], "left").withColumn("q", F.coalesce("seen", "before")).where("q is not null")

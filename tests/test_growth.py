@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from gatehouse.operators import imports, legal, quality, rx, screening, usage
+from gatehouse.operators import imports, legal, market, quality, rx, screening, usage
 from gatehouse.sources import reference
 
 
@@ -92,3 +92,12 @@ def test_a_member_is_read_once_for_all_schemas_that_judge_it(spark, rows):
     assert sorted(map(tuple, out.collect())) == want
     # The document, k and z; two names that are not plain look at the list of names.
     assert out._jdf.queryExecution().analyzed().toString().count("schema_of_variant") == 5
+
+
+def test_buckets_of_quotes_are_dealt_by_number_not_by_bytes(spark):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    quotes = spark.range(3000).select(F.lit("A").alias("symbol"), F.lit("s").alias("source"), F.col("id").cast("double").alias("price"), at.alias("updated_at"))
+    asked = spark.range(3000).select(F.lit("A").alias("symbol"), (at + F.expr("interval 30 seconds")).alias("at"))
+    seen = market.quotes_at(asked, quotes).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("at") - F.col("updated_at")).alias("gap"), F.sum("price").alias("p")).collect()
+    assert len(seen) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["n"] for r in seen) == 3000
+    assert {r["gap"].total_seconds() for r in seen} == {30.0} and sum(r["p"] for r in seen) == sum(range(3000))
