@@ -1,11 +1,15 @@
 """Jobs whose input has very many copies: the work grows with the input, not with the pairs of copies."""
 
+import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gatehouse.operators import imports, legal, market, quality, rx, screening, usage
+from gatehouse.operators.ledger import apply_event
 from gatehouse.sources import reference
+from gatehouse.streaming import feeds
 
 
 def test_bearers_of_a_name_are_not_paired_with_its_matches(spark):
@@ -101,3 +105,47 @@ def test_buckets_of_quotes_are_dealt_by_number_not_by_bytes(spark):
     seen = market.quotes_at(asked, quotes).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("at") - F.col("updated_at")).alias("gap"), F.sum("price").alias("p")).collect()
     assert len(seen) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["n"] for r in seen) == 3000
     assert {r["gap"].total_seconds() for r in seen} == {30.0} and sum(r["p"] for r in seen) == sum(range(3000))
+
+
+class _Held:
+    """State of one key, with the number of values that were read and written."""
+
+    def __init__(self):
+        self.values, self.moved = [], 0
+
+    def exists(self):
+        return bool(self.values)
+
+    def get(self):
+        self.moved += len(self.values)
+        return iter(self.values)
+
+    def put(self, values):
+        self.values, self.moved = list(values), self.moved + len(values)
+
+    def appendList(self, values):  # noqa: N802
+        self.put(self.values + list(values))
+
+    def clear(self):
+        self.values = []
+
+
+def test_waiting_ledger_rows_are_read_many_at_a_time():
+    import types
+
+    rng, account, waiting = random.Random(4), _Held(), _Held()
+    one = types.SimpleNamespace(exists=account.exists, get=lambda: account.values, update=lambda v: setattr(account, "values", v))
+    handle = types.SimpleNamespace(getValueState=lambda *_: one, getListState=lambda *_: waiting, registerTimer=lambda _: None)
+    ledger = feeds._Ledger()
+    ledger.init(handle)
+    rows = [(rng.randrange(10**9), i, rng.choice(["add", "call", "adjust"]), rng.randint(-4, 9)) for i in range(30_000)]
+    for k in range(0, 30_000, 10_000):
+        batch = pd.DataFrame(rows[k:k + 10_000], columns=["us", "id", "kind", "amount"])
+        out = list(ledger.handleInputRows(("a",), iter([batch]), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert out[0]["open_events"][0] == 30_000
+    out = list(ledger.handleExpiredTimer(("a",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 500_000), None))
+    state = (0, 0, -1, -1)
+    for us, _, kind, amount in sorted(rows):
+        state = apply_event(state, kind, amount, us)
+    assert tuple(out[0].iloc[0])[1:5] == state and out[0]["open_events"][0] == sum(r[0] >= 500_000_000 for r in rows)
+    assert waiting.moved < 100
