@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatehouse.functions.bind import explode_rows, let
 from gatehouse.functions.patterns import SPACE, SPACE_BODY, line_start
 from gatehouse.operators.findings import pick
+from gatehouse.operators.pairs import join_many
 
 _S = SPACE
 _BOL = line_start()
@@ -117,7 +118,7 @@ def _packages(imports: DataFrame) -> DataFrame:
 def vulnerabilities(imports: DataFrame, osv: DataFrame) -> DataFrame:
     """``osv``: ``id, summary, details, db_severity, score, aliases, affected array<struct<ecosystem,name>>``.
     One row per package of a subject and vulnerability, with severity and summary."""
-    return _packages(imports).join(_affected(osv), ["ecosystem", "name"]).select("subject_id", "ecosystem", "name", "id", "severity", "summary", "aliases")
+    return join_many(_packages(imports), _affected(osv), ["ecosystem", "name"]).select("subject_id", "ecosystem", "name", "id", "severity", "summary", "aliases")
 
 
 def vulnerability_summary(imports: DataFrame, osv: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gatehouse.operators import imports, legal, market, quality, rx, screening, usage
+from gatehouse.operators import imports, legal, market, pairs, quality, rx, screening, usage
 from gatehouse.operators.ledger import apply_event
 from gatehouse.sources import reference
 from gatehouse.streaming import feeds
@@ -149,3 +149,36 @@ def test_waiting_ledger_rows_are_read_many_at_a_time():
         state = apply_event(state, kind, amount, us)
     assert tuple(out[0].iloc[0])[1:5] == state and out[0]["open_events"][0] == sum(r[0] >= 500_000_000 for r in rows)
     assert waiting.moved < 100
+
+
+def _rows_by_task(spark, pairs_of):
+    """Pairs per task when no side is sent along."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return [r["count"] for r in pairs_of().groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pairs_of_a_hot_package_are_many_tasks(spark):
+    """40,000 subjects that import one of two packages with 100 vulnerabilities."""
+    found = spark.range(40_000).select(F.col("id").alias("subject_id"), F.when(F.col("id") % 2 == 0, "python").otherwise("javascript").alias("language"), F.concat(F.lit("rich"), F.col("id") % 2).alias("name"), F.lit("x").alias("raw"))
+    package = lambda e, n: F.struct(F.lit(e).alias("ecosystem"), F.lit(n).alias("name"))
+    osv = spark.range(100).select(F.concat(F.lit("V"), F.col("id").cast("string")).alias("id"), F.lit("s").alias("summary"), F.lit("d").alias("details"), F.lit("").alias("db_severity"), F.lit("").alias("score"),
+                                  F.array(F.lit("a")).alias("aliases"), F.array(package("PyPI", "rich0"), package("npm", "rich1")).alias("affected"))
+    tasks = _rows_by_task(spark, lambda: imports.vulnerabilities(found, osv))
+    assert sum(tasks) == 4_000_000 and len(tasks) == 4
+    assert imports.vulnerabilities(found, osv).select("subject_id", "id").distinct().count() == 4_000_000
+
+
+def test_block_joins_pair_what_a_join_pairs(spark):
+    """Hot and single keys, keys of one side only, null keys, equal rows."""
+    rng = random.Random(5)
+    key = lambda: rng.choice([None, "hot", "hot", "hot", *"abcdefgh"])
+    left = spark.createDataFrame([(key(), rng.randrange(3), i // 2) for i in range(5000)] + [("l", 0, 9)], "k string, n int, x int")
+    right = spark.createDataFrame([(key(), rng.randrange(3), rng.choice([None, "v", f"w{i}"]), [i]) for i in range(150)] + [("r", 0, "v", [])], "k string, n int, y string, z array<int>")
+    want = sorted(map(tuple, left.join(right, ["k", "n"]).collect()), key=str)
+    assert sorted(map(tuple, pairs.join_many(left, right, ["k", "n"]).collect()), key=str) == want
+    assert sorted(map(tuple, pairs.join_many(left, right, ["k", "n"], right).collect()), key=str) == want and len(want) > 20_000
+    assert pairs.join_many(left, right.limit(0), ["k", "n"], right.limit(0)).count() == 0
