@@ -172,6 +172,18 @@ def test_pairs_of_a_hot_package_are_many_tasks(spark):
     assert imports.vulnerabilities(found, osv).select("subject_id", "id").distinct().count() == 4_000_000
 
 
+def test_pairs_of_a_hot_name_are_many_tasks(spark):
+    """40,000 bearers of two names that are like each of 100 listed ones."""
+    letters = F.translate(F.lpad(F.col("id").cast("string"), 2, "0"), "0123456789", "abcdefghij")
+    records = spark.range(100).select(F.col("id").cast("string").alias("record_id"), F.concat(F.lit("Northern Trading House "), letters).alias("name"), F.array().cast("array<string>").alias("aliases"),
+                                      F.lit("p").alias("program"), F.lit("entity").alias("entity_type"), F.lit("L").alias("list"))
+    names = spark.range(40_000).select(F.col("id").alias("name_id"), F.concat(F.lit("northern trading house AA"), F.col("id") % 2).alias("name"))
+    tasks = _rows_by_task(spark, lambda: screening.screen_matches(names, records))
+    each = {k: screening.screen_matches(names.where(F.col("name_id") == k), records).count() for k in (0, 1)}
+    assert sum(tasks) == 20_000 * (each[0] + each[1]) > 2_000_000 and len(tasks) == 4
+    assert screening.screen_matches(names, records).select("name_id", "record_id").distinct().count() == sum(tasks)
+
+
 def test_block_joins_pair_what_a_join_pairs(spark):
     """Hot and single keys, keys of one side only, null keys, equal rows."""
     rng = random.Random(5)
