@@ -184,6 +184,20 @@ def test_pairs_of_a_hot_name_are_many_tasks(spark):
     assert screening.screen_matches(names, records).select("name_id", "record_id").distinct().count() == sum(tasks)
 
 
+def test_a_stream_writes_the_matches_of_a_name_once(spark, tmp_path):
+    """3,000 bearers of two names in three batches."""
+    records = spark.range(50).select(F.col("id").cast("string").alias("record_id"), F.lit("Northern Trading House").alias("name"), F.array(F.lit("Zeta Kappa")).alias("aliases"),
+                                     F.lit("p").alias("program"), F.lit("entity").alias("entity_type"), F.lit("L").alias("list"))
+    people = lambda k: spark.range(1000 * k, 1000 * k + 1000).select(F.col("id").alias("name_id"), F.when(F.col("id") % 2 == 0, "northern trading  house").otherwise("Zeta Kapa").alias("name"))
+    for k in range(3):
+        people(k).coalesce(1).write.parquet(str(tmp_path / "feed" / f"day{k}"))
+    feed, out = feeds.stream_request_feed(spark, str(tmp_path / "feed" / "*"), people(0).schema, files_per_trigger=1), str(tmp_path / "out")
+    feeds.stream_screen(feed, records, out, str(tmp_path / "mark")).awaitTermination()
+    written = sum(spark.read.parquet(str(folder)).count() for folder in (tmp_path / "out").iterdir())
+    kinds = feeds.screened(spark, out, records).groupBy("match_type").agg(F.count(F.lit(1)), F.countDistinct("name_id", "record_id")).collect()
+    assert sorted(map(tuple, kinds)) == [("exact", 75_000, 75_000), ("fuzzy", 75_000, 75_000)] and written == 3000 + 3 * 2 * 50
+
+
 def test_block_joins_pair_what_a_join_pairs(spark):
     """Hot and single keys, keys of one side only, null keys, equal rows."""
     rng = random.Random(5)
