@@ -1,11 +1,13 @@
 """Jobs whose input has very many copies: the work grows with the input, not with the pairs of copies."""
 
+import itertools
 import random
 import time
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gatehouse.functions.names import jaro_winkler_batch
 from gatehouse.operators import imports, legal, market, pairs, quality, rx, screening, usage
 from gatehouse.operators.ledger import apply_event
 from gatehouse.sources import reference
@@ -208,3 +210,19 @@ def test_block_joins_pair_what_a_join_pairs(spark):
     assert sorted(map(tuple, pairs.join_many(left, right, ["k", "n"]).collect()), key=str) == want
     assert sorted(map(tuple, pairs.join_many(left, right, ["k", "n"], right).collect()), key=str) == want and len(want) > 20_000
     assert pairs.join_many(left, right.limit(0), ["k", "n"], right.limit(0)).count() == 0
+
+
+def test_names_of_one_form_meet_the_index_once(spark):
+    """720 numbers of the same digits, in more than one block, against as many and one that is too long for bits."""
+    numbers = ["0123" + "".join(p) for p in itertools.permutations("456789")]
+    names = [f"Customer#{n}" for n in numbers] + [" ".join(["northern", "trading"] * 5 + ["house", "of", "a"]), "", "--", None]
+    listed = [f"{n} Customer Ltd" for n in numbers[::7]] + [" ".join(["northern", "trading"] * 5 + ["house", "of", "b"]), "??", "Customer"]
+    queries = screening.distinct_queries(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "name_id int, name string"))
+    records = screening.prepare_list(spark.createDataFrame([(str(i), n, [], "p", "entity", "L") for i, n in enumerate(listed)], "record_id string, name string, aliases array<string>, program string, entity_type string, list string"))
+    classes, blocks = screening._classes(queries, "q")
+    assert classes.count() == 2 and blocks.count() == 3 and blocks.agg(F.sum(F.size("q_keys"))).first()[0] == 721
+    key = lambda df: [r["sort_key"] for r in df.where("sort_key <> ''").collect()]
+    full = list(itertools.product(key(queries), key(records)))
+    scores = jaro_winkler_batch(pd.Series([a for a, _ in full]), pd.Series([b for _, b in full]))
+    got = screening.similar_keys(queries, records, 0.85).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b, s) for (a, b), s in zip(full, scores) if s >= 0.85) and len(got) > 50_000
