@@ -95,3 +95,33 @@ def test_payments_are_kept_for_a_day(spark, tmp_path):
     assert sorted(got) == sorted((r["signature"], r["attempt_id"]) for r in valid.collect())
     held = [p.stateOperators[0].numRowsTotal for p in run]
     assert max(held) < 80 and held[-1] < 40 and len(got) > 80
+
+
+def test_ledger_of_many_accounts(spark, tmp_path, rocksdb):
+    """10,000 accounts and a hot one in four triggers, every fifth row a trigger late: the state is asked per bucket, not per account."""
+    import time
+
+    n = F.col("id")
+    events = spark.range(60_000).select(
+        F.when(n % 6 == 0, "hot").otherwise(F.concat(F.lit("k"), n * 7919 % 10_000)).alias("key"), F.timestamp_seconds(1_709_251_200 + F.floor(n / 2)).alias("ts"), n.alias("id"),
+        F.when(n * 31 % 7 < 2, "add").when(n * 31 % 7 == 2, "adjust").otherwise("call").alias("kind"), F.when(n * 31 % 7 == 2, n % 9 - 6).otherwise(n % 5 + 1).alias("amount"))
+    trigger = F.floor(n / 15_000) + (n % 5 == 0).cast("int")
+    for k in range(5):
+        events.where(trigger == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed = feeds.stream_request_feed(spark, str(tmp_path / "in"), events.schema, files_per_trigger=1)
+    start = time.time()
+    updates = feeds.run_to_table(feeds.stream_ledger(feed, "3 hours", buckets=8), "ledger", "update")
+    assert balances(feeds.latest_per_key(updates, "key")) == balances(ledger.ledger_balances(events))
+    assert time.time() - start < 60 and updates.where("open_events > 0").count() > 10_000
+
+
+def test_folding_many_accounts_equals_folding_each(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = np.array([(rng.choice([0, 1, 1, 1, 2, 4]), rng.randrange(10**6), i, rng.randrange(3), rng.randint(-9, 9)) for i in range(4000)], feeds._PACKED)
+    start = np.array([(c, 0, -1, -1, 0) for c in (0, 0, 10**9, 5, 3)], feeds._ACCOUNT)
+    want = [tuple(a)[:4] for a in start]
+    for at, us, _, kind, amount in sorted(rows.tolist()):
+        want[at] = ledger.apply_event(want[at], ["add", "adjust", "call"][kind], amount, us)
+    assert [tuple(a)[:4] for a in feeds._fold(start, feeds._in_order(rows))] == want and tuple(want[3]) == (5, 0, -1, -1)
